@@ -13,12 +13,26 @@ from duelframe.operators.tokens import Encode, words
 MAX_ORDER = 4
 
 
-def ngrams(tokens: Column, order: int) -> Column:
-    """All n-grams of a token array, each joined to one text."""
-    starts = F.when(
-        F.size(tokens) >= order, F.sequence(F.lit(1), F.size(tokens) - (order - 1))
-    ).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, order), "\u0001"))
+def labelled_ngrams(tokens: Column, max_order: int = MAX_ORDER) -> Column:
+    """All n-grams up to ``max_order`` as ``(order, gram)`` structs.
+
+    Each order appends the next token to the n-grams one shorter, in one pass over
+    the array (a slice per position would copy the whole array every time).
+    """
+    grams, found = tokens, [_label(tokens, 1)]
+    for order in range(2, max_order + 1):
+        n = F.greatest(F.size(tokens) - (order - 1), F.lit(0))
+        grams = F.zip_with(
+            F.slice(grams, F.lit(1), n),
+            F.slice(tokens, F.lit(order), n),
+            lambda gram, token: F.concat(gram, F.lit("\u0001"), token),
+        )
+        found.append(_label(grams, order))
+    return F.concat(*found)
+
+
+def _label(grams: Column, order: int) -> Column:
+    return F.transform(grams, lambda gram: F.struct(F.lit(order).alias("order"), gram.alias("gram")))
 
 
 def self_bleu(
@@ -32,20 +46,11 @@ def self_bleu(
     have nothing to compare with and score 0.
     """
     tokens = responses.select("prompt_idx", "sample_id", tokenize(F.col("response")).alias("_tokens"))
+    orders = range(1, max_order + 1)
     grams = tokens.select(
         "prompt_idx",
         "sample_id",
-        F.explode(
-            F.concat(
-                *[
-                    F.transform(
-                        ngrams(F.col("_tokens"), order),
-                        lambda gram, order=order: F.struct(F.lit(order).alias("order"), gram.alias("gram")),
-                    )
-                    for order in range(1, max_order + 1)
-                ]
-            )
-        ).alias("_g"),
+        F.explode(labelled_ngrams(F.col("_tokens"), max_order)).alias("_g"),
     )
     counted = grams.groupBy("prompt_idx", F.col("_g.order").alias("order"), F.col("_g.gram").alias("gram")).agg(
         *[F.count_if(F.col("sample_id") == i).alias(f"_n{i}") for i in range(k)]
@@ -57,7 +62,7 @@ def self_bleu(
         *[
             F.max(F.when(F.col("order") == order, F.col(f"_clip{i}"))).alias(f"_clip{i}_{order}")
             for i in range(k)
-            for order in range(1, max_order + 1)
+            for order in orders
         ]
     )
     lengths = tokens.groupBy("prompt_idx").agg(

@@ -275,6 +275,7 @@ def pad_and_stack(tokenized: DataFrame, pad_id: int = 0, batch_col: str = "batch
     The batch maximum is aggregated before the shuffle and joined back, so a batch
     with very many rows is not gathered in one task. ``side_pos`` 0 is chosen, 1 rejected.
     """
+    parts = ("input_ids", "attention_mask", "labels")
     widths = tokenized.groupBy(batch_col).agg(
         F.max(longer_response(F.col("chosen_input_ids"), F.col("rejected_input_ids"))).alias("_width")
     )
@@ -283,12 +284,13 @@ def pad_and_stack(tokenized: DataFrame, pad_id: int = 0, batch_col: str = "batch
             F.struct(
                 F.lit(place).alias("side_pos"),
                 F.lit(side).alias("side"),
-                *[F.col(f"{side}_{part}").alias(part) for part in ("input_ids", "attention_mask", "labels")],
+                *[F.col(f"{side}_{part}").alias(part) for part in parts],
             )
             for place, side in enumerate(("chosen", "rejected"))
         ]
     )
-    carried = [c for c in tokenized.columns if not c.startswith(("chosen_", "rejected_", "prompt_i", "prompt_a"))]
+    replaced = {f"{side}_{part}" for side in ("chosen", "rejected", "prompt") for part in parts}
+    carried = [name for name in tokenized.columns if name not in replaced]
     padding = {"input_ids": pad_id, "attention_mask": 0, "labels": IGNORE_LABEL}
     return (
         tokenized.join(widths, batch_col)

@@ -129,6 +129,25 @@ def batch_regularizer(df: DataFrame, loss_type: str) -> DataFrame:
     return per_batch(df, regularizer_term(parse_loss_type(loss_type)), "reg_loss")
 
 
+def regularizer_report(df: DataFrame, loss_types: Iterable[str]) -> DataFrame:
+    """Batch mean of every named regularizer, with what its name was read as, in one job."""
+    parsed = {name: parse_loss_type(name) for name in loss_types}
+    means = df.groupBy("batch_id").agg(
+        *[F.avg(regularizer_term(reg)).alias(f"_reg{i}") for i, reg in enumerate(parsed.values())]
+    )
+    rows = [
+        F.struct(
+            F.lit(name).alias("loss_type"),
+            F.lit(reg.family).alias("family"),
+            F.lit(reg.cap).cast("int").alias("cap"),
+            F.lit(reg.reverse_coef).cast("double").alias("reverse_coef"),
+            F.col(f"_reg{i}").alias("reg_loss"),
+        )
+        for i, (name, reg) in enumerate(parsed.items())
+    ]
+    return means.select("batch_id", F.inline(F.array(*rows)))
+
+
 def forward_regularizer(reference_tokens: DataFrame) -> DataFrame:
     """``(batch_id, reg_loss)``: minus the mean token log-probability of the reference
     responses over all positions, padded ones (``mask`` 0) counting as 0.
