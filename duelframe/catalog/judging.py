@@ -158,10 +158,15 @@ _BLEU = f"""{CAND},
 w AS (
   SELECT prompt_idx, sample_id,
     list_filter(regexp_split_to_array(response, '\\s+'), lambda x: x <> '') AS words FROM cand),
+runs AS (
+  SELECT prompt_idx, sample_id, w1, lead(w1, 1) OVER s AS w2, lead(w1, 2) OVER s AS w3, lead(w1, 3) OVER s AS w4
+  FROM (SELECT prompt_idx, sample_id, unnest(words) AS w1, generate_subscripts(words, 1) AS i FROM w)
+  WINDOW s AS (PARTITION BY prompt_idx, sample_id ORDER BY i)),
 grams AS (
-  SELECT prompt_idx, sample_id, n, array_to_string(words[i:i + n - 1], chr(1)) AS gram
-  FROM (SELECT prompt_idx, sample_id, words, n, unnest(range(1, len(words) - n + 2)) AS i
-        FROM w, (SELECT unnest(range(1, 5)) AS n))),
+  SELECT prompt_idx, sample_id, 1 AS n, w1 AS gram FROM runs
+  UNION ALL SELECT prompt_idx, sample_id, 2, w1 || chr(1) || w2 FROM runs WHERE w2 IS NOT NULL
+  UNION ALL SELECT prompt_idx, sample_id, 3, w1 || chr(1) || w2 || chr(1) || w3 FROM runs WHERE w3 IS NOT NULL
+  UNION ALL SELECT prompt_idx, sample_id, 4, w1 || chr(1) || w2 || chr(1) || w3 || chr(1) || w4 FROM runs WHERE w4 IS NOT NULL),
 cnt AS (SELECT prompt_idx, sample_id, n, gram, count(*) AS c FROM grams GROUP BY ALL),
 oth AS (
   SELECT a.prompt_idx, a.sample_id, a.n, a.gram, a.c, max(b.c) AS m

@@ -40,12 +40,17 @@ def self_bleu(
 ) -> DataFrame:
     """BLEU of every sample against the other samples of its prompt: ``(prompt_idx, sample_id, bleu)``.
 
-    n-gram counts live in k counters per ``(prompt, n-gram)``, combined before the one
-    large shuffle; the best count among the other samples is then row-local. An order
-    without any match makes the score 0 (no smoothing). Prompts with a single sample
-    have nothing to compare with and score 0.
+    Texts are shuffled once, on the prompt; their n-grams, many times larger, are then
+    counted in place with k counters per ``(prompt, n-gram)``, and the best count among
+    the other samples is row-local. A prompt holds at most k texts. An order without any
+    match makes the score 0 (no smoothing). Prompts with a single sample have nothing
+    to compare with and score 0.
     """
-    tokens = responses.select("prompt_idx", "sample_id", tokenize(F.col("response")).alias("_tokens"))
+    # A fixed partition count: adaptive coalescing would size tasks by the texts alone.
+    partitions = int(responses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = responses.repartition(partitions, "prompt_idx").select(
+        "prompt_idx", "sample_id", tokenize(F.col("response")).alias("_tokens")
+    )
     orders = range(1, max_order + 1)
     grams = tokens.select(
         "prompt_idx",
