@@ -11,6 +11,7 @@ from duelframe.catalog.shared import CAND, joined, r6, s6, text_triples
 from duelframe.functions.columns import quotient
 from duelframe.operators import logps, tokens
 from duelframe.operators.tokens import Limits
+from duelframe.session import spread
 
 BOS, EOS, PAD = 1, 2, 0
 LIMITS = Limits(max_length=256, max_prompt_length=64)
@@ -87,6 +88,10 @@ def _joined_parts(df: DataFrame) -> DataFrame:
     return df.select("prompt_idx", *[joined(name).alias(name) for name in PARTS])
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(views.load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.split_pairs(text_triples(spark, sf_dir))
 
@@ -97,7 +102,7 @@ def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM documents""",
 )
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = views.load(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = _documents(spark, sf_dir)
     return tokens.tokenize(documents, "text").select(
         "doc_id",
         joined("text_input_ids").alias("ids"),
@@ -112,7 +117,7 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokenize_with(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A caller's tokenizer run in Arrow batches; this one counts characters and spaces."""
     encode = tokens.tokenizer_encode(lambda: lambda text: [len(text), text.count(" ") + 1])
-    documents = views.load(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = _documents(spark, sf_dir)
     return tokens.tokenize(documents, "text", encode).select("doc_id", joined("text_input_ids").alias("ids"))
 
 
@@ -232,9 +237,7 @@ def encdec_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM s GROUP BY place // {PACKED}""",
 )
 def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = views.load(spark, sf_dir, "documents").select(
-        "doc_id", tokens.word_ids(F.col("text")).alias("ids")
-    )
+    documents = _documents(spark, sf_dir).select("doc_id", tokens.word_ids(F.col("text")).alias("ids"))
     return tokens.pack_sequences(documents, "ids", "doc_id", PACKED, EOS).select(
         "chunk_id", F.size("input_ids").cast("long").alias("n_tokens"), joined("input_ids").alias("input_ids")
     )
@@ -246,9 +249,7 @@ def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, {_text("ids[greatest(len(ids) - 63, 1):len(ids)]")} AS ids FROM d""",
 )
 def truncate_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = views.load(spark, sf_dir, "documents").select(
-        "doc_id", tokens.word_ids(F.col("text")).alias("ids")
-    )
+    documents = _documents(spark, sf_dir).select("doc_id", tokens.word_ids(F.col("text")).alias("ids"))
     return documents.select("doc_id", joined(tokens.truncate_left(F.col("ids"), 64)).alias("ids"))
 
 

@@ -13,26 +13,26 @@ from duelframe.operators.tokens import Encode, words
 MAX_ORDER = 4
 
 
-def labelled_ngrams(tokens: Column, max_order: int = MAX_ORDER) -> Column:
-    """All n-grams up to ``max_order`` as ``(order, gram)`` structs.
+def explode_ngrams(tokens: DataFrame, max_order: int = MAX_ORDER) -> DataFrame:
+    """One row ``(prompt_idx, sample_id, order, gram)`` per n-gram up to ``max_order``.
 
-    Each order appends the next token to the n-grams one shorter, in one pass over
-    the array (a slice per position would copy the whole array every time).
+    Each order appends the next token to the stored n-grams one shorter, in one pass
+    over the array (a slice per position would copy the whole array every time).
     """
-    grams, found = tokens, [_label(tokens, 1)]
+    staged = tokens.withColumn("_g1", F.col("_tokens"))
     for order in range(2, max_order + 1):
-        n = F.greatest(F.size(tokens) - (order - 1), F.lit(0))
-        grams = F.zip_with(
-            F.slice(grams, F.lit(1), n),
-            F.slice(tokens, F.lit(order), n),
+        n = F.greatest(F.size("_tokens") - (order - 1), F.lit(0))
+        longer = F.zip_with(
+            F.slice(f"_g{order - 1}", F.lit(1), n),
+            F.slice("_tokens", F.lit(order), n),
             lambda gram, token: F.concat(gram, F.lit("\u0001"), token),
         )
-        found.append(_label(grams, order))
-    return F.concat(*found)
-
-
-def _label(grams: Column, order: int) -> Column:
-    return F.transform(grams, lambda gram: F.struct(F.lit(order).alias("order"), gram.alias("gram")))
+        staged = staged.withColumn(f"_g{order}", longer)
+    by_order = F.array(*[F.col(f"_g{order}") for order in range(1, max_order + 1)])
+    orders = staged.select("prompt_idx", "sample_id", F.posexplode(by_order).alias("_at", "_grams"))
+    return orders.select(
+        "prompt_idx", "sample_id", (F.col("_at") + 1).alias("order"), F.explode("_grams").alias("gram")
+    )
 
 
 def self_bleu(
@@ -52,12 +52,7 @@ def self_bleu(
         "prompt_idx", "sample_id", tokenize(F.col("response")).alias("_tokens")
     )
     orders = range(1, max_order + 1)
-    grams = tokens.select(
-        "prompt_idx",
-        "sample_id",
-        F.explode(labelled_ngrams(F.col("_tokens"), max_order)).alias("_g"),
-    )
-    counted = grams.groupBy("prompt_idx", F.col("_g.order").alias("order"), F.col("_g.gram").alias("gram")).agg(
+    counted = explode_ngrams(tokens, max_order).groupBy("prompt_idx", "order", "gram").agg(
         *[F.count_if(F.col("sample_id") == i).alias(f"_n{i}") for i in range(k)]
     )
     clipped = counted.groupBy("prompt_idx", "order").agg(

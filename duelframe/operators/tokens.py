@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from duelframe.functions.columns import drop_first, quotient, take_first, take_last
 from duelframe.indexing import running_total_before
+from duelframe.session import materialize
 
 # Label of positions that carry no loss, and the length a tokenizer
 # without a stated limit is given.
@@ -307,16 +308,17 @@ def pack_sequences(
 
     Every sequence learns its start in the stream from a running total, hands out one
     slice per chunk it touches, and a chunk gathers at most ``max_seq_length`` tokens.
-    The last chunk may be shorter. Gives ``(chunk_id, input_ids)``.
+    The last chunk may be shorter. The sequences are written once, because the running
+    total (which reads lengths only) and the slicing both need them. Gives
+    ``(chunk_id, input_ids)``.
     """
     ids = F.col(ids_col) if eos is None else add_eos(F.col(ids_col), eos)
-    placed = running_total_before(
-        df.select(id_col, ids.alias("_ids")).filter(F.size("_ids") > 0),
-        id_col,
-        F.size("_ids").cast("long"),
-        "_start",
+    stored = materialize(
+        df.select(id_col, ids.alias("_ids")).withColumn("_n", F.size("_ids").cast("long")), "sequences"
     )
-    end = F.col("_start") + F.size("_ids") - 1
+    starts = running_total_before(stored.select(id_col, "_n"), id_col, F.col("_n"), "_start")
+    placed = stored.filter(F.col("_n") > 0).join(starts.drop("_n"), id_col)
+    end = F.col("_start") + F.col("_n") - 1
     touched = placed.select(
         "_ids",
         "_start",
