@@ -10,6 +10,7 @@ from duelframe.catalog import query
 from duelframe.catalog.shared import r6, s6
 from duelframe.functions.columns import quotient
 from duelframe.plans import losses
+from duelframe.session import spread
 
 BETA = 0.001
 REG_COEF = 0.1
@@ -173,7 +174,7 @@ def _grid_sql() -> str:
 
 @query("loss_grid", _grid_sql())
 def loss_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return losses.loss_grid(_pairs(spark, sf_dir), GRID).withColumn("total", F.round("total", 4))
+    return losses.loss_grid(spread(_pairs(spark, sf_dir)), GRID).withColumn("total", F.round("total", 4))
 
 
 def _report_sql() -> str:
@@ -189,7 +190,7 @@ def _report_sql() -> str:
 
 @query("parse_loss_type", _report_sql())
 def parse_loss_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = losses.regularizer_report(_pairs(spark, sf_dir), REGULARIZERS)
+    report = losses.regularizer_report(spread(_pairs(spark, sf_dir)), REGULARIZERS)
     return report.withColumn("reg_loss", r6("reg_loss"))
 
 

@@ -287,9 +287,7 @@ def next_token_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sequence_logp(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = logps.token_logps(logps.next_token_shift(views.token_logits(spark, sf_dir)))
-    totals = logps.sequence_logp(scored).withColumnRenamed("logp", "total")
-    means = logps.sequence_logp(scored, average=True).withColumnRenamed("logp", "mean")
-    return totals.join(means, "seq_id").select(
+    return logps.sequence_logps(scored).select(
         "seq_id", r6("total").alias("total"), r6(F.nanvl("mean", F.lit(None))).alias("mean")
     )
 

@@ -47,17 +47,19 @@ def running_total_before(df: DataFrame, id_col: str, value: Column, out: str) ->
 
     ``id_col`` holds unique non-negative longs. Totals are taken over three levels
     of ``BUCKET_WIDTH``-wide id ranges, so every window group has at most that many
-    rows and the last level has one row per ``BUCKET_WIDTH ** 2`` ids.
+    rows and the last level has one row per ``BUCKET_WIDTH ** 2`` ids. ``df`` is read
+    twice, so it should be narrow and stored.
     """
     before = (Window.unboundedPreceding, -1)
     leveled = (
         df.withColumn("_value", value)
         .withColumn("_bucket", quotient(F.col(id_col), BUCKET_WIDTH))
     )
-    buckets = (
+    buckets = materialize(
         leveled.groupBy("_bucket")
         .agg(F.sum("_value").alias("_bucket_total"))
-        .withColumn("_block", quotient(F.col("_bucket"), BUCKET_WIDTH))
+        .withColumn("_block", quotient(F.col("_bucket"), BUCKET_WIDTH)),
+        "buckets",
     )
     blocks = buckets.groupBy("_block").agg(F.sum("_bucket_total").alias("_block_total"))
     block_starts = blocks.select(

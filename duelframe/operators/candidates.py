@@ -11,10 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duelframe.functions.columns import array_total, win_probability
+from duelframe.functions.columns import array_total, take_last, win_probability
 
 KEY = ("prompt_idx", "sample_id")
 
+# Fixed value: scores looked at under ``compat``.
+COMPAT_SCORES = 5
+
 
 def join_prompt_responses(prompts: DataFrame, responses: DataFrame) -> DataFrame:
     """Every response next to its prompt."""
@@ -35,9 +38,14 @@ def _unexpected(k: int) -> Column:
 
 
 def stack_candidates(responses: DataFrame, k: int) -> DataFrame:
-    """``(prompt_idx, candidates)`` with the k responses in sample order."""
+    """``(prompt_idx, candidates)`` with the k responses in sample order.
+
+    Texts aggregate by sorting. Shuffling them first sorts them once; a partial step
+    before the shuffle would sort them a second time and combine nothing, as a sample
+    has one response.
+    """
     slots = [_slot("response", i).alias(f"_c{i}") for i in range(k)]
-    return responses.groupBy("prompt_idx").agg(*slots).select(
+    return responses.repartition("prompt_idx").groupBy("prompt_idx").agg(*slots).select(
         "prompt_idx", F.array(*[f"_c{i}" for i in range(k)]).alias("candidates")
     )
 
@@ -136,14 +144,17 @@ def candidate_pairs(score_table: DataFrame) -> DataFrame:
     return rows.select("prompt_idx", "i", F.posexplode("_row").alias("j", "prob"))
 
 
-def pair_statistics(score_table: DataFrame) -> DataFrame:
+def pair_statistics(score_table: DataFrame, compat: bool = False) -> DataFrame:
     """Best and worst candidate of a prompt with their three probabilities.
 
-    Only the two matrix rows in use are evaluated.
+    Only the two matrix rows in use are evaluated. ``compat`` looks for both among the
+    last five scores but counts the position from the first candidate, which pairs
+    scores and texts of different candidates when there are more than five.
     """
     scores = F.col("scores")
+    ranked = take_last(scores, COMPAT_SCORES) if compat else scores
     picked = score_table.select(
-        "prompt_idx", "scores", best_index(scores).alias("best"), worst_index(scores).alias("worst")
+        "prompt_idx", "scores", best_index(ranked).alias("best"), worst_index(ranked).alias("worst")
     )
     high, low = F.get(scores, F.col("best")), F.get(scores, F.col("worst"))
     return picked.select(

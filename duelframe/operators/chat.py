@@ -22,9 +22,11 @@ class ChatTemplate:
     start: str
     around: dict[str, tuple[str, str]]
     assistant_opening: str
+    strip_content: bool = False
 
 
-# The text forms the two supported templates must produce.
+# The text forms of the supported templates, and the part of a model's
+# name that selects one.
 TEMPLATES = {
     "default": ChatTemplate(
         start="",
@@ -40,7 +42,34 @@ TEMPLATES = {
         around={"user": ("[INST] ", " [/INST]"), "assistant": ("", "</s>")},
         assistant_opening="",
     ),
+    "llama-3": ChatTemplate(
+        start="<|begin_of_text|>",
+        around={
+            role: (f"<|start_header_id|>{role}<|end_header_id|>\n\n", "<|eot_id|>")
+            for role in ("system", "user", "assistant")
+        },
+        assistant_opening="<|start_header_id|>assistant<|end_header_id|>\n\n",
+        strip_content=True,
+    ),
+    "gemma-2": ChatTemplate(
+        start="<bos>",
+        around={
+            "user": ("<start_of_turn>user\n", "<end_of_turn>\n"),
+            "assistant": ("<start_of_turn>model\n", "<end_of_turn>\n"),
+        },
+        assistant_opening="<start_of_turn>model\n",
+        strip_content=True,
+    ),
 }
+MODEL_FAMILIES = {"mistral": "inst", "llama-3": "llama-3", "gemma-2": "gemma-2"}
+
+
+def template_for_model(model_name: str) -> str:
+    """Template of the model family a name belongs to."""
+    for family, template in MODEL_FAMILIES.items():
+        if family in model_name.lower():
+            return template
+    raise ValueError(f"no template for model {model_name}; supported: {list(MODEL_FAMILIES)}")
 
 
 def message(role: str, content: Column) -> Column:
@@ -67,6 +96,8 @@ def generated_table(prompts: DataFrame, candidates: DataFrame, k: int) -> DataFr
 
 def render_turn(role: Column, content: Column, template: ChatTemplate) -> Column:
     """Text of one message; roles the template does not know render to nothing."""
+    if template.strip_content:
+        content = strip(content)
     rendered = F.lit("")
     for name, (before, after) in template.around.items():
         rendered = F.when(role == name, F.concat(F.lit(before), content, F.lit(after))).otherwise(
@@ -129,8 +160,15 @@ def split_last_turn(messages: Column) -> tuple[Column, Column]:
     return drop_last(messages), take_last(messages, 1)
 
 
-def ensure_system_message(messages: Column, dialogue: Column | None = None) -> Column:
-    """Put an empty system message first unless ``dialogue`` already starts with one."""
+def ensure_system_message(
+    messages: Column, dialogue: Column | None = None, template: str | None = None
+) -> Column:
+    """Put an empty system message first unless ``dialogue`` already starts with one.
+
+    With a ``template`` that knows no system role, nothing is added.
+    """
+    if template is not None and "system" not in TEMPLATES[template].around:
+        return messages
     first_role = F.get(messages if dialogue is None else dialogue, F.lit(0))["role"]
     return F.when(
         ~first_role.eqNullSafe("system"), F.concat(F.array(message("system", F.lit(""))), messages)

@@ -39,7 +39,11 @@ def add_reference_response(
 
 
 def attach_ref_logps(
-    pairs: DataFrame, logps: DataFrame, keys: Sequence[str] = ("pair_id",)
+    pairs: DataFrame,
+    logps: DataFrame,
+    keys: Sequence[str] = ("pair_id",),
+    columns: Sequence[str] = REFERENCE_LOGPS,
 ) -> DataFrame:
-    """Attach the four precomputed log-probability columns."""
-    return attach_columns(pairs, logps, keys, REFERENCE_LOGPS)
+    """Attach precomputed log-probabilities: all four columns, or the two reference ones
+    (``REFERENCE_LOGPS[:2]``) of unregularized training."""
+    return attach_columns(pairs, logps, keys, columns)

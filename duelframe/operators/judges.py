@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from duelframe.functions.columns import quotient
 from duelframe.indexing import running_total_before
+from duelframe.session import materialize
 
 
 def score_candidates(
@@ -82,10 +83,11 @@ def generation_progress(log: DataFrame, every: int, index_col: str = "row_idx")
 
     Rows ``(row_idx, seconds)`` give ``(report, n_done, elapsed, seconds_per_item, eta)``.
     """
-    blocks = (
+    blocks = materialize(
         log.withColumn("report", quotient(F.col(index_col), every))
         .groupBy("report")
-        .agg(F.sum("seconds").alias("_seconds"), F.count(F.lit(1)).alias("_rows"))
+        .agg(F.sum("seconds").alias("_seconds"), F.count(F.lit(1)).alias("_rows")),
+        "reports",
     )
     # Blocks are full but for the last one, so the done count needs no second total.
     running = running_total_before(blocks, "report", F.col("_seconds"), "_before")

@@ -36,16 +36,26 @@ def next_token_shift(df: DataFrame) -> DataFrame:
     return df.drop("label").join(following, ["seq_id", "pos"])
 
 
-def sequence_logp(df: DataFrame, average: bool = False) -> DataFrame:
-    """Sum (or mean) of ``logp`` over the positions of a sequence that carry a label.
+def sequence_logps(df: DataFrame) -> DataFrame:
+    """Sum ``total`` and ``mean`` of ``logp`` over the positions of a sequence with a label.
 
     A sequence without any such position sums to 0; its mean is NaN.
     """
     counted = F.col("label") != IGNORE_LABEL
-    total = F.coalesce(F.sum(F.when(counted, F.col("logp"))), F.lit(0.0))
-    n = F.count_if(counted)
-    value = F.when(n == 0, F.lit(float("nan"))).otherwise(total / n) if average else total
-    return df.groupBy("seq_id").agg(value.alias("logp"))
+    return (
+        df.groupBy("seq_id")
+        .agg(F.sum(F.when(counted, F.col("logp"))).alias("_sum"), F.count_if(counted).alias("_n"))
+        .select(
+            "seq_id",
+            F.coalesce("_sum", F.lit(0.0)).alias("total"),
+            F.when(F.col("_n") == 0, F.lit(float("nan"))).otherwise(F.col("_sum") / F.col("_n")).alias("mean"),
+        )
+    )
+
+
+def sequence_logp(df: DataFrame, average: bool = False) -> DataFrame:
+    """``(seq_id, logp)``: the sum, or the mean, over the positions with a label."""
+    return sequence_logps(df).select("seq_id", F.col("mean" if average else "total").alias("logp"))
 
 
 def completion_logps(df: DataFrame, context_length: int) -> DataFrame:

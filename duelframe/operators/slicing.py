@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from duelframe.functions.columns import hash_order, quotient
 from duelframe.indexing import index_rows
+from duelframe.session import BROADCAST_ROWS, materialize
 
 # Prompt rows one generation round may cover, the size of the sampled
 # test split, the shuffle seed, and the number of prompt sets rounds cycle through.
@@ -17,9 +18,6 @@ TEST_ROWS = 500
 SHUFFLE_SEED = 42
 PROMPT_SETS = 3
 
-# Samples up to this many keys are joined back by broadcast (ids only, below 100 MB).
-_BROADCAST_KEYS = 1_000_000
-
 
 def shard_slice(
     df: DataFrame, frac_len: int, data_frac: int, index_col: str = "prompt_idx"
@@ -71,10 +69,11 @@ def sample_n(
     with fewer than ``n`` rows.
     """
     order = hash_order(seed, *keys)
-    picked = df.select(*keys).orderBy(order, *keys).limit(n)
-    if strict and picked.count() < n:
+    picked = materialize(df.select(*keys).orderBy(order, *keys).limit(n), "sample")
+    n_picked = picked.count()
+    if strict and n_picked < n:
         raise ValueError(f"cannot sample {n} rows from a smaller table")
-    if n <= _BROADCAST_KEYS:
+    if n_picked <= BROADCAST_ROWS:
         picked = F.broadcast(picked)
     return df.join(picked, list(keys), "left_semi")
 
@@ -210,8 +209,13 @@ def iteration_of(output_dir: Column) -> Column:
     return F.regexp_extract(output_dir, r"(\d+)\z", 1).cast("int")
 
 
-def reference_set(output_dir: Column, n_sets: int = PROMPT_SETS) -> Column:
-    """Reference response set used by a round: its number modulo n, n instead of 0."""
+def reference_set(output_dir: Column, n_sets: int = PROMPT_SETS, compat: bool = False) -> Column:
+    """Reference response set used by a round: its number modulo n, n instead of 0.
+
+    ``compat`` reads only the last digit of the name, so round 10 counts as round 0.
+    """
+    if compat:
+        return prompt_schedule(F.substring(output_dir, -1, 1).cast("int"), n_sets)
     return prompt_schedule(iteration_of(output_dir), n_sets)
 
 

@@ -274,12 +274,14 @@ def pad_and_stack(tokenized: DataFrame, pad_id: int = 0, batch_col: str = "batch
     """One row per side, padded to the longest sequence of the batch.
 
     The batch maximum is aggregated before the shuffle and joined back, so a batch
-    with very many rows is not gathered in one task. ``side_pos`` 0 is chosen, 1 rejected.
+    with very many rows is not gathered in one task. The sequences are written once,
+    as both steps need them and the maximum reads only their lengths. ``side_pos`` 0 is
+    chosen, 1 rejected.
     """
     parts = ("input_ids", "attention_mask", "labels")
-    widths = tokenized.groupBy(batch_col).agg(
-        F.max(longer_response(F.col("chosen_input_ids"), F.col("rejected_input_ids"))).alias("_width")
-    )
+    longer = longer_response(F.col("chosen_input_ids"), F.col("rejected_input_ids"))
+    stored = materialize(tokenized.withColumn("_longer", longer), "tokenized")
+    widths = stored.groupBy(batch_col).agg(F.max("_longer").alias("_width"))
     sides = F.array(
         *[
             F.struct(
@@ -294,7 +296,7 @@ def pad_and_stack(tokenized: DataFrame, pad_id: int = 0, batch_col: str = "batch
     carried = [name for name in tokenized.columns if name not in replaced]
     padding = {"input_ids": pad_id, "attention_mask": 0, "labels": IGNORE_LABEL}
     return (
-        tokenized.join(widths, batch_col)
+        stored.join(widths, batch_col)
         .select(*carried, "_width", F.inline(sides))
         .withColumns({name: _pad(F.col(name), F.col("_width"), pad) for name, pad in padding.items()})
         .drop("_width")

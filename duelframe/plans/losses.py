@@ -90,6 +90,23 @@ def single_probability_loss(beta: float) -> Column:
     return (_square(chosen - pull) + _square(rejected + pull)) / 2
 
 
+def unregularized_loss(loss_type: str, beta: float) -> Column:
+    """Loss of training without a regularizer, where the last iterate is the reference."""
+    if loss_type == "sppo":
+        return self_play_loss(beta, "reference")
+    if loss_type == "sppo_single":
+        return single_probability_loss(beta)
+    raise ValueError(f"unknown loss type without a regularizer: {loss_type}")
+
+
+def base_loss(loss_type: str, beta: float, compat: bool = False) -> Column:
+    """The loss a regularizer is added to. ``compat`` gives ``sppo_single`` the plain
+    ``sppo`` loss, which is what its name silently stands for next to regularizers."""
+    if loss_type == "sppo_single" and not compat:
+        return single_probability_loss(beta)
+    return self_play_loss(beta)
+
+
 def regularizer_term(reg: Regularizer) -> Column:
     """Per-pair value whose batch mean is the regularizer."""
     chosen, rejected = policy_gap()
@@ -168,27 +185,35 @@ def forward_regularizer(reference_tokens: DataFrame) -> DataFrame:
     return token_logps(following).groupBy("batch_id").agg((-F.avg(masked)).alias("reg_loss"))
 
 
-def total_loss(df: DataFrame, loss_type: str, beta: float, reg_coef: float) -> DataFrame:
+def total_loss(
+    df: DataFrame, loss_type: str, beta: float, reg_coef: float, compat: bool = False
+) -> DataFrame:
     """``(batch_id, loss, reg_loss, total)``."""
     term = regularizer_term(parse_loss_type(loss_type))
     return (
         df.groupBy("batch_id")
-        .agg(F.avg(self_play_loss(beta)).alias("loss"), F.avg(term).alias("reg_loss"))
+        .agg(F.avg(base_loss(loss_type, beta, compat)).alias("loss"), F.avg(term).alias("reg_loss"))
         .withColumn("total", F.col("loss") + F.lit(float(reg_coef)) * F.col("reg_loss"))
     )
 
 
-def loss_grid(df: DataFrame, grid: Iterable[tuple[str, float, float]]) -> DataFrame:
+def loss_grid(
+    df: DataFrame, grid: Iterable[tuple[str, float, float]], compat: bool = False
+) -> DataFrame:
     """Total loss per batch for every ``(loss_type, beta, reg_coef)`` of a sweep, in one job.
 
-    The table is aggregated once, with one mean per distinct beta and regularizer; the
+    The table is aggregated once, with one mean per distinct loss and regularizer; the
     grid is laid over the aggregated batches, never over the pairs.
     """
     grid = list(grid)
-    betas = sorted({beta for _, beta, _ in grid})
+
+    def base(name: str, beta: float) -> tuple[str, float]:
+        return ("sppo_single" if name == "sppo_single" else "sppo", beta)
+
+    bases = sorted({base(name, beta) for name, beta, _ in grid})
     regs = sorted({parse_loss_type(name) for name, _, _ in grid}, key=repr)
     means = df.groupBy("batch_id").agg(
-        *[F.avg(self_play_loss(beta)).alias(f"_loss{i}") for i, beta in enumerate(betas)],
+        *[F.avg(base_loss(*one, compat)).alias(f"_loss{i}") for i, one in enumerate(bases)],
         *[F.avg(regularizer_term(reg)).alias(f"_reg{i}") for i, reg in enumerate(regs)],
     )
     cells = [
@@ -197,7 +222,7 @@ def loss_grid(df: DataFrame, grid: Iterable[tuple[str, float, float]]) -> DataFr
             F.lit(float(beta)).alias("beta"),
             F.lit(float(coef)).alias("reg_coef"),
             (
-                F.col(f"_loss{betas.index(beta)}")
+                F.col(f"_loss{bases.index(base(name, beta))}")
                 + F.lit(float(coef)) * F.col(f"_reg{regs.index(parse_loss_type(name))}")
             ).alias("total"),
         )

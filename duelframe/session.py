@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_folders: dict[str, str] = {}
 
@@ -66,6 +67,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Rows a checked broadcast may have: a few narrow columns stay far below 100 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Write a narrow table that is expected to be small and mark it for broadcast.
+
+    The rows are counted from the written files; a table beyond ``max_rows`` is
+    returned unmarked and joins by shuffle.
+    """
+    stored = materialize(df, label)
+    return F.broadcast(stored) if stored.count() <= max_rows else stored
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Redistribute a table scan that has fewer splits than the session has task slots.
 

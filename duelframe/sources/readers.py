@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from duelframe.indexing import index_rows
 from duelframe.schema import require_columns
+from duelframe.session import small_side
 
 # Fixed value: name of a shard file, holding the shard and the sample number.
 SHARD_FILE = r"responses_(\d+)_(\d+)\.json$"
@@ -52,6 +53,11 @@ def scan_response_shards(spark: SparkSession, path: str, partitioned: bool = Fal
     )
 
 
+def parse_shard_ids(text: str) -> list[int]:
+    """Shard ids of a list such as ``(0,5,6)``, in its order."""
+    return [int(part) for part in text.strip("()").split(",")]
+
+
 def _shard_position(order: Sequence[int] | None) -> Column:
     """Place of a shard in the given order; ids count as places without one."""
     if order is None:
@@ -65,7 +71,8 @@ def _shard_position(order: Sequence[int] | None) -> Column:
 def combine_shards(shards: DataFrame, order: Sequence[int] | None = None) -> DataFrame:
     """``(prompt_idx, sample_id, response)`` with the shards of a sample laid end to end.
 
-    Offsets come from a table with one row per file; no file is rewritten.
+    Offsets come from a table with one row per file, so the responses are neither
+    shuffled nor rewritten.
     """
     placed = shards.withColumn("shard_pos", _shard_position(order).cast("long"))
     before = (
@@ -73,14 +80,14 @@ def combine_shards(shards: DataFrame, order: Sequence[int] | None = None) -> Dat
         .orderBy("shard_pos")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = (
-        placed.groupBy("sample_id", "shard_pos")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(
+    sizes = placed.groupBy("sample_id", "shard_pos").agg(F.count(F.lit(1)).alias("_rows"))
+    offsets = small_side(
+        sizes.select(
             "sample_id",
             "shard_pos",
             F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
-        )
+        ),
+        "offsets",
     )
     return placed.join(offsets, ["sample_id", "shard_pos"]).select(
         (F.col("_offset") + F.col("pos")).alias("prompt_idx"), "sample_id", "response"

@@ -51,6 +51,16 @@ def test_statistics_match_numpy_for_any_k(spark):
             )
 
 
+def test_compat_looks_at_the_last_five_scores(spark):
+    scores = [9.0, 1.0, 2.0, 3.0, 5.0, -4.0]
+    table = C.score_arrays(_scores(spark, scores), 6)
+    row = C.pair_statistics(table, compat=True).first()
+    assert (row.best, row.worst) == (3, 4)
+    assert row.chosen_probs == pytest.approx(1 / (1 + math.exp(scores[4] - scores[3])))
+    plain = C.pair_statistics(table).first()
+    assert (plain.best, plain.worst) == (0, 5)
+
+
 def test_matrix_properties(spark):
     rows = np.random.default_rng(5).normal(scale=4, size=(20, 5)).tolist()
     table = C.score_arrays(_scores(spark, *rows), 5)

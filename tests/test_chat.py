@@ -21,6 +21,28 @@ def test_prompt_template_cuts_at_none_only_on_request(spark):
     assert _one(df, chat.prompt_template(F.col("prompt"), "inst", compat=True)) == "<s>[INST] a "
 
 
+@pytest.mark.parametrize(
+    "model,expected",
+    [
+        ("org/Mistral-7B-Instruct", "<s>[INST]  q  [/INST]"),
+        (
+            "org/Meta-Llama-3-8B-Instruct",
+            "<|begin_of_text|><|start_header_id|>user<|end_header_id|>\n\nq<|eot_id|>"
+            "<|start_header_id|>assistant<|end_header_id|>\n\n",
+        ),
+        ("org/gemma-2-9b-it", "<bos><start_of_turn>user\nq<end_of_turn>\n<start_of_turn>model\n"),
+    ],
+)
+def test_templates_by_model_name(spark, model, expected):
+    df = spark.createDataFrame([(" q ",)], "prompt string")
+    assert _one(df, chat.prompt_template(F.col("prompt"), chat.template_for_model(model))) == expected
+
+
+def test_unknown_model_name():
+    with pytest.raises(ValueError, match="supported"):
+        chat.template_for_model("other")
+
+
 def test_default_rendering(spark):
     df = _dialogues(spark, [("system", "s"), ("user", "u"), ("tool", "t"), ("assistant", "a")])
     expected = "<|system|>\ns</s>\n<|user|>\nu</s>\n<|assistant|>\na</s>\n"
@@ -38,6 +60,8 @@ def test_system_message_goes_in_front_once(spark):
     rows = df.select("id", chat.ensure_system_message(F.col("messages")).alias("m")).orderBy("id").collect()
     assert [[m.role for m in r.m] for r in rows] == [["system", "user"], ["system", "user"], ["system"]]
     assert rows[0].m[0].content == "" and rows[1].m[0].content == "s"
+    kept = df.select("id", chat.ensure_system_message(F.col("messages"), template="inst").alias("m"))
+    assert [len(r.m) for r in kept.orderBy("id").collect()] == [1, 2, 0]
 
 
 def test_format_pairs_cuts_by_prompt_length(spark):

@@ -75,7 +75,7 @@ def test_regularizers_match_numpy(table, data, name):
 
 def test_grid_equals_single_runs(table, data):
     grid = [(name, beta, coef) for name in LOSS_NAMES for beta in (0.001, 0.1) for coef in (0.1, 2.0)]
-    cells = losses.loss_grid(table, grid).collect()
+    cells = losses.loss_grid(table, grid, compat=True).collect()
     assert len(cells) == len(grid) * 5
     for row in cells:
         v = _batch(data, row.batch_id)
@@ -92,6 +92,27 @@ def test_single_probability_loss(table, data):
     assert got == pytest.approx((((dw - pull) ** 2 + (dl + pull) ** 2) / 2).mean())
 
 
+def test_single_probability_name_with_and_without_compat(table, data):
+    grid = losses.loss_grid(table, [("sppo_single", 0.5, 0.1), ("sppo", 0.5, 0.1)]).collect()
+    got = {(r.batch_id, r.loss_type): r.total for r in grid}
+    for batch in range(5):
+        v = _batch(data, batch)
+        dw, dl, pull = v["pc"] - v["rc"], v["pr"] - v["rr"], (v["p"] - 0.5) / 0.5
+        assert got[batch, "sppo_single"] == pytest.approx((((dw - pull) ** 2 + (dl + pull) ** 2) / 2).mean())
+        assert got[batch, "sppo"] == pytest.approx(_self_play(v, 0.5))
+    alias = losses.total_loss(table, "sppo_single", 0.5, 0.1, compat=True).collect()
+    assert {r.batch_id: r.total for r in alias} == pytest.approx({b: got[b, "sppo"] for b in range(5)})
+
+
+def test_unregularized_names(table, data):
+    row = table.agg(F.avg(losses.unregularized_loss("sppo", 0.5)).alias("x")).first()
+    v = data | {"lc": data["rc"], "lr": data["rr"]}
+    assert row.x == pytest.approx(_self_play(v, 0.5))
+    losses.unregularized_loss("sppo_single", 0.5)
+    with pytest.raises(ValueError):
+        losses.unregularized_loss("sppo_reversekl", 0.5)
+
+
 @pytest.mark.parametrize(
     "name,expected",
     [

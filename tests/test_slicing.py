@@ -104,6 +104,8 @@ def test_schedules(spark):
         slicing.reference_set(F.col("d")).alias("r"), slicing.fixed_prompt_schedule(slicing.iteration_of(F.col("d"))).alias("f")
     ).collect()
     assert [r.r for r in rows] == [1, 3, 1, 1] and {r.f for r in rows} == {1}
+    last_digit = spark.createDataFrame(dirs, "d string").select(slicing.reference_set(F.col("d"), compat=True).alias("r"))
+    assert [r.r for r in last_digit.collect()] == [1, 3, 1, 3]
 
 
 def test_index_rows_is_dense_and_ordered(spark):

@@ -28,6 +28,10 @@ def test_named_shard_files_combine_in_the_given_order(spark, tmp_path):
         readers.combine_shards(shards, [0, 5]).collect()
 
 
+def test_shard_id_list():
+    assert readers.parse_shard_ids("(0,5,6)") == readers.parse_shard_ids("0,5,6") == [0, 5, 6]
+
+
 def test_written_shards_round_trip(spark, tmp_path):
     rows = [(i, j, f"text {i} {j} \"q\" \\ \n") for i in range(23) for j in range(2)]
     table = spark.createDataFrame(rows, "prompt_idx long, sample_id int, response string")
