@@ -216,19 +216,13 @@ def loss_grid(
         *[F.avg(base_loss(*one, compat)).alias(f"_loss{i}") for i, one in enumerate(bases)],
         *[F.avg(regularizer_term(reg)).alias(f"_reg{i}") for i, reg in enumerate(regs)],
     )
-    cells = [
-        F.struct(
-            F.lit(name).alias("loss_type"),
-            F.lit(float(beta)).alias("beta"),
-            F.lit(float(coef)).alias("reg_coef"),
-            (
-                F.col(f"_loss{bases.index(base(name, beta))}")
-                + F.lit(float(coef)) * F.col(f"_reg{regs.index(parse_loss_type(name))}")
-            ).alias("total"),
-        )
+    # Names have passed the parser, so they hold no quotes.
+    cells = ", ".join(
+        f"named_struct('loss_type', '{name}', 'beta', {float(beta)!r}D, 'reg_coef', {float(coef)!r}D, 'total',"
+        f" _loss{bases.index(base(name, beta))} + {float(coef)!r}D * _reg{regs.index(parse_loss_type(name))})"
         for name, beta, coef in grid
-    ]
-    return means.select("batch_id", F.inline(F.array(*cells)))
+    )
+    return means.selectExpr("batch_id", f"inline(array({cells}))")
 
 
 def rewards(df: DataFrame, beta: float) -> DataFrame:

@@ -24,6 +24,8 @@ def build_session(master: str | None = None, app_name: str = "duelframe", **conf
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        # Recording the Python call site of every column costs more than small queries do.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update({key: str(value) for key, value in conf.items()})
     builder = SparkSession.builder.appName(app_name)
