@@ -143,16 +143,16 @@ def reg_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {LP}, b AS (
       SELECT batch_id, avg({_self_play_sql(BETA)}) AS loss, avg({REGULARIZERS["sppo_forward1reverse5"][1]}) AS reg_loss
       FROM lp GROUP BY batch_id)
-    SELECT batch_id, round(loss, 4) AS loss, {s6("reg_loss")} AS reg_loss,
-      round(loss + CAST({REG_COEF} AS DOUBLE) * reg_loss, 4) AS total FROM b""",
+    SELECT batch_id, {s6("loss", 4)} AS loss, {s6("reg_loss")} AS reg_loss,
+      {s6(f"loss + CAST({REG_COEF} AS DOUBLE) * reg_loss", 4)} AS total FROM b""",
 )
 def total_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = losses.total_loss(_pairs(spark, sf_dir), "sppo_forward1reverse5", BETA, REG_COEF)
     return result.select(
         "batch_id",
-        F.round("loss", 4).alias("loss"),
+        r6("loss", 4).alias("loss"),
         r6("reg_loss").alias("reg_loss"),
-        F.round("total", 4).alias("total"),
+        r6("total", 4).alias("total"),
     )
 
 
@@ -166,7 +166,7 @@ def _grid_sql() -> str:
     regs = ", ".join(f"avg({sql}) AS reg{i}" for i, (_, sql) in enumerate(REGULARIZERS.values()))
     cells = " UNION ALL ".join(
         f"""SELECT batch_id, '{name}' AS loss_type, CAST({beta} AS DOUBLE) AS beta, CAST({coef} AS DOUBLE) AS reg_coef,
-        round(loss{GRID_BETAS.index(beta)} + CAST({coef} AS DOUBLE) * reg{list(REGULARIZERS).index(name)}, 4) AS total FROM m"""
+        {s6(f"loss{GRID_BETAS.index(beta)} + CAST({coef} AS DOUBLE) * reg{list(REGULARIZERS).index(name)}", 4)} AS total FROM m"""
         for name, beta, coef in GRID
     )
     return f"WITH {LP}, m AS (SELECT batch_id, {betas}, {regs} FROM lp GROUP BY batch_id) {cells}"
@@ -174,7 +174,7 @@ def _grid_sql() -> str:
 
 @query("loss_grid", _grid_sql())
 def loss_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return losses.loss_grid(spread(_pairs(spark, sf_dir)), GRID).withColumn("total", F.round("total", 4))
+    return losses.loss_grid(spread(_pairs(spark, sf_dir)), GRID).withColumn("total", r6("total", 4))
 
 
 def _report_sql() -> str:

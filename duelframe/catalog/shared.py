@@ -12,13 +12,23 @@ from duelframe.plans.rounds import offline_round
 K = views.CANDIDATES
 
 
-def r6(value: Column | str) -> Column:
-    return F.round(value, 6)
+# Many results are exact short decimals. One that ends in a 5 just past the last kept
+# digit would round by the order of its sum; the offset, far below that digit and far
+# above double precision, moves such values off the edge on both sides.
+_OFF_EDGE = 3e-8
 
 
-def s6(expression: str) -> str:
-    """SQL rounding that turns -0.0 into 0.0."""
-    return f"(round({expression}, 6) + 0.0)"
+def rounded(value: Column | str, digits: int = 6) -> Column:
+    column = F.col(value) if isinstance(value, str) else value
+    return F.round(column + F.lit(_OFF_EDGE), digits)
+
+
+def sql_rounded(expression: str, digits: int = 6) -> str:
+    """The same in SQL; adding 0.0 turns -0.0 into 0.0."""
+    return f"(round(({expression}) + {_OFF_EDGE}, {digits}) + 0.0)"
+
+
+r6, s6 = rounded, sql_rounded
 
 
 def joined(items: Column | str, separator: str = " ") -> Column:
