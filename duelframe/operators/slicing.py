@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelframe.functions.columns import hash_order, quotient
@@ -64,20 +64,31 @@ def sample_n(
 ) -> DataFrame:
     """Exactly ``n`` rows without replacement, the same ones for the same seed.
 
-    ``keys`` identify a row. Only keys are ranked; the rows are fetched by a semi
-    join, so wide columns are neither sorted nor moved. ``strict`` fails on a table
-    with fewer than ``n`` rows.
+    ``keys`` identify a row. Only keys are ranked, and of those only the ones whose hash
+    lies below a bound expected to admit somewhat over twice ``n`` rows; should fewer
+    than needed lie below it, all keys are ranked. The rows are fetched by a semi join,
+    so wide columns are neither sorted nor moved. ``strict`` fails on a table with fewer
+    than ``n`` rows.
     """
-    order = hash_order(seed, *keys)
-    picked = materialize(df.select(*keys).orderBy(order, *keys).limit(n), "sample")
-    n_picked = picked.count()
-    if strict and n_picked < n:
+    total = df.count()
+    if strict and total < n:
         raise ValueError(f"cannot sample {n} rows from a smaller table")
+    hashed = df.select(*keys, hash_order(seed, *keys).alias("_hash"))
+    share = (2 * n + 1000) / max(total, 1)
+    low = hashed if share >= 1 else hashed.filter(F.col("_hash") < f"{int(share * 16**12):012x}")
+    picked = _first_by_hash(low, n, keys)
+    n_picked = picked.count()
+    if n_picked < min(n, total):
+        picked = _first_by_hash(hashed, n, keys)
     if n_picked <= BROADCAST_ROWS:
         picked = F.broadcast(picked)
     return df.join(picked, list(keys), "left_semi")
 
 
+def _first_by_hash(hashed: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
+    return materialize(hashed.orderBy("_hash", *keys).limit(n).select(*keys), "sample")
+
+
 def random_rows(df: DataFrame, k: int, keys: Sequence[str], seed: int = SHUFFLE_SEED) -> DataFrame:
     """``k`` repeatable random rows for display; all of them from a smaller table."""
     return sample_n(df, k, keys, seed, strict=False)
@@ -86,9 +97,29 @@ def random_rows(df: DataFrame, k: int, keys: Sequence[str], seed: int = SHUFFLE_
 def seeded_shuffle(
     df: DataFrame, keys: Sequence[str], seed: int = SHUFFLE_SEED, position: str | None = None
 ) -> DataFrame:
-    """Rows in a repeatable random order; ``position`` stores the place of each row."""
-    order = [hash_order(seed, *keys), *[F.col(k) for k in keys]]
-    return index_rows(df, order, position) if position else df.orderBy(*order)
+    """Rows in a repeatable random order; ``position`` stores the place of each row.
+
+    Places are counted inside the 65,536 ranges of the hash's first four digits, which
+    are of even size whatever the keys, plus the range's start from a count of the keys.
+    """
+    order = hash_order(seed, *keys)
+    if position is None:
+        return df.orderBy(order, *keys)
+    leading = F.substring("_hash", 1, 4)
+    counts = (
+        df.select(order.alias("_hash")).groupBy(leading.alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+    )
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("_hash", *keys)) - 1
+    return (
+        df.withColumn("_hash", order)
+        .withColumn("_range", leading)
+        .withColumn("_within", within)
+        .join(F.broadcast(starts), "_range")  # at most 65,536 rows
+        .withColumn(position, F.col("_start") + F.col("_within"))
+        .drop("_hash", "_range", "_within", "_start")
+    )
 
 
 def route_split(name: Column) -> Column:

@@ -90,6 +90,17 @@ def test_samples_are_exact_and_repeatable(spark):
     assert slicing.random_rows(table, 300, ["row_idx"]).count() == 200
 
 
+def test_sample_equals_ranking_all_keys(spark):
+    import hashlib
+
+    table = spark.range(20_000).withColumnRenamed("id", "k")
+    picked = sorted(r.k for r in slicing.sample_n(table, 30, ["k"], seed=9).collect())
+    ranked = sorted(range(20_000), key=lambda k: hashlib.md5(f"9:{k}".encode()).hexdigest())
+    assert picked == sorted(ranked[:30])
+    places = {r.k: r.place for r in slicing.seeded_shuffle(table, ["k"], 9, "place").collect()}
+    assert places == {k: place for place, k in enumerate(ranked)}
+
+
 def test_split_names(spark):
     names = spark.createDataFrame([("train_sft",), ("test_x",), ("pretrain_test",)], "name string")
     got = [r.s for r in names.select(slicing.route_split(F.col("name")).alias("s")).collect()]

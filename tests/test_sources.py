@@ -96,7 +96,7 @@ def test_scan_prompts(spark):
 
 @pytest.mark.parametrize("name", ["data-x-iter1", "nodash", "a-", "-b", "a-b-c"])
 def test_dataset_name(spark, name):
-    expected = f"synthetic_data_{'-'.join(name.split('-')[1:])}_score"
+    expected = f"synthetic_data_{name.partition('-')[2]}_score"
     got = spark.createDataFrame([(name,)], "n string").select(writers.dataset_name(F.col("n")).alias("d")).first().d
     # A name without a dash has nothing left.
     assert got == expected
