@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from duelframe import views
 from duelframe.catalog import query
 from duelframe.catalog.shared import (
-    CAND, K, PAIRS, PROB, PROBABILITIES, pairs, probabilities, r6, s6, score_table, statistics,
+    CAND, PAIRS, PROB, PROBABILITIES, pairs, probabilities, r6, s6, score_table, statistics,
 )
 from duelframe.functions.columns import quotient
 from duelframe.operators.candidates import win_prob_matrix

@@ -25,7 +25,8 @@ def _length_scorer():
 
 @query(
     "score_candidates",
-    f"WITH {CAND} SELECT prompt_idx, sample_id, {s6('score')} AS score FROM cand JOIN pages ON page_id = prompt_idx",
+    f"""WITH {CAND} SELECT prompt_idx, sample_id, {s6("ln(1 + length(response))")} AS score
+    FROM cand JOIN pages ON page_id = prompt_idx""",
 )
 def score_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = join_prompt_responses(views.prompts(spark, sf_dir), views.responses(spark, sf_dir))

@@ -11,8 +11,8 @@ from duelframe.session import scratch_path
 def windowed_means(stream: DataFrame, window: str, delay: str) -> DataFrame:
     """Mean of every ``key`` per tumbling window over rows ``(ts, key, value)``.
 
-    Rows later than ``delay`` behind the newest timestamp are left out by the
-    watermark, which also bounds the state to the open windows.
+    A window closes once the newest timestamp is ``delay`` past its end; rows that come
+    for it afterwards are left out. The state holds the open windows only.
     """
     return (
         stream.withWatermark("ts", delay)
