@@ -12,9 +12,13 @@ from duelframe.operators.tokens import Encode, words
 # Fixed value: longest n-gram of the published score.
 MAX_ORDER = 4
 
+# Partitions per shuffle partition of the session.
+GROWTH = 2
+
 
 def explode_ngrams(tokens: DataFrame, max_order: int = MAX_ORDER) -> DataFrame:
-    """One row ``(prompt_idx, sample_id, order, gram)`` per n-gram up to ``max_order``.
+    """One row ``(prompt_idx, sample_id, order, gram)`` per n-gram up to ``max_order``,
+    and one of order 0 per sample, so that samples without tokens are seen too.
 
     Each order appends the next token to the stored n-grams one shorter, in one pass
     over the array (a slice per position would copy the whole array every time).
@@ -28,11 +32,11 @@ def explode_ngrams(tokens: DataFrame, max_order: int = MAX_ORDER) -> DataFrame:
             lambda gram, token: F.concat(gram, F.lit("\u0001"), token),
         )
         staged = staged.withColumn(f"_g{order}", longer)
-    by_order = F.array(*[F.col(f"_g{order}") for order in range(1, max_order + 1)])
-    orders = staged.select("prompt_idx", "sample_id", F.posexplode(by_order).alias("_at", "_grams"))
-    return orders.select(
-        "prompt_idx", "sample_id", (F.col("_at") + 1).alias("order"), F.explode("_grams").alias("gram")
+    by_order = F.array(
+        F.array(F.lit("")), *[F.col(f"_g{order}") for order in range(1, max_order + 1)]
     )
+    orders = staged.select("prompt_idx", "sample_id", F.posexplode(by_order).alias("order", "_grams"))
+    return orders.select("prompt_idx", "sample_id", "order", F.explode("_grams").alias("gram"))
 
 
 def self_bleu(
@@ -46,43 +50,36 @@ def self_bleu(
     match makes the score 0 (no smoothing). Prompts with a single sample have nothing
     to compare with and score 0.
     """
-    # A fixed partition count: adaptive coalescing would size tasks by the texts alone.
-    partitions = int(responses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A fixed partition count, as adaptive coalescing would size tasks by the texts alone;
+    # several times the session's, as n-grams take many times the room of their text.
+    partitions = GROWTH * int(responses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tokens = responses.repartition(partitions, "prompt_idx").select(
         "prompt_idx", "sample_id", tokenize(F.col("response")).alias("_tokens")
     )
-    orders = range(1, max_order + 1)
     counted = explode_ngrams(tokens, max_order).groupBy("prompt_idx", "order", "gram").agg(
         *[F.count_if(F.col("sample_id") == i).alias(f"_n{i}") for i in range(k)]
     )
-    clipped = counted.groupBy("prompt_idx", "order").agg(
-        *[F.sum(_clipped(i, k)).alias(f"_clip{i}") for i in range(k)]
+    totals = counted.groupBy("prompt_idx", "order").agg(
+        *[F.sum(_clipped(i, k)).alias(f"_clip{i}") for i in range(k)],
+        *[F.sum(f"_n{i}").alias(f"_all{i}") for i in range(k)],
     )
-    by_order = clipped.groupBy("prompt_idx").agg(
+
+    def at(order: int, name: str) -> Column:
+        return F.max(F.when(F.col("order") == order, F.col(name)))
+
+    # A sample's order-0 row says it exists, its unigrams add up to its length.
+    per_prompt = totals.groupBy("prompt_idx").agg(
+        *[at(order, f"_clip{i}").alias(f"_clip{i}_{order}") for i in range(k) for order in range(1, max_order + 1)],
         *[
-            F.max(F.when(F.col("order") == order, F.col(f"_clip{i}"))).alias(f"_clip{i}_{order}")
+            F.when(at(0, f"_all{i}") > 0, F.coalesce(at(1, f"_all{i}"), F.lit(0))).alias(f"_len{i}")
             for i in range(k)
-            for order in orders
-        ]
-    )
-    lengths = tokens.groupBy("prompt_idx").agg(
-        *[F.max(F.when(F.col("sample_id") == i, F.size("_tokens"))).alias(f"_len{i}") for i in range(k)]
-    )
-    scored = lengths.join(by_order, "prompt_idx", "left").select(
-        "prompt_idx",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("sample_id"),
-                        F.col(f"_len{i}").alias("_len"),
-                        _bleu(i, k, max_order).alias("bleu"),
-                    )
-                    for i in range(k)
-                ]
-            )
-        ),
+        ],
     )
+    samples = [
+        F.struct(F.lit(i).alias("sample_id"), F.col(f"_len{i}").alias("_len"), _bleu(i, k, max_order).alias("bleu"))
+        for i in range(k)
+    ]
+    scored = per_prompt.select("prompt_idx", F.inline(F.array(*samples)))
     return scored.filter(F.col("_len").isNotNull()).drop("_len")
 
 
