@@ -42,3 +42,16 @@ def contamination(docs, benchmark):
                     items |= found
         out.append((doc, len(words), len(hit), len(items), sha(",".join(sorted(items))), bool(hit)))
     return out
+
+
+def tokens(docs, ranks, pattern):
+    import struct
+
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    out = []
+    for doc, text in docs:
+        ids = library.encode_ordinary(text or "")
+        out.append((doc, len(ids), sha(struct.pack(f"<{len(ids)}I", *ids)), sha(library.decode_bytes(ids))))
+    return out
