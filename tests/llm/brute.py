@@ -55,3 +55,34 @@ def tokens(docs, ranks, pattern):
         ids = library.encode_ordinary(text or "")
         out.append((doc, len(ids), sha(struct.pack(f"<{len(ids)}I", *ids)), sha(library.decode_bytes(ids))))
     return out
+
+
+def licenses(docs, templates):
+    import math
+
+    longest = max(len(plain_words(t.text)) for t in templates)
+    out = []
+    for doc, text in docs:
+        words = plain_words(text)
+        places, shares, labels = [], [], set()
+        for t in templates:
+            sequence = plain_words(t.text)
+            if t.phrase:
+                for i in range(len(words) - len(sequence) + 1):
+                    if words[i : i + len(sequence)] == sequence:
+                        places.append((t.label, i))
+                        shares.append(1.0)
+                continue
+            distinct = set(sequence)
+            for begin in range(0, len(words), longest):
+                common = len(distinct & set(words[begin : begin + 2 * longest]))
+                if common >= math.ceil(t.share * len(distinct) - 1e-9):
+                    shares.append(common / len(distinct))
+                    labels.add(t.label)
+        base = {label for label, _ in places}
+        starts = [i for _, i in places]
+        out.append(
+            (doc, len(words), len(places), min(starts, default=None), max(starts, default=None),
+             ",".join(sorted(base)), ",".join(sorted(base | labels)), max(shares, default=0.0))
+        )
+    return out
