@@ -86,3 +86,46 @@ def licenses(docs, templates):
              ",".join(sorted(base)), ",".join(sorted(base | labels)), max(shares, default=0.0))
         )
     return out
+
+
+def _luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        n = int(c)
+        if i % 2:
+            n = n * 2 - (9 if n > 4 else 0)
+        total += n
+    return total % 10 == 0
+
+
+def base_spans(text):
+    text = text or ""
+    out = []
+    patterns = (
+        r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        r"[0-9]([\x20-]?[0-9])+",
+        r"\+[0-9][\x20().0-9-]+[0-9]",
+    )
+    for rank, (kind, pattern) in enumerate(zip(("email", "ip", "card", "phone"), patterns)):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {
+                "email": lambda: True,
+                "ip": lambda: all(int(p) <= 255 for p in m[0].split(".")),
+                "card": lambda: 12 <= len(digits) <= 19 and _luhn(digits),
+                "phone": lambda: 9 <= len(digits) <= 15,
+            }[kind]()
+            if good:
+                out.append((m.start(), rank, kind, m.end()))
+    return sorted(out)
+
+
+def personal(docs):
+    out = []
+    for doc, text in docs:
+        spans = base_spans(text)
+        kinds = [s[2] for s in spans]
+        listed = ",".join(f"{kind}:{start}:{end}" for start, _, kind, end in spans)
+        out.append((doc, *(kinds.count(k) for k in ("email", "ip", "card", "phone")), sha(listed)))
+    return out
