@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duelframe.llm import bpe, decontamination, license_scan, pii
+from duelframe.llm import bpe, decontamination, fingerprints, license_scan, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_and_compare(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.token_digest(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -35,6 +39,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op5_fingerprints": op5_fingerprints,
     "op6_bpe": op6_bpe,
     "op7_pii": op7_pii,
     "op8_license_scan": op8_license_scan,

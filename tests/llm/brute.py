@@ -129,3 +129,25 @@ def personal(docs):
         listed = ",".join(f"{kind}:{start}:{end}" for start, _, kind, end in spans)
         out.append((doc, *(kinds.count(k) for k in ("email", "ip", "card", "phone")), sha(listed)))
     return out
+
+
+def edited(docs):
+    """doc_id to (n_chars, edited text, next text) for distinct ids."""
+    ordered = sorted(docs, key=lambda d: -d[0])
+    out = {}
+    for i, (doc, text) in enumerate(ordered):
+        text, following = text or "", ordered[(i + 1) % len(ordered)][1] or ""
+        third = len(text) // 3
+        out[doc] = (len(text), text[: len(text) - third] + following[:third], following)
+    return out
+
+
+def shingles(text):
+    words = blank_words((text or "").lower())
+    if len(words) < 5:
+        return {tuple(words)} if words else set()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
