@@ -151,3 +151,20 @@ def shingles(text):
 
 def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def substring_dedup(docs, window=50):
+    first = {}
+    split = [(doc, blank_words(text)) for doc, text in docs]
+    for doc, words in split:
+        for i in range(len(words) - window + 1):
+            key = tuple(words[i : i + window])
+            first[key] = min(first.get(key, doc), doc)
+    out = []
+    for doc, words in split:
+        gone = set()
+        for i in range(len(words) - window + 1):
+            if first[tuple(words[i : i + window])] < doc:
+                gone.update(range(i, i + window))
+        out.append((doc, len(words), len(gone), sha(" ".join(w for i, w in enumerate(words) if i not in gone))))
+    return out
