@@ -168,3 +168,21 @@ def substring_dedup(docs, window=50):
                 gone.update(range(i, i + window))
         out.append((doc, len(words), len(gone), sha(" ".join(w for i, w in enumerate(words) if i not in gone))))
     return out
+
+
+def suffix_dedup(docs, length=400):
+    counts = {}
+    split = [(doc, (text or "").encode()) for doc, text in docs]
+    for _, data in split:
+        for i in range(len(data) - length + 1):
+            key = hash(data[i : i + length])
+            counts[key] = counts.get(key, 0) + 1
+    out = []
+    for doc, data in split:
+        gone = bytearray(len(data))
+        for i in range(len(data) - length + 1):
+            if counts[hash(data[i : i + length])] > 1:
+                gone[i : i + length] = b"\x01" * length
+        spans = sum(gone[i] and not (i and gone[i - 1]) for i in range(len(gone)))
+        out.append((doc, len(data), sum(gone), spans, sha(bytes(b for b, g in zip(data, gone) if not g))))
+    return out
