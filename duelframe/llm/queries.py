@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duelframe.llm import bpe, decontamination, fingerprints, license_scan, pii, substring_dedup, suffix_dedup
+from duelframe.llm import bpe, decontamination, fingerprints, jaccard_join, license_scan, pii, substring_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -53,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op6_bpe": op6_bpe,
     "op7_pii": op7_pii,
     "op8_license_scan": op8_license_scan,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 
 SQL: dict[str, str] = {}

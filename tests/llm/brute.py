@@ -186,3 +186,34 @@ def suffix_dedup(docs, length=400):
         spans = sum(gone[i] and not (i and gone[i - 1]) for i in range(len(gone)))
         out.append((doc, len(data), sum(gone), spans, sha(bytes(b for b, g in zip(data, gone) if not g))))
     return out
+
+
+def jaccard_components(docs):
+    sets = []
+    for doc, text in docs:
+        words = blank_words(ascii_lower(text))
+        sets.append((doc, {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()))
+    holders = {}
+    for i, (_, own) in enumerate(sets):
+        for s in own:
+            holders.setdefault(s, []).append(i)
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (_, own) in enumerate(sets):
+        common = {}
+        for s in own:
+            for j in holders[s]:
+                if j < i:
+                    common[j] = common.get(j, 0) + 1
+        for j, n in common.items():
+            if 100 * n >= 75 * (len(own) + len(sets[j][1]) - n):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(sets):
+        least[find(i)] = min(least.get(find(i), doc), doc)
+    return [(doc, len(own), least[find(i)]) for i, (doc, own) in enumerate(sets)]
