@@ -81,10 +81,12 @@ def ask_again(texts: DataFrame, answers: DataFrame, question: Callable[[pa.Table
 def answer(questions: DataFrame, reply: Callable[[int, list[tuple[np.ndarray, np.ndarray]]], list[np.ndarray]], key_type: str) -> DataFrame:
     """Answers of all shards: ``reply`` gets ``(keys, extra bytes)`` of every batch and gives codes.
 
-    Codes are small numbers, one for each key.
+    Codes are small numbers, one for each key. Batches come in order of their numbers: an
+    answer may be computed more than once and must then be the same, however rows arrive.
     """
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_batch")
         kind = table.column("kind")[0].as_py()
         keys = [np.frombuffer(k, key_type) for k in table.column("keys").to_pylist()]
         extra = [np.frombuffer(e, np.uint8) for e in table.column("extra").to_pylist()]
