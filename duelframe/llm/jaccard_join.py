@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelframe.llm.bytewise import BLANK_WORDS, LOWER, blocks, mix, run_hashes, text_buffer, word_hashes, word_spans
@@ -306,11 +306,14 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The row of the least id of every component, all columns kept.
+    """The document with the least id of every component, all columns kept.
 
-    Of rows that share that id, and of components without any id, the row with the least
-    hash of its columns stays.
+    Of rows that share an id, the one with the least hash of its text stays. Rows without
+    an id all stay, as nothing names them.
     """
     found = link_documents(docs).select("doc_id", "component_id")
-    leaders = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_leader")).distinct()
-    return docs.join(leaders, docs["doc_id"].eqNullSafe(leaders["_leader"]), "left_semi")
+    leaders = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_leader"))
+    kept = docs.join(leaders, docs["doc_id"] == leaders["_leader"], "left_semi")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    one = kept.withColumn("_copy_", F.row_number().over(first)).filter("_copy_ = 1").select(*docs.columns)
+    return one.unionByName(docs.filter("doc_id IS NULL"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duelframe.llm import bpe, decontamination, fingerprints, jaccard_join, license_scan, pii, quality, substring_dedup, suffix_dedup
+from duelframe.llm import bpe, decontamination, fingerprints, jaccard_join, license_scan, pii, pseudo_likelihood, quality, substring_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op7_pii": op7_pii,
     "op8_license_scan": op8_license_scan,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_pseudo_likelihood": op10_pseudo_likelihood,
 }
 
 SQL: dict[str, str] = {}
