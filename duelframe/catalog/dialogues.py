@@ -225,13 +225,32 @@ def strip_prompt_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "sft_text",
-    """SELECT conv_id, '<s>' || string_agg(
-      CASE role WHEN 'user' THEN '[INST] ' || text || ' [/INST]'
-                WHEN 'assistant' THEN text || '</s>' ELSE '' END, '' ORDER BY turn) AS text
-    FROM conversations GROUP BY conv_id""",
-)
+_LLAMA_SQL = "'<|begin_of_text|>' || string_agg('<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || trim(text, ' ' || chr(9) || chr(10) || chr(13)) || '<|eot_id|>', '' ORDER BY turn)"
+
+
+@query("sft_text", f"SELECT conv_id, {_LLAMA_SQL} AS text FROM conversations GROUP BY conv_id")
 def sft_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under a template with a form for all three roles, so that every turn is in the text."""
     nested = chat.nest_turns(views.turns(spark, sf_dir))
-    return nested.select("conv_id", chat.sft_text(F.col("messages"), "inst").alias("text"))
+    return nested.select("conv_id", chat.sft_text(F.col("messages"), "llama-3").alias("text"))
+
+
+_TRIMMED = "trim({0}, ' ' || chr(9) || chr(10) || chr(13))"
+
+
+def _gemma_sql(answer: str) -> str:
+    return (
+        f"'<bos><start_of_turn>user' || chr(10) || {_TRIMMED.format('prompt')} || '<end_of_turn>' || chr(10)"
+        f" || '<start_of_turn>model' || chr(10) || {_TRIMMED.format(answer)} || '<end_of_turn>' || chr(10)"
+    )
+
+
+@query(
+    "render_chat_gemma",
+    f"WITH {PAIRS} SELECT prompt_idx, {_gemma_sql('chosen')} AS chosen, {_gemma_sql('rejected')} AS rejected FROM pairs",
+)
+def render_chat_gemma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chosen and rejected dialogues under a template without a system role."""
+    return pairs(spark, sf_dir).select(
+        "prompt_idx", *[chat.render_chat(F.col(side), "gemma-2").alias(side) for side in ("chosen", "rejected")]
+    )

@@ -54,21 +54,27 @@ def _length_judge():
 @query(
     "regroup_judgements",
     f"""WITH {CAND}, req AS (
-      SELECT a.prompt_idx % {WORKERS} AS worker_id, a.prompt_idx, length(a.response) AS first, length(b.response) AS second
+      SELECT a.prompt_idx % {WORKERS} AS worker_id, a.prompt_idx, a.sample_id AS i, b.sample_id AS j,
+        length(a.response) AS first, length(b.response) AS second
       FROM cand a JOIN cand b ON a.prompt_idx = b.prompt_idx JOIN pages ON page_id = a.prompt_idx
-      WHERE a.sample_id = 0 AND b.sample_id = 1)
-    SELECT worker_id, prompt_idx, CASE WHEN first > second THEN 0 WHEN first < second THEN 1 ELSE -1 END AS rank,
+      WHERE a.sample_id < b.sample_id)
+    SELECT worker_id, prompt_idx, i, j, CASE WHEN first > second THEN 0 WHEN first < second THEN 1 ELSE -1 END AS rank,
       CASE WHEN first > second THEN 1.0::DOUBLE WHEN first < second THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS prob FROM req""",
 )
 def regroup_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = candidates(spark, sf_dir).join(views.prompts(spark, sf_dir), "prompt_idx").select(
+    """Every two candidates of a prompt, in one order: k is fixed, so a row makes k(k-1)/2."""
+    two = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(K) for j in range(i + 1, K)])
+    known = candidates(spark, sf_dir).join(views.prompts(spark, sf_dir), "prompt_idx")
+    requests = known.select("prompt_idx", "prompt", "candidates", F.inline(two)).select(
         (F.col("prompt_idx") % WORKERS).alias("worker_id"),
         "prompt_idx",
+        "i",
+        "j",
         "prompt",
-        F.get("candidates", F.lit(0)).alias("first"),
-        F.get("candidates", F.lit(1)).alias("second"),
+        F.get("candidates", F.col("i")).alias("first"),
+        F.get("candidates", F.col("j")).alias("second"),
     )
-    return judges.regroup_judgements(requests, _length_judge)
+    return judges.regroup_judgements(requests, _length_judge, ("worker_id", "prompt_idx", "i", "j"))
 
 
 JUDGED = """judged AS (

@@ -11,7 +11,7 @@ from duelframe.catalog.shared import K
 from duelframe.operators import candidates, slicing
 
 MIXER = {"documents": 0.29, "pages": 0.57, "benchmark": 1.0}
-LANG_MIXER = {"en": 0.29, "fr": 0.57, "de": 1.0}
+LANG_MIXER = {"en": 0.29, "fr": 0.57, "de": 1.0, "es": 0.85}
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from duelframe import views
 from duelframe.operators.candidates import pair_statistics, score_arrays, stack_candidates
+from duelframe.operators.chat import format_pairs, prune_and_rename
 from duelframe.plans.rounds import offline_round
 
 K = views.CANDIDATES
@@ -62,12 +63,10 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stack_candidates(views.responses(spark, sf_dir), K)
 
 
-def text_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate 0 as prompt, 1 as chosen and 2 as rejected text."""
-    return candidates(spark, sf_dir).select(
-        "prompt_idx",
-        *[F.get("candidates", F.lit(i)).alias(name) for i, name in enumerate(("prompt", "chosen", "rejected"))],
-    )
+def formatted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt, chosen and rejected texts of the pairs built from all candidates."""
+    formatted = prune_and_rename(format_pairs(pairs(spark, sf_dir)))
+    return formatted.select("prompt_idx", "prompt", "chosen", "rejected")
 
 
 CAND = """cand AS (

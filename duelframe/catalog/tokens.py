@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from duelframe import views
 from duelframe.catalog import query
-from duelframe.catalog.shared import CAND, joined, r6, s6, text_triples
+from duelframe.catalog.shared import ASSISTANT_SQL, PAIRS, USER_SQL, formatted_pairs, joined, pairs, r6, s6
 from duelframe.functions.columns import quotient
 from duelframe.operators import logps, tokens
 from duelframe.operators.tokens import Limits
+from duelframe.plans import rounds
 from duelframe.session import spread
 
 BOS, EOS, PAD = 1, 2, 0
@@ -31,11 +32,10 @@ def _text(items: str) -> str:
     return f"array_to_string({items}, ' ')"
 
 
-TRIPLES = f"""{CAND},
+TRIPLES = f"""{PAIRS},
 trip AS (
-  SELECT prompt_idx, max(response) FILTER (sample_id = 0) AS prompt,
-    max(response) FILTER (sample_id = 1) AS chosen, max(response) FILTER (sample_id = 2) AS rejected
-  FROM cand GROUP BY prompt_idx)"""
+  SELECT prompt_idx, {USER_SQL.format("prompt")} AS prompt, {ASSISTANT_SQL.format("chosen")} AS chosen,
+    {ASSISTANT_SQL.format("rejected")} AS rejected FROM pairs)"""
 
 SPLIT = f"""{TRIPLES},
 enc AS (
@@ -93,7 +93,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.split_pairs(text_triples(spark, sf_dir))
+    return tokens.split_pairs(formatted_pairs(spark, sf_dir))
 
 
 @query(
@@ -116,7 +116,7 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def tokenize_with(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A caller's tokenizer run in Arrow batches; this one counts characters and spaces."""
-    encode = tokens.tokenizer_encode(lambda: lambda text: [len(text), text.count(" ") + 1])
+    encode = tokens.tokenizer_encode(lambda: lambda texts: [[len(text), text.count(" ") + 1] for text in texts])
     documents = _documents(spark, sf_dir)
     return tokens.tokenize(documents, "text", encode).select("doc_id", joined("text_input_ids").alias("ids"))
 
@@ -178,10 +178,33 @@ def truncate_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
       {_text(LABELS.format(prompt="rp", answer="ra"))} AS rejected_labels FROM cut""",
 )
 def mask_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tokens.tokenize_pairs(text_triples(spark, sf_dir), BOS, EOS, LIMITS)
+    rows = tokens.tokenize_pairs(formatted_pairs(spark, sf_dir), BOS, EOS, LIMITS)
     return rows.select("prompt_idx", *[joined(f"{side}_labels").alias(f"{side}_labels") for side in ("chosen", "rejected")])
 
 
+_WHOLE = ", ".join(
+    f"{_text(f'{head} || {answer}')} AS {side}_input_ids, CAST(len({head} || {answer}) AS INTEGER) AS {side}_attended,"
+    f" {_text(LABELS.format(prompt=head, answer=answer))} AS {side}_labels"
+    for side, head, answer in (("chosen", "cp", "ca"), ("rejected", "rp", "ra"))
+)
+
+
+@query(
+    "training_rows",
+    f"WITH {CUT} SELECT prompt_idx, {_text('p')} AS prompt_input_ids, CAST(len(p) AS INTEGER) AS prompt_attended, {_WHOLE} FROM cut",
+)
+def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second half of the main path: built pairs to tokenized rows."""
+    rows = rounds.training_rows(pairs(spark, sf_dir), BOS, EOS, limits=LIMITS)
+    ids, attended = ("prompt", "chosen", "rejected"), "attention_mask"
+    return rows.select(
+        "prompt_idx",
+        *[joined(f"{name}_input_ids").alias(f"{name}_input_ids") for name in ids],
+        *[F.size(f"{name}_{attended}").alias(f"{name}_attended") for name in ids],
+        *[joined(f"{side}_labels").alias(f"{side}_labels") for side in ids[1:]],
+    )
+
+
 def _padded(items: str, pad: int) -> str:
     return f"{items} || list_transform(range(width - len({items})), lambda x: {pad})"
 
@@ -201,7 +224,7 @@ def _padded(items: str, pad: int) -> str:
       {_text(_padded("labels", -100))} AS labels FROM wide""",
 )
 def pad_and_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tokens.tokenize_pairs(text_triples(spark, sf_dir), BOS, EOS, LIMITS).withColumn(
+    rows = tokens.tokenize_pairs(formatted_pairs(spark, sf_dir), BOS, EOS, LIMITS).withColumn(
         "batch_id", quotient(F.col("prompt_idx"), BATCH)
     )
     stacked = tokens.pad_and_stack(rows, PAD)
@@ -220,7 +243,7 @@ def pad_and_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
       CAST(least(len(p), {LIMITS.max_prompt_length}) AS INTEGER) AS n_attended FROM enc""",
 )
 def encdec_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tokens.encdec_truncate(text_triples(spark, sf_dir), TARGET, LIMITS.max_prompt_length)
+    rows = tokens.encdec_truncate(formatted_pairs(spark, sf_dir), TARGET, LIMITS.max_prompt_length)
     return rows.select(
         "prompt_idx",
         *[joined(name).alias(name) for name in ("chosen_labels", "rejected_labels", "prompt_input_ids")],

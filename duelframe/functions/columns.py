@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Characters str.strip removes beyond Java's Unicode white space class.
@@ -10,6 +10,22 @@ _EXTRA_WHITESPACE = r"\x1c-\x1f"
 _STRIP_PATTERN = rf"(?U)\A[\s{_EXTRA_WHITESPACE}]+|[\s{_EXTRA_WHITESPACE}]+\z"
 
 
+def checked(df: DataFrame, fits: Column, problem: Column | str) -> DataFrame:
+    """``df``, or an error with ``problem`` at the first row for which ``fits`` is not true.
+
+    The check is a filter: unlike a check inside an output column it stays in the plan when
+    that column is not read.
+    """
+    text = F.lit(problem) if isinstance(problem, str) else problem
+    return df.filter(F.when(fits, F.lit(True)).otherwise(F.raise_error(text).cast("boolean")))
+
+
+def named_key(problem: str, *keys: str) -> Column:
+    """``problem`` with the row's key behind it; null keys are named too."""
+    parts = [F.concat(F.lit(f"{key}="), F.coalesce(F.col(key).cast("string"), F.lit("null"))) for key in keys]
+    return F.concat_ws(" ", F.lit(f"{problem}:"), *parts)
+
+
 def win_probability(own: Column, other: Column) -> Column:
     """Logistic of the score gap; a gap past the double range gives 0 or 1."""
     return F.lit(1.0) / (F.lit(1.0) + F.exp(other - own))

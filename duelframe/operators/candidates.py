@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duelframe.functions.columns import array_total, take_last, win_probability
+from duelframe.functions.columns import array_total, checked, named_key, take_last, win_probability
 
 KEY = ("prompt_idx", "sample_id")
 
@@ -42,10 +42,18 @@ def stack_candidates(responses: DataFrame, k: int) -> DataFrame:
 
     Texts aggregate by sorting. Shuffling them first sorts them once; a partial step
     before the shuffle would sort them a second time and combine nothing, as a sample
-    has one response.
+    has one response. A prompt without exactly one response for each of the ``k`` samples
+    stops the job.
     """
     slots = [_slot("response", i).alias(f"_c{i}") for i in range(k)]
-    return responses.repartition("prompt_idx").groupBy("prompt_idx").agg(*slots).select(
+    gathered = responses.repartition("prompt_idx").groupBy("prompt_idx").agg(
+        *slots, F.count(F.lit(1)).alias("_rows"), _unexpected(k).alias("_unexpected")
+    )
+    usable = (F.col("_rows") == k) & (F.col("_unexpected") == 0)
+    for i in range(k):
+        usable &= F.col(f"_c{i}").isNotNull()
+    problem = named_key(f"prompt needs exactly {k} responses, one for each sample, none missing", "prompt_idx")
+    return checked(gathered, usable, problem).select(
         "prompt_idx", F.array(*[f"_c{i}" for i in range(k)]).alias("candidates")
     )
 
@@ -63,15 +71,9 @@ def score_arrays(scores: DataFrame, k: int) -> DataFrame:
     usable = (F.col("_rows") == k) & (F.col("_unexpected") == 0)
     for i in range(k):
         usable &= F.col(f"_s{i}").isNotNull() & ~F.isnan(f"_s{i}")
-    problem = F.concat(
-        F.lit(f"prompt needs exactly {k} scores, none missing or NaN: prompt_idx="),
-        F.col("prompt_idx").cast("string"),
-    )
-    return gathered.select(
-        "prompt_idx",
-        F.when(usable, F.array(*[f"_s{i}" for i in range(k)]))
-        .otherwise(F.raise_error(problem))
-        .alias("scores"),
+    problem = named_key(f"prompt needs exactly {k} scores, none missing or NaN", "prompt_idx")
+    return checked(gathered, usable, problem).select(
+        "prompt_idx", F.array(*[f"_s{i}" for i in range(k)]).alias("scores")
     )
 
 
@@ -171,21 +173,30 @@ def build_pairs(prompts: DataFrame, responses: DataFrame, statistics: DataFrame)
     """Chosen and rejected dialogues with their probabilities, one row per prompt.
 
     Everything is joined and grouped on ``prompt_idx`` alone, so the response texts
-    are shuffled once and texts that are neither best nor worst stop at the join.
+    are shuffled once and texts that are neither best nor worst stop at the join. A scored
+    prompt whose best or worst response is missing, null or repeated stops the job, and so
+    does one that ``prompts`` does not hold.
     """
     from duelframe.operators.chat import build_messages
 
     sample = F.col("sample_id")
-    picked = responses.join(statistics, "prompt_idx").filter(
-        (sample == F.col("best")) | (sample == F.col("worst"))
-    )
+    chosen_here, rejected_here = sample == F.col("best"), sample == F.col("worst")
+    texts = responses.select(F.col("prompt_idx").alias("_prompt"), "sample_id", "response")
+    picked = statistics.join(texts, (F.col("prompt_idx") == F.col("_prompt")) & (chosen_here | rejected_here), "left")
     carried = ("best", "worst", "chosen_probs", "chosen_probs_win", "chosen_probs_lose")
     paired = picked.groupBy("prompt_idx").agg(
-        F.max(F.when(sample == F.col("best"), F.col("response"))).alias("_chosen"),
-        F.max(F.when(sample == F.col("worst"), F.col("response"))).alias("_rejected"),
+        F.max(F.when(chosen_here, F.col("response"))).alias("_chosen"),
+        F.max(F.when(rejected_here, F.col("response"))).alias("_rejected"),
+        F.count_if(chosen_here).alias("_n_chosen"),
+        F.count_if(rejected_here).alias("_n_rejected"),
         *[F.max(name).alias(name) for name in carried],
     )
-    return paired.join(prompts, "prompt_idx").select(
+    whole = (
+        F.col("_chosen").isNotNull() & F.col("_rejected").isNotNull() & (F.col("_n_chosen") == 1) & (F.col("_n_rejected") == 1)
+    )
+    paired = checked(paired, whole, named_key("best or worst response is missing or repeated", "prompt_idx"))
+    known = paired.join(prompts.withColumn("_known", F.lit(True)), "prompt_idx", "left")
+    return checked(known, F.col("_known"), named_key("scored prompt is not in the prompt table", "prompt_idx")).select(
         "prompt_idx",
         build_messages(F.col("prompt"), F.col("_chosen")).alias("chosen"),
         build_messages(F.col("prompt"), F.col("_rejected")).alias("rejected"),

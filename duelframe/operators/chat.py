@@ -8,12 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duelframe.functions.columns import drop_last, strip, take_last, text_from
+from duelframe.functions.columns import checked, drop_last, named_key, strip, take_last, text_from
 from duelframe.schema import PROBABILITY_COLUMNS, require_columns
 
-# A dialogue is one value; longer ones stop the job instead of filling a task.
-MAX_TURNS = 100_000
-
 
 @dataclass(frozen=True)
 class ChatTemplate:
@@ -23,6 +20,8 @@ class ChatTemplate:
     around: dict[str, tuple[str, str]]
     assistant_opening: str
     strip_content: bool = False
+    #: leave out messages of other roles or without content instead of stopping the job
+    lenient: bool = False
 
 
 # The text forms of the supported templates, and the part of a model's
@@ -36,6 +35,7 @@ TEMPLATES = {
             "assistant": ("<|assistant|>\n", "</s>\n"),
         },
         assistant_opening="<|assistant|>\n",
+        lenient=True,
     ),
     "inst": ChatTemplate(
         start="<s>",
@@ -95,10 +95,19 @@ def generated_table(prompts: DataFrame, candidates: DataFrame, k: int) -> DataFr
 
 
 def render_turn(role: Column, content: Column, template: ChatTemplate) -> Column:
-    """Text of one message; roles the template does not know render to nothing."""
+    """Text of one message.
+
+    A role the template has no form for, and a null content, stop the job; the lenient
+    default template leaves such a message out.
+    """
     if template.strip_content:
         content = strip(content)
-    rendered = F.lit("")
+    if template.lenient:
+        rendered = F.lit("")
+    else:
+        problem = F.concat(F.lit("template has no form for role "), F.coalesce(role, F.lit("null")))
+        rendered = F.raise_error(problem).cast("string")
+        content = F.coalesce(content, F.raise_error(F.lit("message without content")).cast("string"))
     for name, (before, after) in template.around.items():
         rendered = F.when(role == name, F.concat(F.lit(before), content, F.lit(after))).otherwise(
             rendered
@@ -226,14 +235,18 @@ def prune_and_rename(df: DataFrame, key: str | None = "prompt_idx") -> DataFrame
     )
 
 
-def nest_turns(turns: DataFrame, key: str = "conv_id", max_turns: int = MAX_TURNS) -> DataFrame:
-    """Turn rows ``(key, turn, role, content)`` to one ``messages`` dialogue per key."""
-    position = F.when(F.col("turn") < max_turns, F.col("turn")).otherwise(
-        F.raise_error(F.lit(f"a dialogue has more than {max_turns} turns"))
-    )
-    ordered = F.array_sort(F.collect_list(F.struct(position.alias("turn"), "role", "content")))
-    return turns.groupBy(key).agg(
-        F.transform(ordered, lambda m: F.struct(m["role"], m["content"])).alias("messages")
+def nest_turns(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Turn rows ``(key, turn, role, content)`` to one ``messages`` dialogue per key.
+
+    A dialogue is one value here; the operators on turn rows take dialogues of any length.
+    A null or repeated turn number has no place in the dialogue and stops the job.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "content")))
+    nested = turns.groupBy(key).agg(ordered.alias("_turns"))
+    numbers = F.transform("_turns", lambda m: m["turn"])
+    placed = ~F.exists(numbers, lambda n: n.isNull()) & (F.size(F.array_distinct(numbers)) == F.size("_turns"))
+    return checked(nested, placed, named_key("null or repeated turn number", key)).select(
+        key, F.transform("_turns", lambda m: F.struct(m["role"], m["content"])).alias("messages")
     )
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duelframe.functions.columns import checked, named_key
 from duelframe.operators.tokens import Encode, words
 
 # Fixed value: longest n-gram of the published score.
@@ -48,7 +49,8 @@ def self_bleu(
     counted in place with k counters per ``(prompt, n-gram)``, and the best count among
     the other samples is row-local. A prompt holds at most k texts. An order without any
     match makes the score 0 (no smoothing). Prompts with a single sample have nothing
-    to compare with and score 0.
+    to compare with and score 0. A sample id outside ``0..k-1`` and a repeated sample stop
+    the job.
     """
     # A fixed partition count, as adaptive coalescing would size tasks by the texts alone;
     # several times the session's, as n-grams take many times the room of their text.
@@ -57,11 +59,13 @@ def self_bleu(
         "prompt_idx", "sample_id", tokenize(F.col("response")).alias("_tokens")
     )
     counted = explode_ngrams(tokens, max_order).groupBy("prompt_idx", "order", "gram").agg(
-        *[F.count_if(F.col("sample_id") == i).alias(f"_n{i}") for i in range(k)]
+        *[F.count_if(F.col("sample_id") == i).alias(f"_n{i}") for i in range(k)],
+        F.count_if(F.col("sample_id").isNull() | ~F.col("sample_id").between(0, k - 1)).alias("_stray"),
     )
     totals = counted.groupBy("prompt_idx", "order").agg(
         *[F.sum(_clipped(i, k)).alias(f"_clip{i}") for i in range(k)],
         *[F.sum(f"_n{i}").alias(f"_all{i}") for i in range(k)],
+        F.sum("_stray").alias("_stray"),
     )
 
     def at(order: int, name: str) -> Column:
@@ -74,7 +78,11 @@ def self_bleu(
             F.when(at(0, f"_all{i}") > 0, F.coalesce(at(1, f"_all{i}"), F.lit(0))).alias(f"_len{i}")
             for i in range(k)
         ],
+        at(0, "_stray").alias("_stray"),
+        F.greatest(*[at(0, f"_all{i}") for i in range(k)], F.lit(0)).alias("_copies"),
     )
+    usable = (F.col("_stray") == 0) & (F.col("_copies") <= 1)
+    per_prompt = checked(per_prompt, usable, named_key(f"samples must be 0 to {k - 1}, each once", "prompt_idx"))
     samples = [
         F.struct(F.lit(i).alias("sample_id"), F.col(f"_len{i}").alias("_len"), _bleu(i, k, max_order).alias("bleu"))
         for i in range(k)

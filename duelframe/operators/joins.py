@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duelframe.functions.columns import checked, named_key
+
 REFERENCE_LOGPS = (
     "reference_chosen_logps",
     "reference_rejected_logps",
@@ -18,16 +20,17 @@ REFERENCE_LOGPS = (
 def attach_columns(
     left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str]
 ) -> DataFrame:
-    """Add ``columns`` of ``right`` to ``left``; a left row without a match stops the job."""
-    addition = right.select(*keys, *columns, F.lit(True).alias("_matched"))
-    problem = F.concat_ws(
-        " ", F.lit(f"no row to attach for {', '.join(keys)}:"), *[F.col(k).cast("string") for k in keys]
-    )
-    checked = {
-        name: F.when(F.col("_matched"), F.col(name)).otherwise(F.raise_error(problem))
-        for name in columns
-    }
-    return left.join(addition, list(keys), "left").withColumns(checked).drop("_matched")
+    """Add ``columns`` of ``right`` to ``left``.
+
+    A left row without a match stops the job, and so does one whose key ``right`` repeats:
+    either would change which rows there are. Keys are counted in the aggregation that
+    brings ``right`` to one row per key, before the join.
+    """
+    addition = right.groupBy(*keys).agg(*[F.first(name).alias(name) for name in columns], F.count(F.lit(1)).alias("_matches"))
+    joined = left.join(addition, list(keys), "left")
+    found = checked(joined, F.col("_matches").isNotNull(), named_key("no row to attach for", *keys))
+    once = checked(found, F.col("_matches") == 1, named_key("several rows to attach for", *keys))
+    return once.drop("_matches")
 
 
 def add_reference_response(

@@ -89,13 +89,15 @@ def generation_progress(log: DataFrame, every: int, index_col: str = "row_idx")
         .agg(F.sum("seconds").alias("_seconds"), F.count(F.lit(1)).alias("_rows")),
         "reports",
     )
-    # Blocks are full but for the last one, so the done count needs no second total.
-    running = running_total_before(blocks, "report", F.col("_seconds"), "_before")
-    total = log.count()
+    # One row per block; blocks may have gaps, so rows are counted as seconds are.
+    seconds = running_total_before(blocks, "report", F.col("_seconds"), "_before")
+    rows = running_total_before(blocks.select("report", F.col("_rows").alias("_n")), "report", F.col("_n"), "_done")
+    running = seconds.join(rows, "report")
+    total = blocks.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
     per_item = F.col("elapsed") / F.col("n_done")
     return running.select(
         "report",
-        (F.col("report") * every + F.col("_rows")).alias("n_done"),
+        (F.col("_done") + F.col("_rows")).alias("n_done"),
         (F.col("_before") + F.col("_seconds")).alias("elapsed"),
     ).withColumns({"seconds_per_item": per_item, "eta": per_item * (F.lit(total) - F.col("n_done"))})
 

@@ -5,7 +5,7 @@ Sequences are arrays inside a row, so everything but padding and packing is row-
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duelframe.functions.columns import drop_first, quotient, take_first, take_last
+from duelframe.functions.columns import checked, drop_first, quotient, take_first, take_last
 from duelframe.indexing import running_total_before
 from duelframe.session import materialize
 
@@ -53,14 +53,24 @@ def word_ids(text: Column) -> Column:
     )
 
 
-def tokenizer_encode(make_tokenizer: Callable[[], Callable[[str], list[int]]]) -> Encode:
-    """Encoder from a caller's tokenizer, built once per task and fed Arrow batches."""
+def tokenizer_encode(make_tokenizer: Callable[[], Callable[[list[str]], Sequence[Sequence[int]]]]) -> Encode:
+    """Encoder from a caller's tokenizer, built once per task.
+
+    The tokenizer gets the texts of an Arrow batch as one list and gives one list of ids
+    per text; a null text is not shown to it and stays null.
+    """
 
     @F.pandas_udf(TOKEN_IDS)
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokenize = make_tokenizer()
         for texts in batches:
-            yield texts.map(lambda text: [int(i) for i in tokenize(text)])
+            there = texts.notna()
+            found = list(tokenize(texts[there].tolist())) if there.any() else []
+            if len(found) != there.sum():
+                raise ValueError(f"the tokenizer gave {len(found)} results for {there.sum()} texts")
+            ids = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+            ids[there] = pd.Series([[int(i) for i in one] for one in found], index=texts.index[there], dtype=object)
+            yield ids
 
     return encode
 
@@ -229,13 +239,8 @@ def tokenize_pairs(
     """
     split = split_pairs(df, encode)
     fits = prompt_consistency(F.col("chosen_prompt_ids"), F.col("rejected_prompt_ids"))
-    checked = split.withColumn(
-        "prompt_ids",
-        F.when(fits, F.col("prompt_ids")).otherwise(
-            F.raise_error(F.lit("chosen and rejected prompts differ beyond their last token"))
-        ),
-    )
-    cut = truncate_pairs(frame_pairs(checked, bos, eos), limits)
+    kept = checked(split, fits, "chosen and rejected prompts differ beyond their last token")
+    cut = truncate_pairs(frame_pairs(kept, bos, eos), limits)
     columns = {
         "prompt_input_ids": F.col("prompt_ids"),
         "prompt_attention_mask": ones(F.col("prompt_ids")),

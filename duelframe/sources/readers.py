@@ -8,12 +8,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from duelframe.functions.columns import checked, named_key
 from duelframe.indexing import index_rows
 from duelframe.schema import require_columns
-from duelframe.session import small_side
+from duelframe.session import materialize, small_side
 
 # Fixed value: name of a shard file, holding the shard and the sample number.
 SHARD_FILE = r"responses_(\d+)_(\d+)\.json$"
+COMBINED_FILE = r"responses_(\d+)\.json$"
 
 
 def scan_prompts(df: DataFrame, order_cols: Sequence[str] | None = None) -> DataFrame:
@@ -31,7 +33,8 @@ def scan_response_shards(spark: SparkSession, path: str, partitioned: bool = Fal
 
     Reads files named ``responses_{shard}_{sample}.json``, or with ``partitioned`` the
     folders ``write_response_shards`` makes. A file is one shard of one sample and is
-    read by one task; the writer's shard length bounds it.
+    read by one task; the writer's shard length bounds it. A file that is not a whole JSON
+    array of strings stops the job.
     """
     if partitioned:
         files = spark.read.text(path, wholetext=True).select("value", "shard", "sample_id")
@@ -46,11 +49,32 @@ def scan_response_shards(spark: SparkSession, path: str, partitioned: bool = Fal
                 F.regexp_extract(name, SHARD_FILE, 2).cast("int").alias("sample_id"),
             )
         )
-    return files.select(
-        F.col("shard").cast("int").alias("shard"),
-        F.col("sample_id").cast("int").alias("sample_id"),
-        F.posexplode(F.from_json("value", "array<string>")).alias("pos", "response"),
+    return _array_rows(files, "shard", "sample_id")
+
+
+def _array_rows(files: DataFrame, *keys: str) -> DataFrame:
+    parsed = files.select(
+        *[F.col(key).cast("int").alias(key) for key in keys],
+        F.from_json("value", "array<string>", {"mode": "FAILFAST"}).alias("_responses"),
+    )
+    whole = F.col("_responses").isNotNull() & ~F.exists("_responses", lambda text: text.isNull())
+    parsed = checked(parsed, whole, named_key("response file is not a JSON array of strings", *keys))
+    return parsed.select(*keys, F.posexplode("_responses").alias("pos", "response"))
+
+
+def scan_combined_responses(spark: SparkSession, path: str) -> DataFrame:
+    """``(prompt_idx, sample_id, response)`` from files ``responses_{sample}.json``.
+
+    Such a file holds the responses of one sample for all prompts, in prompt order, and is
+    read by one task; beyond a few hundred megabytes keep the shards.
+    """
+    files = (
+        spark.read.option("pathGlobFilter", "responses_*.json")
+        .text(path, wholetext=True)
+        .select("value", F.regexp_extract(F.col("_metadata.file_path"), COMBINED_FILE, 1).alias("sample_id"))
+        .filter("sample_id <> ''")
     )
+    return _array_rows(files, "sample_id").select(F.col("pos").cast("long").alias("prompt_idx"), "sample_id", "response")
 
 
 def parse_shard_ids(text: str) -> list[int]:
@@ -72,7 +96,9 @@ def combine_shards(shards: DataFrame, order: Sequence[int] | None = None) -> Dat
     """``(prompt_idx, sample_id, response)`` with the shards of a sample laid end to end.
 
     Offsets come from a table with one row per file, so the responses are neither
-    shuffled nor rewritten.
+    shuffled nor rewritten. Every sample must have the same shards (those of ``order``,
+    else 0, 1, 2, ... without a gap) with as many responses in each; anything else would
+    give responses another prompt and is an error.
     """
     placed = shards.withColumn("shard_pos", _shard_position(order).cast("long"))
     before = (
@@ -80,7 +106,10 @@ def combine_shards(shards: DataFrame, order: Sequence[int] | None = None) -> Dat
         .orderBy("shard_pos")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    sizes = placed.groupBy("sample_id", "shard_pos").agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = materialize(
+        placed.groupBy("sample_id", "shard_pos").agg(F.count(F.lit(1)).alias("_rows"), F.max("pos").alias("_last")), "sizes"
+    )
+    _require_full_grid(sizes, None if order is None else len(order))
     offsets = small_side(
         sizes.select(
             "sample_id",
@@ -94,33 +123,64 @@ def combine_shards(shards: DataFrame, order: Sequence[int] | None = None) -> Dat
     )
 
 
+def _require_full_grid(sizes: DataFrame, n_shards: int | None) -> None:
+    """Raise unless every sample has every shard, of one length over the samples."""
+    samples = sizes.select("sample_id").distinct().count()
+    shards = sizes.groupBy("shard_pos").agg(
+        F.count(F.lit(1)).alias("_samples"), F.min("_rows").alias("_least"), F.max("_rows").alias("_most"), F.max("_last").alias("_last")
+    )
+    odd = shards.filter(
+        (F.col("_samples") != samples) | (F.col("_least") != F.col("_most")) | (F.col("_last") + 1 != F.col("_most"))
+    )
+    found = odd.orderBy("shard_pos").limit(5).collect()
+    if found:
+        raise ValueError("shards that differ between samples: " + ", ".join(f"place {row['shard_pos']}" for row in found))
+    count, last = shards.agg(F.count(F.lit(1)), F.max("shard_pos")).first()
+    expected = n_shards if n_shards is not None else (last or 0) + (last is not None)
+    if count != expected:
+        raise ValueError(f"{expected} shards expected for every sample, {count} found")
+
+
 def scan_scores(shards: DataFrame, frac_len: int, n_shards: int) -> DataFrame:
     """``(prompt_idx, sample_id, score)`` from rows ``(shard_pos, pos, sample_id, score)``.
 
     Several shards without a shard length would all start at row 0 and overwrite each
-    other, so that is refused.
+    other, so that is refused. A position past the shard length belongs to the next shard's
+    rows and stops the job.
     """
     if frac_len <= 0 and n_shards > 1:
         raise ValueError("several score shards need a positive frac_len")
+    if frac_len > 0:
+        inside = (F.col("pos") >= 0) & (F.col("pos") < frac_len)
+        shards = checked(shards, inside, named_key(f"score position outside its shard of {frac_len} rows", "shard_pos", "pos"))
     return shards.select(
         (F.col("shard_pos") * frac_len + F.col("pos")).alias("prompt_idx"), "sample_id", "score"
     )
 
 
 def read_split(spark: SparkSession, folder: str, split: str = "train") -> DataFrame:
-    """The split of a dataset folder: ``{split}.parquet``, else a ``split`` column, else all."""
+    """The split of a dataset folder: ``{split}.parquet``, else rows of a ``split`` column.
+
+    A folder with neither is all training rows; any other split of it is an error.
+    """
     try:
         return spark.read.parquet(f"{folder}/{split}.parquet")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
     whole = spark.read.parquet(folder)
-    return whole.filter(F.col("split") == split) if "split" in whole.columns else whole
+    if "split" in whole.columns:
+        return whole.filter(F.col("split") == split)
+    if split != "train":
+        raise ValueError(f"{folder} has no split {split}")
+    return whole
 
 
 def scan_eval_set(spark: SparkSession, path: str, schema: str, one_array: bool = False) -> DataFrame:
     """Instruction records from JSON: one record per line, or one array per file.
 
-    Lines are split over tasks; an array file is read whole by one task.
+    Lines are split over tasks; an array file is read whole by one task. A malformed record
+    and one without an instruction stop the job.
     """
-    return spark.read.schema(schema).option("multiLine", one_array).json(path)
+    records = spark.read.schema(schema).option("multiLine", one_array).option("mode", "FAILFAST").json(path)
+    return checked(require_columns(records, "instruction"), F.col("instruction").isNotNull(), "evaluation record without an instruction")

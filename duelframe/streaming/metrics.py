@@ -28,14 +28,16 @@ def windowed_means(stream: DataFrame, window: str, delay: str) -> DataFrame:
     )
 
 
-def run_to_table(means: DataFrame, label: str = "metrics") -> DataFrame:
+def run_to_table(means: DataFrame, path: str | None = None) -> DataFrame:
     """Process everything available now and return the closed windows.
 
-    Output and progress go to the shared folder, so a lost executor or a restart
-    repeats no window. Windows still open at the watermark stay in the state.
+    Output and progress go below ``path``, a folder all executors reach: a run that is
+    started again with the same path goes on where the last one stopped and repeats no
+    window. Without a path the run is one of its own, in the shared folder. Windows still
+    open at the watermark are held back in the state and come out of a later run.
     """
     spark = means.sparkSession
-    path = scratch_path(spark, label)
+    path = path or scratch_path(spark, "metrics")
     (
         means.writeStream.format("parquet")
         .option("path", f"{path}/rows")

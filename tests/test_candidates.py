@@ -86,6 +86,48 @@ def test_unusable_scores_stop_the_job(spark, rows):
     table = spark.createDataFrame(rows, "prompt_idx long, sample_id int, score double")
     with pytest.raises(PySparkException, match="exactly 2 scores"):
         C.score_arrays(table, 2).collect()
+    with pytest.raises(PySparkException, match="exactly 2 scores"):
+        C.score_arrays(table, 2).count()
+
+
+RESPONSES = "prompt_idx long, sample_id int, response string"
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(0, 0, "a"), (0, 1, "b"), (0, 2, "c")],
+        [(0, 0, "a"), (0, 1, "b"), (0, 0, "z")],
+        [(0, 0, "a")],
+        [(0, 0, "a"), (0, 1, None)],
+        [(0, 0, "a"), (0, None, "b")],
+    ],
+)
+def test_candidates_need_each_sample_once(spark, rows):
+    with pytest.raises(PySparkException, match="exactly 2 responses.*prompt_idx=0"):
+        C.stack_candidates(spark.createDataFrame(rows, RESPONSES), 2).count()
+
+
+@pytest.mark.parametrize(
+    "responses,prompts,problem",
+    [
+        ([(0, 0, "a"), (0, 1, None)], [(0, "p")], "missing or repeated"),
+        ([(0, 0, "a")], [(0, "p")], "missing or repeated"),
+        ([(0, 0, "a"), (0, 1, "b"), (0, 1, "c")], [(0, "p")], "missing or repeated"),
+        ([(3, 0, "a"), (3, 1, "b")], [(0, "p")], "missing or repeated"),
+        ([(0, 0, "a"), (0, 1, "b")], [(1, "p")], "not in the prompt table"),
+    ],
+)
+def test_a_round_loses_no_prompt(spark, responses, prompts, problem):
+    pairs = offline_round(
+        spark.createDataFrame(prompts, "prompt_idx long, prompt string"),
+        spark.createDataFrame(responses, RESPONSES),
+        _scores(spark, [2.0, 1.0]),
+        2,
+    )
+    for run in (pairs.count, pairs.select("prompt_idx").collect):
+        with pytest.raises(PySparkException, match=problem):
+            run()
 
 
 def test_coverage_names_every_problem(spark):

@@ -119,10 +119,28 @@ def test_turn_rows_and_arrays_agree(spark):
         assert "".join(p.piece for p in pieces if p.conv_id == conv) == text
 
 
-def test_too_long_dialogue_is_refused(spark):
-    table = spark.createDataFrame([(0, t, "user", "x") for t in range(4)], "conv_id long, turn long, role string, content string")
-    with pytest.raises(PySparkException, match="more than 3 turns"):
-        chat.nest_turns(table, max_turns=3).collect()
+TURNS = "conv_id long, turn long, role string, content string"
+
+
+def test_turn_numbers_may_be_large_but_not_null_or_repeated(spark):
+    far = spark.createDataFrame([(0, 150_000, "user", "a"), (0, 150_001, "assistant", "b")], TURNS)
+    assert [m.content for m in chat.nest_turns(far).first().messages] == ["a", "b"]
+    for turn in (None, 1):
+        bad = spark.createDataFrame([(7, 1, "user", "a"), (7, turn, "user", "b")], TURNS)
+        with pytest.raises(PySparkException, match="turn number: conv_id=7"):
+            chat.nest_turns(bad).count()
+
+
+@pytest.mark.parametrize("template", ["inst", "gemma-2", "llama-3"])
+def test_model_templates_refuse_what_they_cannot_render(spark, template):
+    unknown = _dialogues(spark, [("tool", "t"), ("user", "hi")])
+    with pytest.raises(PySparkException, match="no form for role tool"):
+        unknown.select(chat.render_chat(F.col("messages"), template)).collect()
+    blank = _dialogues(spark, [("user", None)])
+    with pytest.raises(PySparkException, match="without content"):
+        blank.select(chat.render_chat(F.col("messages"), template)).collect()
+    lenient = unknown.select(chat.render_chat(F.col("messages")).alias("t")).first().t
+    assert lenient == "<|user|>\nhi</s>\n"
 
 
 def test_strip_takes_all_white_space(spark):

@@ -6,8 +6,8 @@ import __spark_entry__ as entry
 from tests.compare import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = {name: found.run for name, found in entry.REGISTRY.items()}
+SQL = {name: found.sql for name, found in entry.REGISTRY.items()}
 
 
 @pytest.fixture(scope="module")

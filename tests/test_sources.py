@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -28,6 +29,51 @@ def test_named_shard_files_combine_in_the_given_order(spark, tmp_path):
         readers.combine_shards(shards, [0, 5]).collect()
 
 
+def test_a_missing_or_short_shard_is_an_error(spark, tmp_path):
+    texts = {(s, j): [f"{s}{j}{i}" for i in range(3)] for s in range(3) for j in range(2)}
+    for name, gone in (("missing", None), ("short", ["x"]), ("empty", [])):
+        folder = tmp_path / name
+        folder.mkdir()
+        left = {key: value for key, value in texts.items() if key != (1, 0)} | ({(1, 0): gone} if gone is not None else {})
+        _write_shards(folder, left)
+        shards = readers.scan_response_shards(spark, str(folder))
+        with pytest.raises(ValueError, match="differ between samples: place 1"):
+            readers.combine_shards(shards)
+    folder = tmp_path / "gap"
+    folder.mkdir()
+    _write_shards(folder, {key: value for key, value in texts.items() if key[0] != 1})
+    with pytest.raises(ValueError, match="3 shards expected"):
+        readers.combine_shards(readers.scan_response_shards(spark, str(folder)))
+
+
+@pytest.mark.parametrize("content", ['["a", "b', '{"a": 1}', '["a", null]'])
+def test_a_broken_shard_file_stops_the_job(spark, tmp_path, content):
+    (tmp_path / "responses_3_1.json").write_text(content)
+    with pytest.raises((PySparkException, Py4JError)):
+        readers.scan_response_shards(spark, str(tmp_path)).count()
+
+
+def test_combined_files(spark, tmp_path):
+    for sample in range(2):
+        (tmp_path / f"responses_{sample}.json").write_text(json.dumps([f"{sample}{i}" for i in range(3)]))
+    (tmp_path / "responses_0_1.json").write_text('["shard"]')
+    rows = readers.scan_combined_responses(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in rows) == [(i, j, f"{j}{i}") for i in range(3) for j in range(2)]
+
+
+def test_strict_scores_splits_and_evaluation_records(spark, tmp_path):
+    table = spark.createDataFrame([(0, 10, 0, 0.5)], "shard_pos long, pos long, sample_id int, score double")
+    with pytest.raises(PySparkException, match="outside its shard"):
+        readers.scan_scores(table, 10, 2).count()
+    spark.range(3).write.parquet(str(tmp_path / "plain"))
+    with pytest.raises(ValueError, match="no split test"):
+        readers.read_split(spark, str(tmp_path / "plain"), "test")
+    for name, line in (("broken", '{"instruction": "a"'), ("misnamed", '{"instr": "a"}')):
+        (tmp_path / f"{name}.json").write_text(line + "\n")
+        with pytest.raises((PySparkException, Py4JError)):
+            readers.scan_eval_set(spark, str(tmp_path / f"{name}.json"), "instruction string").count()
+
+
 def test_shard_id_list():
     assert readers.parse_shard_ids("(0,5,6)") == readers.parse_shard_ids("0,5,6") == [0, 5, 6]
 

@@ -6,6 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from duelframe.operators import logps, tokens
+from duelframe.operators.joins import attach_columns
 from duelframe.operators.tokens import Limits
 
 
@@ -75,7 +76,7 @@ def test_merged_last_token_moves_the_cut(spark):
 def test_training_row_by_hand(spark):
     df = spark.createDataFrame([(0, "a b ", "c d", "e")], "prompt_idx long, prompt string, chosen string, rejected string")
     ids = {w: i for i, w in enumerate("abcde", start=10)}
-    encode = tokens.tokenizer_encode(lambda: lambda text: [ids[w] for w in text.split()])
+    encode = tokens.tokenizer_encode(lambda: lambda texts: [[ids[w] for w in text.split()] for text in texts])
     row = tokens.tokenize_pairs(df, 1, 2, Limits(20, 10), encode).first()
     assert row.chosen_input_ids == [1, 10, 11, 12, 13, 2]
     assert row.chosen_labels == [-100, -100, -100, 12, 13, 2]
@@ -84,6 +85,40 @@ def test_training_row_by_hand(spark):
     assert row.rejected_attention_mask == [1] * 5
 
 
+def test_tokenizer_sees_batches_and_no_nulls(spark):
+    def make():
+        def tokenize(texts):
+            assert isinstance(texts, list) and None not in texts
+            return [[len(text)] for text in texts]
+
+        return tokenize
+
+    df = spark.createDataFrame([(0, "ab"), (1, None), (2, "")], "id long, text string").coalesce(1)
+    rows = tokens.tokenize(df, "text", tokens.tokenizer_encode(make)).orderBy("id").collect()
+    assert [r.text_input_ids for r in rows] == [[2], None, [0]]
+
+
+def test_differing_prompts_stop_the_job_whatever_is_read(spark):
+    split = spark.createDataFrame([(0, "a b c ", "x", "y")], "prompt_idx long, prompt string, chosen string, rejected string")
+
+    def shuffled(text):
+        # Ids depend on the whole text, so the two joint encodings begin differently.
+        return F.transform(tokens.words(text), lambda w: F.abs(F.hash(F.concat(w, text))))
+
+    rows = tokens.tokenize_pairs(split, 1, 2, Limits(20, 10), shuffled)
+    for run in (rows.count, rows.select("chosen_labels").collect):
+        with pytest.raises(PySparkException, match="differ beyond"):
+            run()
+
+
+def test_attached_rows_are_complete_and_unique(spark):
+    left = spark.createDataFrame([(1,), (2,)], "pair_id long")
+    for rows, problem in (([(1, 0.5)], "no row to attach"), ([(1, 0.5), (2, 0.1), (2, 0.2)], "several rows")):
+        right = spark.createDataFrame(rows, "pair_id long, x double")
+        with pytest.raises(PySparkException, match=problem):
+            attach_columns(left, right, ["pair_id"], ["x"]).count()
+
+
 def test_inconsistent_prompts_are_found(spark):
     df = spark.createDataFrame(
         [(0, [1, 2], [1, 2]), (1, [1, 2], [3, 4]), (2, [1], [1, 2, 3]), (3, [1, 5], [1, 6])],
