@@ -79,7 +79,7 @@ _LANG_FRAC = " ".join(f"WHEN '{name}' THEN {frac}" for name, frac in LANG_MIXER.
 )
 def mix_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = views.load(spark, sf_dir, "documents").select("doc_id", "lang")
-    return slicing.mix_by_source(table, "lang", LANG_MIXER, "doc_id")
+    return slicing.mix_by_source(table, "lang", LANG_MIXER, "doc_id", position="source_row")
 
 
 @query(

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from duelframe.functions.columns import hash_order, quotient
 from duelframe.indexing import index_rows
-from duelframe.session import BROADCAST_ROWS, materialize
 
 # Prompt rows one generation round may cover, the size of the sampled
 # test split, the shuffle seed, and the number of prompt sets rounds cycle through.
@@ -59,34 +58,45 @@ def head_n(df: DataFrame, n: int, index_col: str = "prompt_idx") -> DataFrame:
     return df if n <= 0 else df.filter(F.col(index_col) < n)
 
 
+# Leading hexadecimal digits of a hash that name its range when places are counted.
+RANGE_DIGITS = 4
+
+
 def sample_n(
-    df: DataFrame, n: int, keys: Sequence[str], seed: int = SHUFFLE_SEED, strict: bool = True
+    df: DataFrame, n: int, keys: Sequence[str], seed: int = SHUFFLE_SEED, strict: bool = True, range_digits: int = RANGE_DIGITS
 ) -> DataFrame:
     """Exactly ``n`` rows without replacement, the same ones for the same seed.
 
-    ``keys`` identify a row. Only keys are ranked, and of those only the ones whose hash
-    lies below a bound expected to admit somewhat over twice ``n`` rows; should fewer
-    than needed lie below it, all keys are ranked. The rows are fetched by a semi join,
-    so wide columns are neither sorted nor moved. ``strict`` fails on a table with fewer
-    than ``n`` rows.
+    The rows with the ``n`` least hashes of ``keys``. Rows are counted per hash range, so
+    the hash at place ``n`` is looked for in one range only, and the sample is a filter on
+    the hash: nothing is joined, sorted as a whole or sent to the driver but one count per
+    range. Null keys hash like any other. Of rows that share the last hash, as repeated
+    keys do, as many are taken as are needed. ``strict`` fails on a table with fewer than
+    ``n`` rows.
     """
-    total = df.count()
+    hashed = df.select(hash_order(seed, *keys).alias("_hash"))
+    leading = F.substring("_hash", 1, range_digits)
+    counts = sorted((row["_range"], row["_n"]) for row in hashed.groupBy(leading.alias("_range")).agg(F.count(F.lit(1)).alias("_n")).collect())
+    total = sum(count for _, count in counts)
     if strict and total < n:
         raise ValueError(f"cannot sample {n} rows from a smaller table")
-    hashed = df.select(*keys, hash_order(seed, *keys).alias("_hash"))
-    share = (2 * n + 1000) / max(total, 1)
-    low = hashed if share >= 1 else hashed.filter(F.col("_hash") < f"{int(share * 16**12):012x}")
-    picked = _first_by_hash(low, n, keys)
-    n_picked = picked.count()
-    if n_picked < min(n, total):
-        picked = _first_by_hash(hashed, n, keys)
-    if n_picked <= BROADCAST_ROWS:
-        picked = F.broadcast(picked)
-    return df.join(picked, list(keys), "left_semi")
-
-
-def _first_by_hash(hashed: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
-    return materialize(hashed.orderBy("_hash", *keys).limit(n).select(*keys), "sample")
+    if n >= total:
+        return df
+    if n <= 0:
+        return df.limit(0)
+    before = 0
+    for cut_range, count in counts:
+        if before + count >= n:
+            break
+        before += count
+    inside = hashed.filter(leading == cut_range)
+    last = inside.orderBy("_hash").limit(n - before).agg(F.max("_hash")).first()[0]
+    below, equal = inside.agg(F.count_if(F.col("_hash") < last), F.count_if(F.col("_hash") == last)).first()
+    own = hash_order(seed, *keys)
+    needed = n - before - below
+    if needed == equal:
+        return df.filter(own <= last)
+    return df.filter(own < last).unionByName(df.filter(own == last).limit(needed))
 
 
 def random_rows(df: DataFrame, k: int, keys: Sequence[str], seed: int = SHUFFLE_SEED) -> DataFrame:
@@ -190,34 +200,47 @@ def mix_datasets(
 
 
 def mix_by_source(
-    df: DataFrame, source_col: str, mixer: Mapping[str, float], order_col: str
+    df: DataFrame, source_col: str, mixer: Mapping[str, float], order_col: str, position: str | None = None
 ) -> DataFrame:
     """As ``mix_datasets`` for sources held in one table without positions.
 
-    Positions inside a source come from one global index, so a source that holds
-    most rows is still spread over all tasks.
+    Only source and order value are indexed, over all sources at once, so a source that
+    holds most rows is still spread over all tasks. The order value at each source's last
+    kept place then filters the table itself: texts are neither sorted nor written.
+    ``order_col`` must be unique within a source. ``position`` adds each row's place in its
+    source, by a join with the index.
     """
     validate_fractions(mixer)
     place = F.lit(None).cast("int")
-    frac = F.lit(None).cast("double")
-    for i, (name, share) in enumerate(mixer.items()):
-        here = F.col(source_col) == name
-        place = F.when(here, F.lit(i)).otherwise(place)
-        frac = F.when(here, F.lit(float(share))).otherwise(frac)
-    tagged = df.withColumns({"source_pos": place, "_frac": frac}).filter(
-        F.col("source_pos").isNotNull()
-    )
-    indexed = index_rows(tagged, ["source_pos", order_col], "_global")
+    for i, name in enumerate(mixer):
+        place = F.when(F.col(source_col) == name, F.lit(i)).otherwise(place)
+    tagged = df.withColumn("source_pos", place).filter(F.col("source_pos").isNotNull())
+    indexed = index_rows(tagged.select("source_pos", F.col(order_col).alias("_order")), ["source_pos", "_order"], "_global")
     # One row per name in the mixer.
     sizes = indexed.groupBy("source_pos").agg(
-        F.min("_global").alias("_first"), F.count(F.lit(1)).alias("_n")
+        F.min("_global").alias("_first"), F.count(F.lit(1)).alias("_n"), F.count("_order").alias("_named")
     )
-    return (
-        indexed.join(F.broadcast(sizes), "source_pos")
-        .withColumn("source_row", F.col("_global") - F.col("_first"))
-        .filter(F.col("source_row") < (F.col("_frac") * F.col("_n").cast("double")).cast("long"))
-        .drop("_global", "_first", "_n", "_frac")
+    shares = list(mixer.values())
+    cuts = {row["source_pos"]: (row["_first"], int(shares[row["source_pos"]] * row["_n"]), row["_n"] - row["_named"]) for row in sizes.collect()}
+    if any(unnamed for _, _, unnamed in cuts.values()):
+        raise ValueError(f"{order_col} is null in some rows, which then have no place")
+    last_places = [first + kept - 1 for first, kept, _ in cuts.values() if kept]
+    last = {row["source_pos"]: row["_order"] for row in indexed.filter(F.col("_global").isin(last_places)).collect()}
+    kept_here = F.lit(False)
+    for pos, value in last.items():
+        kept_here = kept_here | ((F.col("source_pos") == pos) & (F.col("_order") <= F.lit(value)))
+    admitted = indexed.filter(kept_here).count()
+    if admitted != sum(kept for _, kept, _ in cuts.values()):
+        raise ValueError(f"{order_col} repeats a value at the end of a source's share")
+    mixed = tagged.withColumn("_order", F.col(order_col)).filter(kept_here).drop("_order")
+    if position is None:
+        return mixed
+    first = F.create_map(*[F.lit(x) for pos, (start, _, _) in cuts.items() for x in (pos, start)])
+    places = indexed.filter(kept_here).select(
+        F.col("source_pos").alias("_pos"), "_order", (F.col("_global") - F.element_at(first, F.col("source_pos"))).alias(position)
     )
+    joined = mixed.join(places, (mixed["source_pos"] == places["_pos"]) & (mixed[order_col] == places["_order"]))
+    return joined.drop("_pos", "_order")
 
 
 def dataset_counts(df: DataFrame, *by: str) -> DataFrame:

@@ -9,12 +9,12 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duelframe.functions.columns import checked, drop_first, quotient, take_first, take_last
-from duelframe.indexing import running_total_before
 from duelframe.session import materialize
 
 # Label of positions that carry no loss, and the length a tokenizer
@@ -313,39 +313,55 @@ def pack_sequences(
 ) -> DataFrame:
     """Join all sequences end to end in id order and cut the stream every ``max_seq_length``.
 
-    Every sequence learns its start in the stream from a running total, hands out one
-    slice per chunk it touches, and a chunk gathers at most ``max_seq_length`` tokens.
-    The last chunk may be shorter. The sequences are written once, because the running
-    total (which reads lengths only) and the slicing both need them. Gives
-    ``(chunk_id, input_ids)``.
+    One range shuffle brings the sequences into order; they are written once, each with the
+    tokens before it in its partition. Partition starts come from a table with one row per
+    partition, so a sequence knows its place without a join back. It hands out one slice per
+    chunk it touches, and a chunk gathers at most ``max_seq_length`` tokens. The last chunk
+    may be shorter. Ids are of any sortable type; null ids come first, and rows that share
+    an id follow each other in the order of their tokens. Gives ``(chunk_id, input_ids)``.
     """
+    spark = df.sparkSession
     ids = F.col(ids_col) if eos is None else add_eos(F.col(ids_col), eos)
-    stored = materialize(
-        df.select(id_col, ids.alias("_ids")).withColumn("_n", F.size("_ids").cast("long")), "sequences"
-    )
-    starts = running_total_before(stored.select(id_col, "_n"), id_col, F.col("_n"), "_start")
-    placed = stored.filter(F.col("_n") > 0).join(starts.drop("_n"), id_col)
-    end = F.col("_start") + F.col("_n") - 1
-    touched = placed.select(
-        "_ids",
-        "_start",
-        F.explode(
-            F.sequence(quotient(F.col("_start"), max_seq_length), quotient(end, max_seq_length))
-        ).alias("chunk_id"),
-    )
-    first = F.greatest(F.col("chunk_id") * max_seq_length - F.col("_start"), F.lit(0))
-    # A chunk that begins inside this sequence takes a full width from it; one that
-    # began earlier takes what is left of the width.
-    room = max_seq_length - F.greatest(F.col("_start") - F.col("chunk_id") * max_seq_length, F.lit(0))
-    pieces = touched.select(
-        "chunk_id",
-        F.struct(
-            F.col("_start").alias("start"),
-            F.slice("_ids", (first + 1).cast("int"), room.cast("int")).alias("ids"),
-        ).alias("_piece"),
+    order = (F.col("_id").asc_nulls_first(), F.xxhash64("_ids"))
+    ordered = (
+        df.select(F.col(id_col).alias("_id"), ids.alias("_ids"))
+        .filter(F.size("_ids") > 0)
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select(F.spark_partition_id().alias("_part"), F.size("_ids").cast("long").alias("_n"), "_ids")
     )
+    stored = materialize(ordered.mapInArrow(_running_length, T.StructType([*ordered.schema.fields, T.StructField("_before", T.LongType())])), "sequences")
+    totals = stored.groupBy("_part").agg(F.sum("_n").alias("_n")).orderBy("_part").collect()
+    starts, total = [], 0
+    for row in totals:  # one row per shuffle partition
+        starts.append((row["_part"], total))
+        total += row["_n"]
+    begins = F.broadcast(spark.createDataFrame(starts, "_part int, _part_start long"))
+    placed = stored.join(begins, "_part").withColumn("_start", F.col("_part_start") + F.col("_before"))
+    start, end = F.col("_start"), F.col("_start") + F.col("_n") - 1
+
+    def piece(chunk: Column) -> Column:
+        first = F.greatest(chunk * max_seq_length - start, F.lit(0))
+        # A chunk that begins inside this sequence takes a full width from it; one that
+        # began earlier takes what is left of the width.
+        room = max_seq_length - F.greatest(start - chunk * max_seq_length, F.lit(0))
+        taken = F.slice("_ids", (first + 1).cast("int"), room.cast("int"))
+        return F.struct(chunk.alias("chunk_id"), F.struct(start.alias("start"), taken.alias("ids")).alias("_piece"))
+
+    chunks = F.sequence(quotient(start, max_seq_length), quotient(end, max_seq_length))
+    pieces = placed.select(F.inline(F.transform(chunks, piece)))
     return pieces.groupBy("chunk_id").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list("_piece")), lambda p: p["ids"])).alias(
             "input_ids"
         )
     )
+
+
+def _running_length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add the tokens that stand before each row in its partition."""
+    total = 0
+    for batch in batches:
+        lengths = batch.column("_n").to_numpy()
+        before = total + lengths.cumsum() - lengths
+        total += int(lengths.sum())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before)], names=[*batch.schema.names, "_before"])

@@ -3,6 +3,7 @@ from collections import Counter
 
 import pandas as pd
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from duelframe.operators import diversity, judges
@@ -88,3 +89,16 @@ def test_win_rate(spark):
     table = spark.createDataFrame([("g", 1.0, 10), ("g", 0.0, 20), ("h", 0.5, 5)], "generator string, prob double, output_length int")
     got = {r.generator: (r.n_judged, r.win_rate, r.mean_length) for r in judges.win_rate(table).collect()}
     assert got == {"g": (2, 0.5, 15.0), "h": (1, 0.5, 5.0)}
+
+
+def test_progress_counts_rows_and_not_positions(spark):
+    log = spark.createDataFrame([(0, 1.0), (1, 1.0), (7, 2.0)], "row_idx long, seconds double")
+    rows = judges.generation_progress(log, 2).orderBy("report").collect()
+    assert [(r.report, r.n_done, r.elapsed, r.eta) for r in rows] == [(0, 2, 2.0, 1.0), (3, 3, 4.0, 0.0)]
+
+
+@pytest.mark.parametrize("rows", [[(0, 0, "a b"), (0, 2, "c")], [(0, 0, "a"), (0, 0, "b")], [(0, None, "a")]])
+def test_self_bleu_refuses_stray_and_repeated_samples(spark, rows):
+    table = spark.createDataFrame(rows, "prompt_idx long, sample_id int, response string")
+    with pytest.raises(PySparkException, match="samples must be 0 to 1"):
+        diversity.self_bleu(table, 2).count()

@@ -73,10 +73,16 @@ def test_mix_by_source_with_one_dominating_source(spark):
     table = spark.range(900).select(
         "id", F.when(F.col("id") % 9 == 0, "small").otherwise("big").alias("source")
     )
-    mixed = slicing.mix_by_source(table, "source", {"small": 1.0, "big": 0.5}, "id")
+    mixed = slicing.mix_by_source(table, "source", {"small": 1.0, "big": 0.5}, "id", position="source_row")
     counts = {r.source: (r.n, r.top) for r in mixed.groupBy("source").agg(
         F.count("*").alias("n"), F.max("source_row").alias("top")).collect()}
     assert counts == {"small": (100, 99), "big": (400, 399)}
+    plain = slicing.mix_by_source(table, "source", {"small": 1.0, "big": 0.5}, "id")
+    assert sorted(r.id for r in plain.collect()) == sorted(r.id for r in mixed.collect())
+    assert "Join" not in plain._jdf.queryExecution().executedPlan().toString()
+    repeated = table.withColumn("id", F.lit(1))
+    with pytest.raises(ValueError, match="repeats a value"):
+        slicing.mix_by_source(repeated, "source", {"big": 0.5}, "id")
 
 
 def test_samples_are_exact_and_repeatable(spark):
@@ -90,6 +96,17 @@ def test_samples_are_exact_and_repeatable(spark):
     assert slicing.random_rows(table, 300, ["row_idx"]).count() == 200
 
 
+def test_sample_is_exact_with_null_and_repeated_keys(spark):
+    rows = [(None if i % 3 == 0 else i // 7, i) for i in range(200)]
+    table = spark.createDataFrame(rows, "k long, i long").repartition(5)
+    for n in (0, 1, 15, 66, 67, 150, 200):
+        assert slicing.sample_n(table, n, ["k"]).count() == n
+    same = spark.createDataFrame([(1, i) for i in range(30)], "k long, i long")
+    assert slicing.sample_n(same, 7, ["k"]).count() == 7
+    picked = slicing.sample_n(table, 15, ["k", "i"])
+    assert "Join" not in picked._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sample_equals_ranking_all_keys(spark):
     import hashlib
 

@@ -182,3 +182,22 @@ def test_log_softmax_of_large_logits(spark):
     df = spark.createDataFrame([([1e4, 0.0], 0), ([1e4, 0.0], 1)], "logits array<float>, label int")
     got = [r.x for r in df.select(logps.log_softmax_at(F.col("logits"), F.col("label")).alias("x")).collect()]
     assert got == pytest.approx([0.0, -1e4])
+
+
+@pytest.mark.parametrize("ids", [[1, 1, 2, None], [-(2**62), 5, 2**62 + 1, 2**40], ["b", "a", None, "a"]])
+def test_packing_takes_any_sortable_id(spark, ids):
+    kind = "string" if isinstance(ids[0], str) else "long"
+    rows = [(key, [10 * i + j for j in range(i + 1)]) for i, key in enumerate(ids)]
+    df = spark.createDataFrame(rows, f"id {kind}, ids array<int>").repartition(3)
+    packed = tokens.pack_sequences(df, "ids", "id", 4).orderBy("chunk_id").collect()
+    stream = [token for row in packed for token in row.input_ids]
+    assert [len(row.input_ids) for row in packed] == [4, 4, 2]
+    assert sorted(stream) == sorted(token for _, own in rows for token in own)
+    places = {own[0]: stream.index(own[0]) for _, own in rows}
+    for key, own in rows:
+        assert stream[places[own[0]] : places[own[0]] + len(own)] == own
+        for other, first in rows:
+            if key is None and other is not None or None not in (key, other) and key < other:
+                assert places[own[0]] < places[first[0]]
+    plan = tokens.pack_sequences(df, "ids", "id", 4)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and plan.count("Exchange hashpartitioning") == 1
