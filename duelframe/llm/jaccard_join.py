@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard join with token-combination prefixes.
 
-A document is the set of its distinct word shingles. Sets are ordered by how many documents
-hold a shingle, unique ones first, then rare, then frequent ones. If two sets of sizes a
+A document is the set of its distinct word shingles. Sets are ordered by how many sets
+hold a shingle (equal sets counted once), unique ones first, then rare, then frequent ones. If two sets of sizes a
 and b share at least ``o`` shingles, their first ``a - o + k`` and ``b - o + k`` share at
 least ``k`` (extended prefix). A rare shingle of the prefix is indexed by itself; frequent
 ones only in combinations of two. Frequent shingles are spread over ``G`` groups and the
@@ -27,13 +27,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelframe.llm.bytewise import BLANK_WORDS, LOWER, blocks, mix, run_hashes, text_buffer, word_hashes, word_spans
-from duelframe.llm.exchange import answer, ask, by_shard, corpus_bytes, deal, finish, shard_count, shard_of
+from duelframe.llm.exchange import answer, ask, ask_again, by_shard, corpus_bytes, deal, finish, shard_count, shard_of
+from duelframe.llm.names import unused
 from duelframe.session import materialize
 
 SHINGLE_WORDS = 5
 # The threshold as a fraction of whole numbers: 75 / 100.
 SHARE = (75, 100)
-# A shingle in more documents than this is frequent.
+# A shingle in more sets than this is frequent.
 FREQUENT = 32
 # Sets up to this size index every shingle by itself as well.
 SMALL_SET = 32
@@ -66,19 +67,52 @@ def shingle_sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.uint64), *sets]), np.array(counts, dtype=np.int64)
 
 
-class _Tokens:
-    """Shingles of a batch by shard and short name, with the number of documents holding each."""
+_NODES, _SHINGLES = 0, 1  # kinds of questions
+
+
+class _Sets:
+    """Sets of a batch; of equal ones the first speaks for all."""
 
-    def __init__(self, table: pa.Table, shards: int):
+    def __init__(self, table: pa.Table):
         self.sets, self.counts = shingle_sets(table)
+        firsts = np.cumsum(self.counts) - self.counts
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.sets ^ _SEED), dtype=np.uint64)])
+        self.node = mix(sums[firsts + self.counts] - sums[firsts] + self.counts.astype(np.uint64))
+        self.names, self.speaker = np.unique(self.node[self.counts > 0], return_index=True)
+        self.speaker = np.flatnonzero(self.counts > 0)[self.speaker]
+
+    def question(self, shards: int) -> list[tuple]:
+        """Sets by name; names are sorted, and shards follow their leading bits."""
+        return by_shard(_NODES, shard_of(self.names, shards).astype(np.int64), self.names, np.zeros(len(self.names), np.uint8))
+
+    def owned(self, known: dict[int, bytes]) -> np.ndarray:
+        """Which documents speak for their set in the whole corpus."""
+        out = np.zeros(len(self.counts), dtype=bool)
+        out[self.speaker] = np.frombuffer(known.get(_NODES, b""), np.uint8) > 0
+        return out
+
+
+class _Tokens:
+    """Shingles of the owned sets of a batch by shard and short name, with the number of sets."""
+
+    def __init__(self, sets: _Sets, owned: np.ndarray, shards: int):
+        tokens = sets.sets[np.repeat(owned, sets.counts)]
         # Short names: two shingles that share one count together, which only overestimates.
-        name = (shard_of(self.sets, shards) << np.uint64(32)) | (mix(self.sets.copy()) & np.uint64(0xFFFFFFFF))
-        self.names, self.kind, documents = np.unique(name, return_inverse=True, return_counts=True)
-        self.documents = np.minimum(documents, 255).astype(np.uint8)
+        name = (shard_of(tokens, shards) << np.uint64(32)) | (mix(tokens.copy()) & np.uint64(0xFFFFFFFF))
+        self.names, self.kind, holders = np.unique(name, return_inverse=True, return_counts=True)
+        self.holders = np.minimum(holders, 255).astype(np.uint8)
 
     def question(self) -> list[tuple]:
         shards = (self.names >> np.uint64(32)).astype(np.int64)
-        return by_shard(0, shards, self.names.astype(np.uint32), self.documents)
+        return by_shard(_SHINGLES, shards, self.names.astype(np.uint32), self.holders)
+
+
+def _owners(kind: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """The first batch that holds a set owns it."""
+    names = np.concatenate([n for n, _ in parts])
+    first = np.zeros(len(names), dtype=np.uint8)
+    first[np.unique(names, return_index=True)[1]] = 1
+    return np.split(first, np.cumsum([len(n) for n, _ in parts])[:-1])
 
 
 def _classes(kind: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
@@ -137,40 +171,32 @@ _SETS_ARROW = pa.schema(
 
 
 def _indexed(table: pa.Table, known: dict[int, bytes], shards: int) -> pa.Table:
-    """Sizes of all documents; shared shingles and index entries of those that can have a partner."""
-    tokens = _Tokens(table, shards)
-    classes = np.frombuffer(known.get(0, b""), np.uint8)[tokens.kind]
-    nodes, shared, entries, at = [], [], [], 0
-    seen: set[int] = set()
-    for size in tokens.counts.tolist():
-        own, kind = tokens.sets[at : at + size], classes[at : at + size]
+    """Size and node of every document; shared shingles and index entries of owned sets that can have a partner."""
+    sets = _Sets(table)
+    owned = sets.owned(known)
+    tokens = _Tokens(sets, owned, shards)
+    classes = np.frombuffer(known.get(_SHINGLES, b""), np.uint8)[tokens.kind]
+    shared: list[bytes | None] = []
+    entries: list[np.ndarray | None] = []
+    at = of_class = 0
+    for size, own in zip(sets.counts.tolist(), owned.tolist()):
+        common = kind = None
+        if own:
+            kind = classes[of_class : of_class + size]
+            common = sets.sets[at : at + size][kind > UNIQUE]
+            of_class += size
         at += size
-        common = own[kind > UNIQUE]
-        if not size or len(common) < required(size):
-            nodes.append(None)
-            shared.append(None)
-            entries.append(None)
-            continue
-        with np.errstate(over="ignore"):
-            node = int(mix(np.array([np.add.reduce(mix(own ^ _SEED)) + np.uint64(size)], dtype=np.uint64)).view(np.int64)[0])
-        nodes.append(node)
-        if node in seen:  # equal sets of a batch bring their shingles once
+        if common is None or len(common) < required(size):
             shared.append(None)
             entries.append(None)
             continue
-        seen.add(node)
         kind = kind[kind > UNIQUE]
         order = np.lexsort((common, kind))
         shared.append(common.tobytes())
         entries.append(signatures(common[order], kind[order], size).view(np.int64))
+    nodes = pa.array(sets.node.view(np.int64), pa.int64(), mask=sets.counts == 0)
     return pa.table(
-        [
-            table.column("_id"),
-            pa.array(tokens.counts, pa.int64()),
-            pa.array(nodes, pa.int64()),
-            pa.array(shared, pa.binary()),
-            pa.array(entries, pa.list_(pa.int64())),
-        ],
+        [table.column("_id"), pa.array(sets.counts, pa.int64()), nodes, pa.array(shared, pa.binary()), pa.array(entries, pa.list_(pa.int64()))],
         schema=_SETS_ARROW,
     )
 
@@ -179,8 +205,14 @@ def index_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     total = corpus_bytes(docs, text_col)
     texts = deal(docs, total, id_col, text_col)
     shards = shard_count(total)
-    classes = answer(ask(texts, lambda table: _Tokens(table, shards).question()), _classes, "<u4")
-    return finish(texts, classes, lambda table, known: _indexed(table, known, shards), _SETS)
+    owners = answer(ask(texts, lambda table: _Sets(table).question(shards)), _owners, "<u8")
+
+    def shingles(table: pa.Table, known: dict[int, bytes]) -> list[tuple]:
+        sets = _Sets(table)
+        return _Tokens(sets, sets.owned(known), shards).question()
+
+    classes = answer(ask_again(texts, owners, shingles), _classes, "<u4")
+    return finish(texts, owners.unionByName(classes), lambda table, known: _indexed(table, known, shards), _SETS)
 
 
 # Nodes of a block of a large candidate group, and bytes of shingles in a task of small ones.
@@ -312,8 +344,9 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     an id all stay, as nothing names them.
     """
     found = link_documents(docs).select("doc_id", "component_id")
-    leaders = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_leader"))
-    kept = docs.join(leaders, docs["doc_id"] == leaders["_leader"], "left_semi")
+    leader, copy = unused(docs, "_leader"), unused(docs, "_copy")
+    leaders = found.filter("doc_id = component_id").select(F.col("doc_id").alias(leader))
+    kept = docs.join(leaders, F.col("doc_id") == F.col(leader), "left_semi")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    one = kept.withColumn("_copy_", F.row_number().over(first)).filter("_copy_ = 1").select(*docs.columns)
+    one = kept.withColumn(copy, F.row_number().over(first)).filter(F.col(copy) == 1).select(*docs.columns)
     return one.unionByName(docs.filter("doc_id IS NULL"))
