@@ -120,6 +120,17 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stream:
     return out
 
 
+def rolling_hashes(data: np.ndarray, length: int, stream: int = 0) -> np.ndarray:
+    """A 64-bit hash of every ``length`` consecutive bytes, from one running sum."""
+    n = len(data) - length + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    power, inverse = _power_tables(stream, len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_VALUES[stream][data] * power[: len(data)], out=sums[1:])
+    return mix((sums[length:] - sums[:-length]) * inverse[:n])
+
+
 def join_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Identifier of two neighbouring stretches from the identifiers of each."""
     return mix(left * _LEFT + right)
