@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duelframe.llm.bytewise import LOWER, PLAIN_WORDS, blocks, text_buffer, word_hashes, word_spans
+from duelframe.llm.names import unused
 
 WINDOW = 10
 # Bytes of benchmark text whose patterns are broadcast together.
@@ -143,8 +144,9 @@ def find_occurrences(
     text_col: str = "text",
     window: int = WINDOW,
     slice_bytes: int = SLICE_BYTES,
+    out: tuple[str, str, str] = ("n_words", "occurrences", "items"),
 ) -> DataFrame:
-    """``keep`` columns of ``docs`` with ``n_words``, ``occurrences`` and ``items``.
+    """``keep`` columns of ``docs`` with ``n_words``, ``occurrences`` and ``items``, named by ``out``.
 
     ``occurrences`` lists ``(start, words)`` of every place where a benchmark window
     occurs, in words from 0; ``items`` the item ids found, as sorted strings. A null or
@@ -181,7 +183,8 @@ def find_occurrences(
                 yield pa.RecordBatch.from_arrays([fresh.get(name, batch.column(i)) for i, name in enumerate(batch.schema.names)], names=batch.schema.names)
 
         state = state.mapInArrow(search, schema)
-    return state.select(*[F.col(f"_keep{i}").alias(name) for i, name in enumerate(kept)], "n_words", "occurrences", "items")
+    results = [F.col(name).alias(own) for name, own in zip(("n_words", "occurrences", "items"), out)]
+    return state.select(*[F.col(f"_keep{i}").alias(name) for i, name in enumerate(kept)], *results)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
@@ -210,5 +213,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options: object) -> D
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
     """The documents in which no benchmark window occurs, all columns kept."""
     names = docs.columns
-    found = find_occurrences(docs, benchmark, keep=tuple(names), **options)
-    return found.filter(F.size("items") == 0).select(*names)
+    out = tuple(unused(docs, name) for name in ("n_words", "occurrences", "items"))
+    found = find_occurrences(docs, benchmark, keep=tuple(names), out=out, **options)
+    return found.filter(F.size(out[2]) == 0).select(*names)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelframe.indexing import index_rows
+from duelframe.llm.names import unused
 
 SHINGLE_WORDS = 5
 BINS = 256
@@ -37,13 +38,13 @@ def _bin(value: Column) -> Column:
     return F.shiftright(value, _RANK_BITS)
 
 
-def _walk(empty_bin: Column) -> Column:
+def _walk(empty_bin: Column, ranks: str) -> Column:
     """Rank of the first filled bin on the walk from ``empty_bin``; null when all are empty."""
-    steps = [F.get("_ranks", F.pmod(F.xxhash64(empty_bin, F.lit(step)), F.lit(BINS)).cast("int")) for step in range(_STEPS)]
+    steps = [F.get(ranks, F.pmod(F.xxhash64(empty_bin, F.lit(step)), F.lit(BINS)).cast("int")) for step in range(_STEPS)]
     # Behind those steps the walk goes through the bins in a random order of its own.
     rest = F.array_min(
         F.filter(
-            F.transform("_ranks", lambda rank, b: F.when(rank.isNotNull(), F.struct(F.xxhash64(empty_bin, b, F.lit("order")), rank.alias("rank")))),
+            F.transform(ranks, lambda rank, b: F.when(rank.isNotNull(), F.struct(F.xxhash64(empty_bin, b, F.lit("order")), rank.alias("rank")))),
             lambda x: x.isNotNull(),
         )
     )["rank"]
@@ -56,42 +57,43 @@ def add_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
     Shingles are five consecutive lower-cased words; fewer words are one shingle. Equal
     texts have equal fingerprints. A null text counts as empty.
     """
+    words_col, sorted_col, ranks_col, dense_col = (unused(df, name) for name in ("_words", "_sorted", "_ranks", "_dense"))
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     words = F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")
-    step = df.withColumn("_words", F.transform(words, lambda w: F.xxhash64(w)))
+    step = df.withColumn(words_col, F.transform(words, lambda w: F.xxhash64(w)))
     positive = lambda h: F.shiftrightunsigned(h, 1)
-    count = F.size("_words")
+    count = F.size(words_col)
     shingles = (
         F.when(
             count >= SHINGLE_WORDS,
             F.transform(
-                F.slice("_words", F.lit(1), count - (SHINGLE_WORDS - 1)),
-                lambda w, i: positive(F.xxhash64(w, *[F.get("_words", i + j) for j in range(1, SHINGLE_WORDS)])),
+                F.slice(words_col, F.lit(1), count - (SHINGLE_WORDS - 1)),
+                lambda w, i: positive(F.xxhash64(w, *[F.get(words_col, i + j) for j in range(1, SHINGLE_WORDS)])),
             ),
         )
-        .when(count > 0, F.array(positive(F.xxhash64("_words"))))
+        .when(count > 0, F.array(positive(F.xxhash64(words_col))))
         .otherwise(F.expr("CAST(array() AS array<bigint>)"))
     )
     # One value above all ranks for each bin: after sorting, the first value of a bin is its
     # least rank or that mark.
     marks = F.array(*[F.lit((b << _RANK_BITS) | _EMPTY_RANK) for b in range(BINS)])
-    step = step.withColumn("_sorted", F.sort_array(F.concat(shingles, marks)))
-    first = F.filter("_sorted", lambda v, i: (i == 0) | (_bin(v) != _bin(F.get("_sorted", i - 1))))
-    step = step.withColumn("_ranks", F.transform(first, lambda v: F.when(_rank(v) != _EMPTY_RANK, _rank(v))))
+    step = step.withColumn(sorted_col, F.sort_array(F.concat(shingles, marks)))
+    first = F.filter(sorted_col, lambda v, i: (i == 0) | (_bin(v) != _bin(F.get(sorted_col, i - 1))))
+    step = step.withColumn(ranks_col, F.transform(first, lambda v: F.when(_rank(v) != _EMPTY_RANK, _rank(v))))
     # A rank is hashed with its bin, so that a rank taken over by many bins does not bring the
     # same low bits to all of them.
-    step = step.withColumn("_dense", F.transform("_ranks", lambda rank, b: F.xxhash64(F.coalesce(rank, _walk(b)), b)))
+    step = step.withColumn(dense_col, F.transform(ranks_col, lambda rank, b: F.xxhash64(F.coalesce(rank, _walk(b, ranks_col)), b)))
     packed = F.transform(
         F.sequence(F.lit(0), F.lit(BINS // _PER_LONG - 1)),
         lambda g: F.aggregate(
-            F.slice("_dense", g * _PER_LONG + 1, F.lit(_PER_LONG)),
+            F.slice(dense_col, g * _PER_LONG + 1, F.lit(_PER_LONG)),
             F.lit(0).cast("long"),
             lambda acc, rank: F.shiftleft(acc, BITS).bitwiseOR(rank.bitwiseAND(F.lit((1 << BITS) - 1))),
         ),
     )
     empty = F.expr("CAST(array() AS array<bigint>)")
-    step = step.withColumn(out, F.when((F.size("_words") > 0) & (F.size("_dense") > 0), packed).otherwise(empty))
-    return step.drop("_words", "_sorted", "_ranks", "_dense")
+    step = step.withColumn(out, F.when((F.size(words_col) > 0) & (F.size(dense_col) > 0), packed).otherwise(empty))
+    return step.drop(words_col, sorted_col, ranks_col, dense_col)
 
 
 def likeness(left: str, right: str) -> Column:
@@ -124,7 +126,8 @@ def as_hex(fingerprint: str) -> Column:
 
 def fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
     """All columns of ``docs`` with the hexadecimal fingerprint as ``out``."""
-    return add_fingerprint(docs, text_col, "_packed").withColumn(out, as_hex("_packed")).drop("_packed")
+    packed = unused(docs, "_packed")
+    return add_fingerprint(docs, text_col, packed).withColumn(out, as_hex(packed)).drop(packed)
 
 
 def edit_and_compare(docs: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duelframe.llm.names import unused
+
 # The four base patterns with their order.
 KINDS = ("email", "ip", "card", "phone", "iban")
 _EMAIL_CHARS = "[A-Za-z0-9._%+-]"
@@ -147,10 +149,11 @@ def mask_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Spans that overlap are replaced together, by the kind of the first. ``n_chars`` follows
     the new text where the table has that column; null texts stay null.
     """
+    spans_col, merged_col, masked_col = (unused(docs, name) for name in ("_spans", "_merged", "_masked"))
     start = lambda s: s["start"]
     empty = F.expr("CAST(array() AS array<struct<kind: string, start: bigint, end: bigint>>)")
     merged = F.aggregate(
-        "_spans",
+        spans_col,
         empty,
         lambda acc, s: F.when(
             (F.size(acc) > 0) & (start(s) < F.element_at(acc, -1)["end"]),
@@ -168,22 +171,22 @@ def mask_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     text = F.col(text_col)
     pieces = F.transform(
-        "_merged",
+        merged_col,
         lambda s, i: F.concat(
             F.substr(
                 text,
-                F.coalesce(F.get("_merged", i - 1)["end"], F.lit(0)).cast("int") + 1,
-                (start(s) - F.coalesce(F.get("_merged", i - 1)["end"], F.lit(0))).cast("int"),
+                F.coalesce(F.get(merged_col, i - 1)["end"], F.lit(0)).cast("int") + 1,
+                (start(s) - F.coalesce(F.get(merged_col, i - 1)["end"], F.lit(0))).cast("int"),
             ),
             F.lit("["),
             F.upper(s["kind"]),
             F.lit("]"),
         ),
     )
-    rest = F.substr(text, F.element_at("_merged", -1)["end"].cast("int") + 1, F.length(text))
-    masked = F.when(F.size("_merged") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(text)
-    out = find_spans(docs, text_col, "_spans").withColumn("_merged", merged).withColumn("_masked", masked)
-    names = [F.col("_masked").alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    rest = F.substr(text, F.element_at(merged_col, -1)["end"].cast("int") + 1, F.length(text))
+    masked = F.when(F.size(merged_col) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(text)
+    out = find_spans(docs, text_col, spans_col).withColumn(merged_col, merged).withColumn(masked_col, masked)
+    names = [F.col(masked_col).alias(c) if c == text_col else F.col(c) for c in docs.columns]
     done = out.select(*names)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelframe.llm.bytewise import blocks, text_buffer
+from duelframe.llm.names import unused
 
 WIDTH = 6
 FILTERS = 8
@@ -210,5 +211,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents the classifier predicts to be good, all columns kept."""
     names = docs.columns
-    scored = score_documents(docs, fit(docs, labels), keep=tuple(names), out="_score_")
-    return scored.filter(F.col("_score_") >= THRESHOLD).select(*names)
+    out = unused(docs, "score")
+    scored = score_documents(docs, fit(docs, labels), keep=tuple(names), out=out)
+    return scored.filter(F.col(out) >= THRESHOLD).select(*names)

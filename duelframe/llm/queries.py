@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duelframe.llm import bpe, decontamination, fingerprints, jaccard_join, license_scan, pii, pseudo_likelihood, quality, substring_dedup, suffix_dedup
+from duelframe.llm import bpe, decontamination, fingerprints, jaccard_join, license_scan, oracles, pii, pseudo_likelihood, quality, substring_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,4 +70,8 @@ QUERIES: dict[str, Query] = {
     "op10_pseudo_likelihood": op10_pseudo_likelihood,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_decontamination": oracles.DECONTAMINATION,
+    "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op9_jaccard_join": oracles.JACCARD_JOIN,
+}
