@@ -92,8 +92,11 @@ def add_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
         ),
     )
     empty = F.expr("CAST(array() AS array<bigint>)")
-    step = step.withColumn(out, F.when((F.size(words_col) > 0) & (F.size(dense_col) > 0), packed).otherwise(empty))
-    return step.drop(words_col, sorted_col, ranks_col, dense_col)
+    value = F.when((F.size(words_col) > 0) & (F.size(dense_col) > 0), packed).otherwise(empty)
+    # Given out as the one element of an array: a later filter on the result then stays above
+    # this step, instead of being rewritten in terms of the texts, lambda by lambda.
+    kept = [column for column in df.columns if column != out]
+    return step.select(*kept, F.explode(F.array(value)).alias(out))
 
 
 def likeness(left: str, right: str) -> Column:
