@@ -30,6 +30,9 @@ OFFSETS = (-2, -1, 1, 2)
 HIDDEN = 16
 ROUNDS = 2
 RATE = 0.01
+# Words of a training step: small at first, so that a small share also makes many steps.
+FIRST_STEP = 1_024
+GROW_EVERY = 16
 TRAIN_STEP = 16_384
 SCORE_STEP = 32_768
 _PAD = 0
@@ -132,14 +135,21 @@ class Trainer:
         if self.count >= TRAIN_STEP:
             self.finish()
 
+    def size(self) -> int:
+        return min(TRAIN_STEP, FIRST_STEP * (1 + self.step // GROW_EVERY))
+
     def finish(self) -> None:
         if not self.count:
             return
         target = np.concatenate([t for t, _ in self.waiting])
         around = np.concatenate([a for _, a in self.waiting], axis=1)
         self.waiting, self.count = [], 0
-        pieces = max(1, len(target) // TRAIN_STEP)
-        for rows in np.array_split(np.arange(len(target)), pieces):
+        # Neighbouring words are alike; a step takes its words from all over what is there.
+        order = np.random.default_rng(self.step).permutation(len(target))
+        at = 0
+        while at < len(order):
+            rows = order[at : at + self.size()]
+            at += len(rows)
             self.update(_Pass(self.p, target[rows], around[:, rows]).gradients(self.p), len(rows))
 
     def update(self, gradients: Parameters, words: int) -> None:
