@@ -72,6 +72,12 @@ def best_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("drop_degenerate_pairs", f"WITH {STATS} SELECT prompt_idx, best, worst FROM stats WHERE best <> worst")
+def drop_degenerate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = candidates.drop_degenerate_pairs(statistics(spark, sf_dir))
+    return kept.select("prompt_idx", "best", "worst")
+
+
 @query(
     "build_pairs",
     f"""WITH {PAIRS} SELECT prompt_idx, prompt, chosen, rejected, best, worst, {PROBABILITIES} FROM pairs""",

@@ -169,6 +169,11 @@ def pair_statistics(score_table: DataFrame, compat: bool = False) -> DataFrame:
     )
 
 
+def drop_degenerate_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs (or statistics) whose best and worst candidate are not the same one."""
+    return pairs.filter(F.col("best") != F.col("worst"))
+
+
 def build_pairs(prompts: DataFrame, responses: DataFrame, statistics: DataFrame) -> DataFrame:
     """Chosen and rejected dialogues with their probabilities, one row per prompt.
 

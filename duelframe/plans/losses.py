@@ -257,6 +257,7 @@ def batch_metrics(
     ``reg/`` keys stay without the evaluation prefix.
     """
     prefix = "eval_" if evaluation else ""
+    # The metric names.
     means = {
         "rewards/chosen": _c("chosen_reward"),
         "rewards/rejected": _c("rejected_reward"),

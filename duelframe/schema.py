@@ -1,52 +1,8 @@
-"""Table schemas and the column presence check."""
+"""Column names shared by several modules and the column presence check."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
-
-MESSAGE = T.StructType(
-    [T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]
-)
-DIALOGUE = T.ArrayType(MESSAGE)
-
-
-def _table(**fields: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
-
-
-PROMPTS = _table(prompt_idx=T.LongType(), prompt=T.StringType())
-RESPONSES = _table(prompt_idx=T.LongType(), sample_id=T.IntegerType(), response=T.StringType())
-SCORES = _table(prompt_idx=T.LongType(), sample_id=T.IntegerType(), score=T.DoubleType())
-PAIRS = _table(
-    prompt_idx=T.LongType(),
-    chosen=DIALOGUE,
-    rejected=DIALOGUE,
-    chosen_probs=T.DoubleType(),
-    chosen_probs_win=T.DoubleType(),
-    chosen_probs_lose=T.DoubleType(),
-)
-TOKEN_LOGITS = _table(
-    seq_id=T.LongType(),
-    pos=T.IntegerType(),
-    logits=T.ArrayType(T.FloatType()),
-    label=T.IntegerType(),
-)
-PAIR_LOGPS = _table(
-    pair_id=T.LongType(),
-    batch_id=T.LongType(),
-    **{name: T.DoubleType() for name in ("pc", "pr", "rc", "rr", "lc", "lr", "p", "pw", "pl")},
-)
-METRICS = _table(
-    run=T.StringType(),
-    split=T.StringType(),
-    step=T.LongType(),
-    key=T.StringType(),
-    value=T.DoubleType(),
-)
-EVAL_OUTPUTS = _table(
-    instruction=T.StringType(), output=T.StringType(), generator=T.StringType()
-)
 
 PROBABILITY_COLUMNS = ("chosen_probs", "chosen_probs_win", "chosen_probs_lose")
 

@@ -87,12 +87,3 @@ def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.lit(1) - F.col("quality")).alias("rank")
     )
     return documents.join(labels, "doc_id")
-
-
-def metric_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "events").select(
-        "event_id",
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.col("event_type").alias("key"),
-        "value",
-    )

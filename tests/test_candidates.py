@@ -176,3 +176,8 @@ def test_win_probability_of_overflowing_gap(spark):
         C.win_probability(F.lit(1000.0), F.lit(-1000.0)).alias("high"),
     ).first()
     assert (row.low, row.high) == (0.0, 1.0) and not math.isnan(row.low)
+
+
+def test_degenerate_pairs_go(spark):
+    table = C.pair_statistics(C.score_arrays(_scores(spark, [1.0, 1.0], [2.0, 1.0]), 2))
+    assert [r.prompt_idx for r in C.drop_degenerate_pairs(table).collect()] == [1]
