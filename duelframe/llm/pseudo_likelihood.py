@@ -2,9 +2,12 @@
 
 The network predicts every word from the two words on either side of it, the word itself
 left out. A document's score is the sum of the logarithms of these conditional
-probabilities. The vocabulary is the corpus's most frequent words, by exact counts over all
-documents; other words share buckets by hash. A word's probability is that of its class
-times that of its place in the class, so no layer is as wide as the vocabulary.
+probabilities. The network knows the corpus's most frequent words by exact counts over all
+documents, more of them the larger the corpus; other words share buckets by hash. An id's
+probability is that of its class times that of its place in the class, so no layer is as
+wide as the vocabulary. A word in a bucket has the bucket's probability times the word's own
+share of the bucket, from the exact counts of all words; these stay a table, and documents
+ask it batch by batch (``exchange``). Words that were never counted have a share as well.
 
 Training covers all documents. In each round every task trains its own copy over its share,
 starting from the common parameters, and the copies are averaged, weighted by their words,
@@ -20,12 +23,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
+from duelframe.llm import exchange
 from duelframe.llm.bytewise import LOWER, PLAIN_WORDS, blocks, text_buffer, word_hashes, word_spans
+from duelframe.session import materialize
 
-CLASS = 32  # words in a class, and classes
+CLASS = 32  # ids in a class, and classes, of a small corpus
 VOCABULARY = CLASS * CLASS
-RARE_BUCKETS = 255
+# With the words of the corpus both grow by their sixth root: the ids by their cube root.
+CLASS_GROWTH = 2.5
+# Hashes a word that was never counted may have.
+HASHES = 2.0**64
 OFFSETS = (-2, -1, 1, 2)
 HIDDEN = 16
 ROUNDS = 2
@@ -50,12 +59,12 @@ class Parameters:
     word_bias: np.ndarray
 
     @classmethod
-    def initial(cls, seed: int = 11) -> Parameters:
+    def initial(cls, seed: int = 11, side: int = CLASS) -> Parameters:
         rng = np.random.default_rng(seed)
         shape = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
         zero = lambda *s: np.zeros(s, np.float32)
         return cls(
-            shape(len(OFFSETS), VOCABULARY, HIDDEN), zero(HIDDEN), shape(HIDDEN, CLASS), zero(CLASS), shape(CLASS, HIDDEN, CLASS), zero(CLASS, CLASS)
+            shape(len(OFFSETS), side * side, HIDDEN), zero(HIDDEN), shape(HIDDEN, side), zero(side), shape(side, HIDDEN, side), zero(side, side)
         )
 
     def arrays(self) -> list[np.ndarray]:
@@ -79,15 +88,15 @@ class _Pass:
     """Forward pass over words and their contexts; keeps what the gradients need."""
 
     def __init__(self, p: Parameters, target: np.ndarray, around: np.ndarray):
-        self.target, self.around = target, around
+        self.target, self.around, self.side = target, around, len(p.class_bias)
         total = p.context[0][around[0]]
         for table, ids in zip(p.context[1:], around[1:]):
             total += table[ids]
         self.active = np.tanh(total + p.hidden)
-        self.of_class = target // CLASS
+        self.of_class = target // self.side
         self.order = np.argsort(self.of_class, kind="stable")
-        cuts = np.searchsorted(self.of_class[self.order], np.arange(CLASS + 1))
-        self.parts = [(c, self.order[a:b]) for c, a, b in zip(range(CLASS), cuts[:-1], cuts[1:]) if b > a]
+        cuts = np.searchsorted(self.of_class[self.order], np.arange(self.side + 1))
+        self.parts = [(c, self.order[a:b]) for c, a, b in zip(range(self.side), cuts[:-1], cuts[1:]) if b > a]
         self.class_log = _log_softmax(self.active @ p.classes + p.class_bias)
         rows = np.arange(len(target))
         self.log = self.class_log[rows, self.of_class]
@@ -95,7 +104,7 @@ class _Pass:
         for c, rows in self.parts:
             own = _log_softmax(self.active[rows] @ p.words[c] + p.word_bias[c])
             self.word_log.append(own)
-            self.log[rows] += own[np.arange(len(rows)), target[rows] % CLASS]
+            self.log[rows] += own[np.arange(len(rows)), target[rows] % self.side]
 
     def gradients(self, p: Parameters) -> Parameters:
         n = np.float32(len(self.target))
@@ -105,7 +114,7 @@ class _Pass:
         words, word_bias = np.zeros_like(p.words), np.zeros_like(p.word_bias)
         for (c, rows), own in zip(self.parts, self.word_log):
             off = np.exp(own)
-            off[np.arange(len(rows)), self.target[rows] % CLASS] -= 1
+            off[np.arange(len(rows)), self.target[rows] % self.side] -= 1
             words[c] = self.active[rows].T @ off / n
             word_bias[c] = off.sum(axis=0) / n
             to_active[rows] += off @ p.words[c].T
@@ -113,7 +122,7 @@ class _Pass:
         flat, unit = to_hidden.ravel(), np.arange(HIDDEN)
         context = np.stack(
             [
-                np.bincount((ids[:, None] * HIDDEN + unit).ravel(), weights=flat, minlength=VOCABULARY * HIDDEN).reshape(VOCABULARY, HIDDEN)
+                np.bincount((ids[:, None] * HIDDEN + unit).ravel(), weights=flat, minlength=self.side**2 * HIDDEN).reshape(-1, HIDDEN)
                 for ids in self.around
             ]
         ).astype(np.float32)
@@ -163,34 +172,70 @@ class Trainer:
 
 @dataclass
 class Vocabulary:
-    """Hashes of the frequent words, sorted, and the id of each."""
+    """Hashes of the frequent words, sorted, the id of each, and how many classes the ids fill."""
 
     hashes: np.ndarray
     ids: np.ndarray
+    side: int = CLASS
+
+    @property
+    def buckets(self) -> int:
+        """Ids at the end that rare words share: a quarter of all but the padding's."""
+        return self.side**2 // 4 - 1
+
+    def rare(self, ids: np.ndarray) -> np.ndarray:
+        return ids >= self.side**2 - self.buckets
+
+    def bucket(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes % np.uint64(self.buckets)).astype(np.int64)
 
     def encode(self, hashes: np.ndarray) -> np.ndarray:
-        rare = (VOCABULARY - RARE_BUCKETS + (hashes % np.uint64(RARE_BUCKETS))).astype(np.int64)
+        rare = self.side**2 - self.buckets + self.bucket(hashes)
         if not len(self.hashes):
             return rare
         slot = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[slot] == hashes, self.ids[slot], rare)
 
 
-def _word_blocks(texts: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Word ids, ids around each word, and first words of the documents of each block."""
+@dataclass
+class RareWords:
+    """Exact counts of all words (``word``, ``n``), and of each bucket its words' sum and number."""
+
+    counts: DataFrame
+    words: np.ndarray
+    kinds: np.ndarray
+
+
+def log_shares(bucket: np.ndarray, n: np.ndarray, words: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Logarithm of a word's share of its bucket, ``n`` times counted.
+
+    As many occurrences as the bucket has different words are set aside for words never
+    counted and spread evenly over the hashes of the bucket (Witten and Bell).
+    """
+    aside = np.maximum(kinds, 1)
+    known = np.where(n > 0, n, aside[bucket] * (len(kinds) / HASHES))
+    return np.log(known / (words + aside)[bucket])
+
+
+def _hashed_blocks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word hashes, and first words of the documents, of each block."""
     data, offsets = text_buffer(texts)
     for a, b in blocks(offsets):
         part = LOWER[data[offsets[a] : offsets[b]]]
         starts, ends, firsts = word_spans(part, offsets[a : b + 1] - offsets[a], PLAIN_WORDS)
-        ids = vocabulary.encode(word_hashes(part, starts, ends))
-        sizes = np.diff(firsts)
-        left = np.arange(len(ids)) - np.repeat(firsts[:-1], sizes)
-        right = np.repeat(sizes, sizes) - 1 - left
-        around = np.full((len(OFFSETS), len(ids)), _PAD, dtype=np.int64)
-        for row, offset in zip(around, OFFSETS):
-            inside = np.flatnonzero(left >= -offset) if offset < 0 else np.flatnonzero(right >= offset)
-            row[inside] = ids[inside + offset]
-        yield ids, around, firsts
+        yield word_hashes(part, starts, ends), firsts
+
+
+def _around(ids: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Ids around each word, within its document."""
+    sizes = np.diff(firsts)
+    left = np.arange(len(ids)) - np.repeat(firsts[:-1], sizes)
+    right = np.repeat(sizes, sizes) - 1 - left
+    around = np.full((len(OFFSETS), len(ids)), _PAD, dtype=np.int64)
+    for row, offset in zip(around, OFFSETS):
+        inside = np.flatnonzero(left >= -offset) if offset < 0 else np.flatnonzero(right >= offset)
+        row[inside] = ids[inside + offset]
+    return around
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -205,11 +250,8 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
         for batch in batches:
-            data, offsets = text_buffer(batch.column(0))
-            for a, b in blocks(offsets):
-                part = LOWER[data[offsets[a] : offsets[b]]]
-                starts, ends, _ = word_spans(part, offsets[a : b + 1] - offsets[a], PLAIN_WORDS)
-                held.append(word_hashes(part, starts, ends))
+            for hashes, _ in _hashed_blocks(batch.column(0)):
+                held.append(hashes)
                 if sum(map(len, held)) >= _COUNT_WORDS:
                     yield counted()
         if held:
@@ -219,20 +261,43 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
+def frequent_words(counts: DataFrame) -> Vocabulary:
     """The most frequent words, as many as there are ids beside the rare buckets."""
-    room = VOCABULARY - RARE_BUCKETS - 1
-    rows = count_words(docs, text_col).orderBy(F.desc("n"), "word").limit(room).collect()
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), max(CLASS, int(CLASS_GROWTH * total ** (1 / 6))))
+    rows = counts.orderBy(F.desc("n"), "word").limit(found.side**2 - found.buckets - 1).collect()
     hashes = np.array([row["word"] for row in rows], dtype=np.int64).view(np.uint64)
     order = np.argsort(hashes)
     # Ids follow frequency: a class holds words about equally frequent.
-    ids = np.arange(1, len(rows) + 1, dtype=np.int64)
-    return Vocabulary(hashes[order], ids[order])
+    found.hashes, found.ids = hashes[order], np.arange(1, len(rows) + 1, dtype=np.int64)[order]
+    return found
+
+
+def rare_words(counts: DataFrame, vocabulary: Vocabulary) -> RareWords:
+    """``counts`` with the sums of the words outside the vocabulary, bucket by bucket."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, kinds = np.zeros(vocabulary.buckets), np.zeros(vocabulary.buckets, np.int64)
+        for batch in batches:
+            hashes = batch.column(0).to_numpy().view(np.uint64)
+            rare = vocabulary.rare(vocabulary.encode(hashes))
+            bucket = vocabulary.bucket(hashes[rare])
+            words += np.bincount(bucket, weights=batch.column(1).to_numpy()[rare], minlength=len(words))
+            kinds += np.bincount(bucket, minlength=len(kinds))
+        at = pa.array(np.arange(len(kinds)))
+        yield pa.RecordBatch.from_arrays([at, pa.array(words.astype(np.int64)), pa.array(kinds)], names=["bucket", "words", "kinds"])
+
+    summed = counts.select("word", "n").mapInArrow(add, "bucket long, words long, kinds long")
+    rows = summed.groupBy("bucket").agg(F.sum("words").alias("words"), F.sum("kinds").alias("kinds")).collect()
+    words, kinds = np.zeros(vocabulary.buckets), np.zeros(vocabulary.buckets)
+    for row in rows:
+        words[row["bucket"]], kinds[row["bucket"]] = row["words"], row["kinds"]
+    return RareWords(counts, words, kinds)
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", rounds: int = ROUNDS) -> Parameters:
     """Common parameters after ``rounds`` rounds, each over its own share of all documents."""
-    parameters = Parameters.initial()
+    parameters = Parameters.initial(side=vocabulary.side)
     context = docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     for number in range(rounds):
@@ -242,8 +307,9 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", round
             vocabulary, start = shared.value
             trainer = Trainer(start)
             for batch in batches:
-                for ids, around, _ in _word_blocks(batch.column(0), vocabulary):
-                    trainer.feed(ids, around)
+                for hashes, firsts in _hashed_blocks(batch.column(0)):
+                    ids = vocabulary.encode(hashes)
+                    trainer.feed(ids, _around(ids, firsts))
             trainer.finish()
             if trainer.seen:
                 flat = trainer.p.flat().astype(np.float64)
@@ -259,7 +325,9 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", round
     return parameters
 
 
-def score_documents(docs: DataFrame, vocabulary: Vocabulary, parameters: Parameters, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+def score_documents(
+    docs: DataFrame, vocabulary: Vocabulary, parameters: Parameters, rare: RareWords, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text"
+) -> DataFrame:
     """``keep`` columns with ``n_tokens`` and ``log_likelihood``, the sum over all words.
 
     A text without words, null ones too, has no token and a sum of 0. Equal texts have
@@ -269,22 +337,59 @@ def score_documents(docs: DataFrame, vocabulary: Vocabulary, parameters: Paramet
     kept = list(dict.fromkeys(keep))
     source = docs.select(*[F.col(name).alias(f"_keep{i}") for i, name in enumerate(kept)], F.col(text_col).cast("string").alias("_text"))
     schema = source.drop("_text").withColumn("n_tokens", F.lit(0).cast("long")).withColumn("log_likelihood", F.lit(0.0)).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = exchange.corpus_bytes(source, "_text")
+    # Rows of one text are dealt by their other columns as well.
+    dealt_by = [F.col(f.name) for f in source.schema if isinstance(f.dataType, AtomicType)]
+    count = max(1, -(-total // exchange.BATCH_BYTES))
+    texts = source.withColumn("_batch", F.pmod(F.xxhash64(*dealt_by), F.lit(count)))
+    words, kinds = rare.words, rare.kinds
+    shards = exchange.shard_count(total + 8 * int(words.sum()))
+
+    def question(table: pa.Table) -> list[exchange.Row]:
+        vocabulary, _ = shared.value
+        held = [np.zeros(0, np.uint64)]
+        for hashes, _ in _hashed_blocks(table.column("_text")):
+            held.append(np.unique(hashes[vocabulary.rare(vocabulary.encode(hashes))]))
+        keys = np.unique(np.concatenate(held))
+        return exchange.by_shard(0, exchange.shard_of(keys, shards), keys, np.zeros(0, np.uint8)) if len(keys) else []
+
+    def reply(asked: pa.Table, counted: pa.Table) -> pa.Table:
+        vocabulary, _ = shared.value
+        known = counted.column("word").to_numpy().view(np.uint64)
+        order = np.argsort(known)
+        # A word that was never counted finds the extra place at the end.
+        known, n = known[order], np.append(counted.column("n").to_numpy()[order], 0)
+        codes = []
+        for keys in asked.column("keys").to_pylist():
+            keys = np.frombuffer(keys, np.uint64)
+            slot = np.searchsorted(known, keys)
+            slot[np.append(known, 0)[slot] != keys] = len(known)
+            codes.append(log_shares(vocabulary.bucket(keys), n[slot], words, kinds).astype(np.float32).tobytes())
+        return pa.table([*[asked.column(c) for c in ("_batch", "kind", "shard")], pa.array(codes, pa.binary())], names=["_batch", "kind", "shard", "bits"])
+
+    def work(table: pa.Table, answers: dict[int, bytes]) -> pa.Table:
         vocabulary, parameters = shared.value
-        for batch in batches:
-            counts, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for ids, around, firsts in _word_blocks(batch.column("_text"), vocabulary):
-                logs = np.zeros(len(ids) + 1)
-                for a in range(0, len(ids), SCORE_STEP):
-                    logs[a + 1 : a + 1 + SCORE_STEP] = _Pass(parameters, ids[a : a + SCORE_STEP], around[:, a : a + SCORE_STEP]).log
-                logs = np.cumsum(logs)
-                counts.append(np.diff(firsts))
-                sums.append(logs[firsts[1:]] - logs[firsts[:-1]])
-            fresh = {"n_tokens": pa.array(np.concatenate(counts)), "log_likelihood": pa.array(np.concatenate(sums))}
-            yield pa.RecordBatch.from_arrays([fresh[n] if n in fresh else batch.column(n) for n in schema.names], names=schema.names)
-
-    done = source.mapInArrow(run, schema)
+        parts = list(_hashed_blocks(table.column("_text")))
+        encoded = [vocabulary.encode(hashes) for hashes, _ in parts]
+        own = [np.flatnonzero(vocabulary.rare(ids)) for ids in encoded]
+        keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *[hashes[at] for (hashes, _), at in zip(parts, own)]]))
+        shares = np.frombuffer(answers.get(0, b""), np.float32)
+        counts, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for (hashes, firsts), ids, at in zip(parts, encoded, own):
+            around = _around(ids, firsts)
+            logs = np.zeros(len(ids) + 1)
+            for a in range(0, len(ids), SCORE_STEP):
+                logs[a + 1 : a + 1 + SCORE_STEP] = _Pass(parameters, ids[a : a + SCORE_STEP], around[:, a : a + SCORE_STEP]).log
+            logs[at + 1] += shares[np.searchsorted(keys, hashes[at])]
+            logs = np.cumsum(logs)
+            counts.append(np.diff(firsts))
+            sums.append(logs[firsts[1:]] - logs[firsts[:-1]])
+        fresh = {"n_tokens": pa.array(np.concatenate(counts)), "log_likelihood": pa.array(np.concatenate(sums))}
+        return pa.table([fresh[n] if n in fresh else table.column(n) for n in schema.names], names=schema.names)
+
+    counts = rare.counts.select("word", "n", F.shiftright(F.shiftrightunsigned("word", 32) * F.lit(shards).cast("long"), 32).alias("shard"))
+    answers = exchange.ask(texts, question).groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(reply, exchange.ANSWER)
+    done = exchange.finish(texts, answers, work, schema)
     return done.select(*[F.col(f"_keep{i}").alias(name) for i, name in enumerate(kept)], "n_tokens", "log_likelihood")
 
 
@@ -293,8 +398,9 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
 
     Mean and perplexity of a text without words are null.
     """
-    vocabulary = build_vocabulary(docs)
-    scored = score_documents(docs, vocabulary, train(docs, vocabulary))
+    counts = materialize(count_words(docs), "word-counts")
+    vocabulary = frequent_words(counts)
+    scored = score_documents(docs, vocabulary, train(docs, vocabulary), rare_words(counts, vocabulary))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return scored.select(
         "doc_id",

@@ -375,3 +375,36 @@ def test_word_counts_cover_all_documents(spark, documents):
     counted = pseudo_likelihood.count_words(frame(spark, documents)).agg(F.count("*"), F.sum("n")).first()
     words = [word for _, text in documents for word in brute.plain_words(text)]
     assert tuple(counted) == (len(set(words)), len(words))
+
+
+def test_unseen_words_score_below_prose(spark, documents):
+    lm, rng = pseudo_likelihood, random.Random(12)
+    counts = lm.count_words(frame(spark, documents)).cache()
+    vocabulary = lm.frequent_words(counts)
+    prose = max((text for _, text in documents if text), key=lambda text: len(set(brute.plain_words(text))))
+    unseen = " ".join("".join(rng.choice("bcdfghjkqvwxz") for _ in range(8)) for _ in range(200))
+    texts = frame(spark, [(1, prose), (2, unseen), (3, prose), (4, None)])
+    scored = lm.score_documents(texts, vocabulary, lm.Parameters.initial(), lm.rare_words(counts, vocabulary)).collect()
+    mean = {row["doc_id"]: row["log_likelihood"] / max(1, row["n_tokens"]) for row in scored}
+    assert mean[1] == pytest.approx(mean[3]) and mean[4] == 0
+    assert mean[2] < mean[1] - 20
+
+
+def test_shares_of_a_bucket(spark, documents):
+    np, lm = pseudo_likelihood.np, pseudo_likelihood
+    counts = lm.count_words(frame(spark, documents)).cache()
+    vocabulary = lm.frequent_words(counts)
+    rare = lm.rare_words(counts, vocabulary)
+    rows = counts.toPandas().sort_values(["n", "word"], ascending=[False, True])[len(vocabulary.hashes) :]
+    hashes = rows["word"].to_numpy().view(np.uint64)
+    assert vocabulary.rare(vocabulary.encode(hashes)).all() and rare.words.sum() == rows["n"].sum() and rare.kinds.sum() == len(rows)
+    bucket = vocabulary.bucket(hashes)
+    shares = np.exp(lm.log_shares(bucket, rows["n"].to_numpy(), rare.words, rare.kinds))
+    every = np.arange(vocabulary.buckets)
+    unseen = np.exp(lm.log_shares(every, 0 * every, rare.words, rare.kinds)) * (lm.HASHES / vocabulary.buckets)
+    assert np.bincount(bucket, weights=shares, minlength=len(every)) + unseen == pytest.approx(np.ones(len(every)))
+
+
+def test_vocabulary_grows_with_the_corpus(spark):
+    counts = spark.range(5_000).selectExpr("id AS word", "CAST(10000 AS long) AS n")
+    assert len(pseudo_likelihood.frequent_words(counts).hashes) > 1_000
