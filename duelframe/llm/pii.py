@@ -4,6 +4,7 @@ Everything is a column expression. One pattern with a lazy head gives the gap be
 the text of every match, in order; running sums of their lengths are the positions in code
 points. Runs that a pattern could enter at many places are entered at their first place or
 where the last match ended, which finds the same matches without trying each place anew.
+Repeated groups at an end are possessive: Java runs them as loops, others by recursion.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from duelframe.llm.names import unused
 KINDS = ("email", "ip", "card", "phone", "iban")
 _EMAIL_CHARS = "[A-Za-z0-9._%+-]"
 PATTERNS = {
-    "email": rf"(?:\G|(?<!{_EMAIL_CHARS})){_EMAIL_CHARS}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": rf"(?:\G|(?<!{_EMAIL_CHARS})){_EMAIL_CHARS}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     # Country code, check digits and 11 to 30 letters or digits, in groups of four or closed up.
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",

@@ -273,6 +273,12 @@ def test_personal_data_is_masked(spark, hard):
     assert [(s["kind"], s["score"]) for s in spans] == [("card", pytest.approx(0.9))]
 
 
+@pytest.mark.parametrize("text, kinds", [("1" * 100_000, []), ("1 " * 100_000, []), ("q@a" + ".b" * 100_000, ["email"])])
+def test_personal_data_in_long_runs(spark, text, kinds):
+    found = pii.find_spans(frame(spark, [(1, text)]), out="found").first()["found"]
+    assert [(s["kind"], s["start"], s["end"]) for s in found] == [(kind, 0, len(text)) for kind in kinds]
+
+
 def test_personal_data_stays_on_the_jvm(spark):
     plan = queries.op7_pii(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
