@@ -14,6 +14,19 @@ from pyspark.sql import functions as F
 
 from duelframe.llm.names import unused
 
+# Countries by the length of their account numbers.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _account(size: int, countries: str) -> str:
+    groups, rest = divmod(size - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:[\x20]?[A-Z0-9]{{4}}){{{groups}}}" + (rf"[\x20]?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
 # The four base patterns with their order.
 KINDS = ("email", "ip", "card", "phone", "iban")
 _EMAIL_CHARS = "[A-Za-z0-9._%+-]"
@@ -23,7 +36,9 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     # Country code, check digits and 11 to 30 letters or digits, in groups of four or closed up.
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    # The country's own length comes first: a word behind the number may look like a group.
+    "iban": r"(?<![A-Za-z0-9])(?:" + "|".join(_account(*item) for item in IBAN_LENGTHS.items())
+    + r"|[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
 }
 # Characters a text must hold for its kind's pattern to be tried at all.
 _NEEDED = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": "\\+[0-9]", "iban": "[A-Z]{2}[0-9]{2}"}

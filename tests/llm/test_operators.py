@@ -279,6 +279,13 @@ def test_personal_data_in_long_runs(spark, text, kinds):
     assert [(s["kind"], s["start"], s["end"]) for s in found] == [(kind, 0, len(text)) for kind in kinds]
 
 
+def test_account_numbers_before_other_words(spark):
+    numbers = ["BE71 0961 2345 6769", "AT611904300234573201", "GB82 WEST 1234 5698 7654 32"]
+    text = f"IBAN {numbers[0]} BIC KREDBEBB, {numbers[1]} 2024 {numbers[0]} {numbers[2]} AB"
+    found = pii.find_spans(frame(spark, [(1, text)]), out="found").first()["found"]
+    assert [text[s["start"] : s["end"]] for s in found if s["kind"] == "iban"] == [*numbers[:2], numbers[0], numbers[2]]
+
+
 def test_personal_data_stays_on_the_jvm(spark):
     plan = queries.op7_pii(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
