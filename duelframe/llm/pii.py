@@ -109,14 +109,20 @@ def _kind_spans(text: Column, kind: str) -> Column:
     placed = F.arrays_zip(pieces.alias("piece"), F.slice(ends, F.lit(2), F.size(pieces)).alias("end"))
     confirmed = F.filter(placed, lambda m: _valid(kind, m["piece"]["value"]))
     words = f"(?i)({CONTEXT[kind]})"
-    before = lambda m: F.substring(m["piece"]["gap"], -CONTEXT_CHARS, CONTEXT_CHARS)
+
+    def named(m: Column) -> Column:
+        start = (m["end"] - F.length(m["piece"]["value"])).cast("int")
+        first = F.greatest(start - CONTEXT_CHARS, F.lit(0))
+        before = F.substr(text, first + 1, start - first)
+        return before.rlike(words) | F.substr(text, m["end"].cast("int") + 1, F.lit(CONTEXT_CHARS)).rlike(words)
+
     spans = F.transform(
         confirmed,
         lambda m: F.struct(
             F.lit(kind).alias("kind"),
             (m["end"] - F.length(m["piece"]["value"])).alias("start"),
             m["end"].alias("end"),
-            (F.lit(_BASE_SCORE[kind]) + F.when(before(m).rlike(words), CONTEXT_SCORE).otherwise(0.0)).alias("score"),
+            (F.lit(_BASE_SCORE[kind]) + F.when(named(m), CONTEXT_SCORE).otherwise(0.0)).alias("score"),
         ),
     )
     return F.when(text.rlike(_NEEDED[kind]), spans).otherwise(F.expr(_EMPTY))

@@ -286,6 +286,14 @@ def test_account_numbers_before_other_words(spark):
     assert [text[s["start"] : s["end"]] for s in found if s["kind"] == "iban"] == [*numbers[:2], numbers[0], numbers[2]]
 
 
+def test_context_on_both_sides(spark):
+    number, far = "4539578763621486", "x" * 40
+    texts = [f"\U0001f600 {number} is my visa card", f"cards: {number}, {number}", f"card {far} {number} {far} card"]
+    found = pii.find_spans(frame(spark, list(enumerate(texts))), out="found").orderBy("doc_id").collect()
+    scores = [[s["score"] for s in row["found"] if s["kind"] == "card"] for row in found]
+    assert scores == [[pytest.approx(0.9)], [pytest.approx(0.9)] * 2, [pytest.approx(0.7)]]
+
+
 def test_personal_data_stays_on_the_jvm(spark):
     plan = queries.op7_pii(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
