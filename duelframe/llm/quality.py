@@ -162,13 +162,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> N
     """Train on at most ``sample_rows`` labelled documents that are not held out.
 
     The sample is chosen by a hash of the id, from labels alone; only its texts are read
-    into the driver. Rows without a label, an id or a document are left out.
+    into the driver, of an id with several rows the least. Rows without a label, an id or a document are left out.
     """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    rows = texts.join(chosen, "doc_id").limit(2 * sample_rows).collect()
+    rows = texts.join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     rows = sorted((row["doc_id"], bytes(row["text"]), row["quality"]) for row in rows)
     return train([text for _, text, _ in rows], [int(quality) for _, _, quality in rows])
 

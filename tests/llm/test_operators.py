@@ -169,6 +169,15 @@ def test_quality_hard_rows(spark, hard):
     assert quality.keep_good(frame(spark, []), nothing).count() == 0
 
 
+def test_quality_takes_one_text_of_repeated_ids(spark, monkeypatch):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2][:5]
+    taken = []
+    monkeypatch.setattr(quality, "train", lambda texts, qualities: taken.extend(texts))
+    docs = frame(spark, [(i, f"text {i} {n}") for i in ids for n in range(9)])
+    quality.fit(docs, spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int"), sample_rows=5)
+    assert taken == [f"text {i} 0".encode() for i in ids]
+
+
 def test_quality_gradients():
     rng = quality.np.random.default_rng(0)
     values = [rng.normal(0, 0.3, (quality.WIDTH, 256, quality.FILTERS)), rng.normal(0, 0.1, quality.FILTERS), rng.normal(0, 0.5, 16), quality.np.zeros(1)]
