@@ -51,3 +51,45 @@ reach AS (SELECT doc_id, doc_id AS other FROM dw UNION SELECT reach.doc_id, link
 SELECT dw.doc_id, coalesce(size.n, 0) AS n_shingles, least_id.c AS component_id
 FROM dw LEFT JOIN size ON size.doc_id = dw.doc_id
 JOIN (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id) least_id ON least_id.doc_id = dw.doc_id"""
+
+
+_PARTS, _ENTRIES = 16, 64
+
+
+def _nearest(book: str) -> str:
+    """Nearest entry of every part, as squared distance times the entries plus the entry."""
+    return f"""
+  SELECT vec_id, part, min(list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) * {_ENTRIES} + entry) AS m
+  FROM parts JOIN {book} USING (part) GROUP BY vec_id, part"""
+
+
+def _refined(book: str, near: str) -> str:
+    return f"""
+  SELECT {book}.part, {book}.entry, coalesce(moved.c, {book}.c) AS c FROM {book} LEFT JOIN (
+    SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY k) AS c FROM (
+      SELECT part, m % {_ENTRIES} AS entry, k, sum(v[k])::BIGINT AS s, count(*) AS n
+      FROM {near} JOIN (SELECT vec_id, part, v, unnest(range(1, len(v) + 1)) AS k FROM parts) t USING (vec_id, part) GROUP BY ALL) u
+    GROUP BY part, entry) moved ON moved.part = {book}.part AND moved.entry = {book}.entry"""
+
+
+VECTOR_CODES = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, part, x[part * (len(x) // {_PARTS}) + 1:(part + 1) * (len(x) // {_PARTS})] AS v
+  FROM (SELECT vec_id, x, unnest(range({_PARTS})) AS part FROM kept) t),
+seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {_ENTRIES}) t),
+book0 AS MATERIALIZED (SELECT part, entry, v AS c FROM parts JOIN seeds USING (vec_id)),
+near0 AS MATERIALIZED ({_nearest("book0")}),
+book1 AS MATERIALIZED ({_refined("book0", "near0")}),
+near1 AS MATERIALIZED ({_nearest("book1")}),
+book2 AS MATERIALIZED ({_refined("book1", "near1")}),
+near2 AS MATERIALIZED ({_nearest("book2")}),
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', CAST(m % {_ENTRIES} AS INTEGER)), '' ORDER BY part) AS code, sum(m // {_ENTRIES})::BIGINT AS error
+  FROM near2 GROUP BY vec_id),
+digest AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id) CROSS JOIN digest"""

@@ -7,7 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duelframe.llm import bpe, decontamination, fingerprints, jaccard_join, license_scan, oracles, pii, pseudo_likelihood, quality, substring_dedup, suffix_dedup
+from duelframe.llm import (
+    bpe, decontamination, fingerprints, jaccard_join, license_scan, oracles, pii, pseudo_likelihood, quality, substring_dedup, suffix_dedup, token_files, vector_codes,
+    whitening,
+)
+from duelframe.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +61,19 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood.pseudo_likelihood(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    return token_files.token_file_digest(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -68,10 +85,14 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": op8_license_scan,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_pseudo_likelihood": op10_pseudo_likelihood,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_whitening": op12_whitening,
+    "op13_token_files": op13_token_files,
 }
 
 SQL: dict[str, str] = {
     "op1_decontamination": oracles.DECONTAMINATION,
     "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op9_jaccard_join": oracles.JACCARD_JOIN,
+    "op11_vector_codes": oracles.VECTOR_CODES,
 }

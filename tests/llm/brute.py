@@ -217,3 +217,77 @@ def jaccard_components(docs):
     for i, (doc, _) in enumerate(sets):
         least[find(i)] = min(least.get(find(i), doc), doc)
     return [(doc, len(own), least[find(i)]) for i, (doc, own) in enumerate(sets)]
+
+
+def usable_vectors(rows):
+    """``(id, label, vector)`` of rows with a finite vector, shorter ones with zeros behind."""
+    import math
+
+    kept = [(i, label, v) for i, label, v in rows if v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    dims = max([1, *(len(v) for _, _, v in kept)])
+    return [(i, label, [float(c) for c in v] + [0.0] * (dims - len(v))) for i, label, v in kept], dims
+
+
+def vector_codes(rows, parts=16, entries=64, rounds=2):
+    import math
+
+    kept, dims = usable_vectors(rows)
+    wide = -(-dims // parts)
+    whole = [[math.floor(256 * c) for c in v] + [0] * (wide * parts - dims) for _, _, v in kept]
+    seeds = sorted((i, v, n) for n, (i, _, v) in enumerate(kept) if i is not None)[:entries]
+    codes, errors, books = ["" for _ in kept], [0 for _ in kept], []
+    for p in range(parts):
+        own = [x[p * wide : (p + 1) * wide] for x in whole]
+        book = [list(own[n]) for _, _, n in seeds] or [[0] * wide]
+
+        def nearest(v):
+            return min((sum((a - b) ** 2 for a, b in zip(v, c)), k) for k, c in enumerate(book))
+
+        for _ in range(rounds):
+            found = [nearest(v)[1] for v in own]
+            for k in range(len(book)):
+                members = [v for v, f in zip(own, found) if f == k]
+                if members:
+                    book[k] = [sum(c) // len(members) for c in zip(*members)]
+        for n, v in enumerate(own):
+            error, k = nearest(v)
+            codes[n] += f"{k:02x}"
+            errors[n] += error
+        books += book
+    digest = sha(",".join(str(c) for entry in books for c in entry))
+    totals = {}
+    for (_, label, _), error in zip(kept, errors):
+        totals[label] = totals.get(label, 0) + error
+    return [(i, code, error, totals[label], digest) for (i, label, _), code, error in zip(kept, codes, errors)]
+
+
+def whitening(rows, components=16):
+    """Rows ``(id, deviation)``, whitened values (rows x components), shares of variance and ``n``."""
+    import numpy as np
+
+    kept, dims = usable_vectors(rows)
+    x = np.array([[int(np.floor(64 * c)) + 1_000_000 for c in v] for _, _, v in kept], dtype=np.int64)
+    distinct = np.unique(x, axis=0)
+    n, sums = len(distinct), distinct.sum(axis=0)
+    centred = distinct - sums / n
+    covariance = centred.T @ centred / n
+    values, vectors = np.linalg.eigh(covariance)
+    values, vectors = values[::-1][:components], vectors[:, ::-1][:, :components]
+    there = values > dims * np.finfo(float).eps * values[0]
+    values, vectors = values[there], vectors[:, there]
+    deviation = [sum((n * int(a) - int(s)) ** 2 for a, s in zip(row, sums)) for row in x]
+    return [(i, d) for (i, _, _), d in zip(kept, deviation)], (x - sums / n) @ vectors / np.sqrt(values), values / np.trace(covariance), n
+
+
+def token_files(docs, tokenizer_path, end=2):
+    import struct
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    tokenizer.encode_special_tokens = True
+    return [
+        (doc, len(ids) + 1, zlib.crc32(struct.pack(f"<{len(ids) + 1}I", *ids, end)))
+        for doc, ids in ((doc, tokenizer.encode(text or "", add_special_tokens=False).ids) for doc, text in docs)
+    ]
