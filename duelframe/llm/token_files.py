@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from duelframe.llm import elias_fano
-from duelframe.llm.chunked_tokens import ChunkEncoder
+from duelframe.llm.chunked_tokens import encoder_of
 from duelframe.llm.exchange import corpus_bytes
 
 FORMAT = "token_files"
@@ -51,9 +51,10 @@ def _place(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-def file_bytes(doc_ids: list[int], without_id: int, ends: np.ndarray, ids: np.ndarray, id_bytes: int) -> bytes:
-    head = _HEAD.pack(_MAGIC, id_bytes, len(ends), without_id, len(ids))
-    return head + elias_fano.encode(np.array(doc_ids, np.int64)) + elias_fano.encode(ends) + ids.astype(f"<u{id_bytes}").tobytes()
+def file_head(doc_ids: list[int], without_id: int, ends: np.ndarray, id_bytes: int) -> bytes:
+    """All that stands before the id array."""
+    head = _HEAD.pack(_MAGIC, id_bytes, len(ends), without_id, int(ends[-1]) if len(ends) else 0)
+    return head + elias_fano.encode(np.array(doc_ids, np.int64)) + elias_fano.encode(ends)
 
 
 class TokenFile:
@@ -124,30 +125,27 @@ class _Writer(DataSourceArrowWriter):
         system.create_dir(folder, recursive=True)
         files: list[tuple[int, int, str, int, int]] = []
         doc_ids: list[int | None] = []
-        sizes: list[int] = []
-        parts: list[bytes] = []
+        ends: list[int] = []
+        held = bytearray()
 
         def close() -> None:
             name = f"part-{context.partitionId():06d}-{len(files):05d}-{uuid.uuid4().hex}.ids"
-            ids = np.frombuffer(b"".join(parts), "<u4")
             known = [d for d in doc_ids if d is not None]
-            content = file_bytes(known, len(doc_ids) - len(known), np.cumsum(sizes, dtype=np.int64), ids, self.id_bytes)
             with system.open_output_stream(posixpath.join(folder, name)) as out:
-                out.write(content)
-            files.append((context.partitionId(), len(files), name, len(sizes), len(ids)))
-            doc_ids.clear(), sizes.clear(), parts.clear()
+                out.write(file_head(known, len(doc_ids) - len(known), np.array(ends, np.int64), self.id_bytes))
+                out.write(held)
+            files.append((context.partitionId(), len(files), name, len(ends), ends[-1]))
+            doc_ids.clear(), ends.clear(), held.clear()
 
-        held = 0
         for batch in iterator:
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                if sizes and held + len(ids) // 4 > self.file_ids:
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+                ids = ids.as_buffer()
+                if ends and (len(held) + ids.size) // self.id_bytes > self.file_ids:
                     close()
-                    held = 0
+                held += ids
                 doc_ids.append(doc)
-                sizes.append(len(ids) // 4)
-                parts.append(ids)
-                held += len(ids) // 4
-        if sizes:
+                ends.append(len(held) // self.id_bytes)
+        if ends:
             close()
         return Written(files)
 
@@ -229,14 +227,16 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, file
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
-            ids, counts = encoder.encode(batch.column("text"))
-            ends = np.cumsum(counts)
-            whole = np.insert(ids, ends, end_id).astype("<u4").tobytes()
-            offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * 4
-            raw = [whole[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], names=["doc_id", "ids"])
+            first = 0
+            for ids, counts in encoder.encode(batch.column("text")):
+                ends = np.cumsum(counts)
+                whole = np.insert(ids.astype(f"<u{id_bytes}"), ends, end_id)
+                offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * id_bytes
+                raw = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(whole)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(ends)), raw], names=["doc_id", "ids"])
+                first += len(ends)
 
     docs.sparkSession.dataSource.register(TokenFiles)
     encoded = ordered.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary")

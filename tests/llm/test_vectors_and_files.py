@@ -196,7 +196,8 @@ def test_chunks_encode_as_their_texts(texts):
     with open(TOKENIZER, encoding="utf-8") as file:
         encoder = chunked_tokens.ChunkEncoder(file.read()) if not hasattr(test_chunks_encode_as_their_texts, "encoder") else test_chunks_encode_as_their_texts.encoder
     test_chunks_encode_as_their_texts.encoder = encoder
-    ids, counts = encoder.encode(pa.array(texts, pa.string()))
+    found = list(encoder.encode(pa.array(texts, pa.string())))
+    ids, counts = (np.concatenate([np.zeros(0, np.int64), *part]) for part in (zip(*found) if found else ([], [])))
     expected = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert counts.tolist() == [len(e) for e in expected]
     assert ids.tolist() == [i for e in expected for i in e]
@@ -237,7 +238,7 @@ def test_token_files_of_nothing_and_files_of_lost_tasks(spark, tmp_path):
 def test_a_document_is_read_from_the_middle_of_a_file(tmp_path):
     sizes = [3, 0, 70_000, 1, 5]
     ids = np.arange(sum(sizes), dtype=np.uint32) % 50_000
-    (tmp_path / "one").write_bytes(token_files.file_bytes([-5, 2, 2, 9], 1, np.cumsum(sizes), ids, 2))
+    (tmp_path / "one").write_bytes(token_files.file_head([-5, 2, 2, 9], 1, np.cumsum(sizes), 2) + ids.astype("<u2").tobytes())
     opened = token_files.TokenFile(fs.LocalFileSystem(), str(tmp_path / "one"))
     assert opened.doc_ids(np.arange(5)).to_pylist() == [None, -5, 2, 2, 9]
     starts, ends = opened.bounds(np.array([3, 0, 1]))
