@@ -12,15 +12,18 @@ the next smaller one, as partners are at most one class apart.
 Unique shingles can be shared with nobody: a set in which they outweigh the threshold has
 no partner and is done; in all others only the shared shingles are kept.
 
-Links are verified without writing out the pairs of a group. Sets that are equal are one
-node. Nodes that share index entries form candidate groups; each node's shingles travel to
-its group once. There a search goes from node to node and compares only with nodes not yet
-reached, so a group of near copies costs little more than one pass over it. A large group
-is cut into blocks, and every two blocks meet in a task of their own.
+Sets that are equal are one node. Links are verified before anything is connected: in a few rounds every
+node is compared with one node it shares an index entry with, and linked nodes get a common
+label. An entry whose nodes have one label is done with, so a group of near copies costs little
+more than one pass over it. Only nodes of entries with several labels are then compared
+pair by pair, where they share such an entry and are not connected yet; large groups of them are cut
+into blocks, and every two blocks meet in a task of their own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -215,109 +218,185 @@ def index_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return finish(texts, owners.unionByName(classes), lambda table, known: _indexed(table, known, shards), _SETS)
 
 
-# Nodes of a block of a large candidate group, and bytes of shingles in a task of small ones.
+# Nodes of a block of a large group of open candidates, and bytes of shingles in a task of small ones.
 BLOCK_NODES = 2000
 PACK_BYTES = 8 << 20
+# Rounds in which every node is compared with one other before the remaining candidates are searched.
+CONTRACTIONS = 2
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``(node, label)`` for the nodes of ``edges (a, b)``: the least node reachable.
 
-    Every round takes over the least label among the neighbours and then the label of that
-    label, until nothing changes.
+    Large stars and small stars by turns: a node hands its larger neighbours to its least one, then
+    its smaller neighbours and itself to the least of these. Edges never become more, and
+    end as one edge from each node to its label.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialize(both, "edges")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")), "labels")
+    ends = F.greatest("a", "b").alias("node"), F.least("a", "b").alias("label")
+    stars = materialize(edges.filter("a != b").select(*ends).distinct(), "edges")
+    state = None
     for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("least"))
-        hooked = labels.join(near, labels["node"] == near["a"], "left").select("node", "label", F.least("label", "least").alias("_new"))
-        jump = labels.select(F.col("node").alias("_at"), F.col("label").alias("_jump"))
-        fresh = materialize(
-            hooked.join(jump, hooked["_new"] == jump["_at"], "left").select(
-                "node", F.least("_new", "_jump").alias("label"), (F.col("label") != F.least("_new", "_jump")).alias("changed")
-            ),
-            "labels",
-        )
-        labels = fresh.select("node", "label")
-        if not fresh.filter("changed").limit(1).count():
-            return labels
+        both = stars.unionByName(stars.select(F.col("label").alias("node"), F.col("node").alias("label")))
+        near = both.groupBy("node").agg(F.min("label").alias("_near")).select(F.col("node").alias("_node"), F.least("node", "_near").alias("_near"))
+        large = both.join(near, both["node"] == near["_node"]).filter("label > node").select(F.col("label").alias("node"), F.col("_near").alias("label")).distinct()
+        low = large.groupBy("node").agg(F.min("label").alias("_low")).withColumnRenamed("node", "_node")
+        handed = F.array(F.struct("node", F.col("_low").alias("label")), F.struct(F.col("label").alias("node"), F.col("_low").alias("label")))
+        stars = materialize(large.join(low, large["node"] == low["_node"]).select(F.inline(handed)).filter("node != label").distinct(), "stars")
+        fresh = tuple(stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).first())
+        if fresh == state:
+            labels = stars.select(F.col("label").alias("node"), "label").distinct()
+            return materialize(stars.unionByName(labels), "labels")
+        state = fresh
     raise RuntimeError(f"components are not settled after {rounds} rounds")
 
 
-def _forest(nodes: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect the nodes as all links of at least the threshold do."""
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of all rows, and their number in each."""
+    data, offsets = text_buffer(column)
+    return np.frombuffer(data.tobytes(), "<u8"), np.diff(offsets) // 8
+
+
+def _linked(common: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return SHARE[1] * common >= SHARE[0] * (one + other - common)
+
+
+def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of nodes whose sets are linked."""
+
+    def side(name: str) -> DataFrame:
+        return held.select(F.col("node").alias(name), F.col("n_shingles").alias(f"_n{name}"), F.col("shared").alias(f"_s{name}"))
+
+    near = SHARE[1] * F.least("_na", "_nb") >= SHARE[0] * F.greatest("_na", "_nb")
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").filter(near)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            (one, sizes), (other, others) = _flat(batch.column("_sa")), _flat(batch.column("_sb"))
+            row = np.concatenate([np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(len(sizes)), others)])
+            tokens = np.concatenate([one, other])
+            order = np.lexsort((tokens, row))
+            row, tokens = row[order], tokens[order]
+            twice = (tokens[1:] == tokens[:-1]) & (row[1:] == row[:-1])  # a set holds a shingle once
+            common = np.bincount(row[1:][twice], minlength=len(sizes))
+            found = _linked(common, batch.column("_na").to_numpy(), batch.column("_nb").to_numpy())
+            yield batch.filter(pa.array(found)).select(["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _search(node: np.ndarray, label: np.ndarray, size: np.ndarray, sets: list[np.ndarray], entries: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between nodes that share an entry and are not connected by labels or links found before."""
     lengths = np.array([len(s) for s in sets], dtype=np.int64)
     _, tokens = np.unique(np.concatenate(sets), return_inverse=True)
     begins = np.cumsum(lengths) - lengths
-    marked = np.zeros(int(tokens.max()) + 1 if len(tokens) else 1, dtype=np.int32)
-    rest = np.arange(len(nodes))
+    marked = np.zeros(int(tokens.max(initial=0)) + 1, dtype=np.int32)
+    _, label = np.unique(label, return_inverse=True)
+    held = np.array([len(e) for e in entries])
+    _, entry = np.unique(np.concatenate(entries), return_inverse=True)
+    of_entry = np.argsort(entry, kind="stable")
+    holders = np.repeat(np.arange(len(node)), held)[of_entry]
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(entry))])
+    own_entries = np.split(entry, np.cumsum(held)[:-1])
     links: list[tuple[int, int]] = []
-    while len(rest):
-        queue, rest = [int(rest[0])], rest[1:]
-        while queue and len(rest):
-            x = queue.pop()
-            own = tokens[begins[x] : begins[x] + lengths[x]]
-            near = (SHARE[1] * np.minimum(sizes[rest], sizes[x]) >= SHARE[0] * np.maximum(sizes[rest], sizes[x]))
-            among = rest[near]
-            if not len(among):
-                continue
-            marked[own] = 1
-            place = np.repeat(begins[among], lengths[among])
-            ends = np.cumsum(lengths[among])
-            place += np.arange(ends[-1]) - np.repeat(ends - lengths[among], lengths[among])
-            common = np.add.reduceat(marked[tokens[place]], ends - lengths[among])
-            marked[own] = 0
-            linked = SHARE[1] * common >= SHARE[0] * (sizes[among] + sizes[x] - common)
-            found = among[linked]
-            if len(found):
-                links += [(int(nodes[x]), int(nodes[y])) for y in found]
-                queue += found.tolist()
-                rest = rest[~np.isin(rest, found)]
+    for x in range(len(node)):
+        among = np.unique(np.concatenate([holders[bounds[e] : bounds[e + 1]] for e in own_entries[x]]))
+        among = among[(among > x) & (label[among] != label[x])]
+        among = among[SHARE[1] * np.minimum(size[among], size[x]) >= SHARE[0] * np.maximum(size[among], size[x])]
+        if not len(among):
+            continue
+        own = tokens[begins[x] : begins[x] + lengths[x]]
+        marked[own] = 1
+        ends = np.cumsum(lengths[among])
+        place = np.arange(ends[-1]) + np.repeat(begins[among] - (ends - lengths[among]), lengths[among])
+        common = np.add.reduceat(marked[tokens[place]], ends - lengths[among])
+        marked[own] = 0
+        found = among[_linked(common, size[among], size[x])]
+        for y in found.tolist():
+            if label[y] != label[x]:
+                links.append((int(node[x]), int(node[y])))
+                label[label == label[y]] = label[x]
     return links
 
 
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
-def _link_task(table: pa.Table) -> pa.Table:
-    node = table.column("node").to_numpy()
-    group, size = table.column("group").to_numpy(), table.column("n_shingles").to_numpy()
-    shared = table.column("shared").to_pylist()
+def _search_task(table: pa.Table) -> pa.Table:
+    node, group, label, size = (table.column(c).to_numpy() for c in ("node", "group", "label", "n_shingles"))
+    shared, entries = table.column("shared").to_pylist(), table.column("entries").combine_chunks()
     links: list[tuple[int, int]] = []
     order = np.lexsort((node, group))
     order = order[np.concatenate([[True], (np.diff(node[order]) != 0) | (np.diff(group[order]) != 0)])]
     for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
         if len(part) > 1:
-            links += _forest(node[part], size[part], [np.frombuffer(shared[i], np.uint64) for i in part])
+            own = [entries[int(i)].values.to_numpy() for i in part]
+            links += _search(node[part], label[part], size[part], [np.frombuffer(shared[i], np.uint64) for i in part], own)
     columns = list(zip(*links)) if links else [(), ()]
     return pa.table([pa.array(c, pa.int64()) for c in columns], schema=_LINKS)
 
 
+def _open_entries(held_by: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``(entry, node, label)`` of entries whose nodes are not all connected yet, with the least ``(label, node)`` of the entry."""
+    if labels is None:
+        rows = held_by.select("entry", "node", F.col("node").alias("label"))
+    else:
+        known = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+        rows = held_by.join(known, held_by["node"] == known["_node"], "left").select("entry", "node", F.coalesce("_label", "node").alias("label"))
+    ends = rows.groupBy(F.col("entry").alias("_entry")).agg(
+        F.min("label").alias("least"), F.max("label").alias("_most"), F.min(F.struct("label", "node")).alias("_first")
+    )
+    ends = ends.filter("least < _most").select("_entry", "least", F.col("_first.node").alias("pivot"))
+    return rows.join(ends, rows["entry"] == ends["_entry"]).select("entry", "node", "label", "least", "pivot")
+
+
 def find_links(sets: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` between nodes of ``index_sets`` that connect what all links connect."""
-    entries = sets.filter("entries IS NOT NULL").select("node", F.explode("entries").alias("entry"))
-    least = entries.groupBy("entry").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).filter("pivot < _last")
-    stars = entries.join(least.select("entry", "pivot"), "entry").filter("node != pivot")
-    candidates = components(stars.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
-    sizes = candidates.groupBy("label").agg(F.count(F.lit(1)).alias("_nodes"))
-    groups_of = candidates.join(sizes, "label").select(F.col("node").alias("_node"), F.col("label").alias("group"), "_nodes")
+    """Links ``(a, b)`` between nodes of ``index_sets`` that connect what all links connect.
+
+    A few rounds compare every node with one other at most: the least node of the entries it
+    shares, as connected so far. Near copies are connected by then, and entries all of
+    whose nodes are connected are done with. Candidates of the entries still open are compared one
+    by one, unless they are connected meanwhile.
+    """
     held = sets.filter("shared IS NOT NULL").select("node", "n_shingles", "shared")
-    total = held.agg(F.coalesce(F.sum(F.octet_length("shared")), F.lit(0))).first()[0]
+    opened = _open_entries(sets.filter("entries IS NOT NULL").select("node", F.explode("entries").alias("entry")), None)
+    opened = materialize(opened, "open-entries")
+    links, labels = None, None
+    for _ in range(CONTRACTIONS):
+        if not opened.limit(1).count():
+            break
+        proposed = opened.filter("label != least").groupBy("node").agg(F.min(F.struct("least", "pivot")).alias("_to"))
+        found = materialize(verified(proposed.select(F.col("node").alias("a"), F.col("_to.pivot").alias("b")), held), "links")
+        links = found if links is None else links.unionByName(found)
+        if not found.limit(1).count():
+            break
+        labels = components(links)
+        opened = materialize(_open_entries(opened.select("entry", "node"), labels), "open-entries")
+    rest = _search_open(opened, held)
+    return rest if links is None else links.unionByName(rest)
+
+
+def _search_open(opened: DataFrame, held: DataFrame) -> DataFrame:
+    """Links among the candidates of open entries, group by group of labels that share entries."""
+    groups_of = components(opened.filter("label != least").select(F.col("label").alias("a"), F.col("least").alias("b")).distinct())
+    nodes = opened.groupBy("node", "label").agg(F.collect_list("entry").alias("entries"))  # entries of one set
+    grouped = nodes.join(groups_of.select(F.col("node").alias("label"), F.col("label").alias("group")), "label")
+    placed = materialize(grouped.join(held, "node"), "candidates")
+    sizes = placed.groupBy(F.col("group").alias("_group")).agg(F.count(F.lit(1)).alias("_nodes"))
+    total = placed.agg(F.coalesce(F.sum(F.octet_length("shared")), F.lit(0))).first()[0]
     packs = max(1, -(-total // PACK_BYTES))
-    placed = held.join(groups_of, held["node"] == groups_of["_node"]).drop("_node")
-    count = F.ceil(F.col("_nodes") / BLOCK_NODES).cast("int")
+    counted = placed.join(sizes, placed["group"] == sizes["_group"]).withColumn("_count", F.ceil(F.col("_nodes") / BLOCK_NODES).cast("int"))
     block = F.pmod(F.xxhash64("node"), F.col("_count")).cast("int")
-    # A block meets every block, itself included, in a task named by the two in order.
+    # A block of a large group meets every block, itself included, in a task named by the two in order.
     tasks = F.when(F.col("_count") == 1, F.array(F.struct(F.pmod(F.xxhash64("group"), F.lit(packs)).alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))).otherwise(
         F.transform(
             F.sequence(F.lit(0), F.col("_count") - 1),
             lambda other: F.struct(F.col("group").alias("task"), F.least(block, other).alias("i"), F.greatest(block, other).alias("j")),
         )
     )
-    spread = placed.withColumn("_count", count).withColumn("_task", F.explode(tasks))
-    rows = spread.select("_task.task", "_task.i", "_task.j", "group", "node", "n_shingles", "shared")
-    return rows.groupBy("task", "i", "j").applyInArrow(_link_task, "a long, b long")
+    rows = counted.withColumn("_task", F.explode(tasks)).select("_task.task", "_task.i", "_task.j", "group", "node", "label", "n_shingles", "shared", "entries")
+    return rows.groupBy("task", "i", "j").applyInArrow(_search_task, "a long, b long")
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
