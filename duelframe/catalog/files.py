@@ -45,6 +45,28 @@ def scan_response_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored_shards(spark, sf_dir)
 
 
+# Far below the default, so that the files of the test tables are cut as well.
+RANGE = 100_000
+LONG_SHARD_ROWS = 400
+
+
+@query("scan_shard_ranges", f"WITH {CAND} SELECT prompt_idx, sample_id, response FROM cand")
+def scan_shard_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longer shards, the files of which are read by several tasks each."""
+    path = scratch_path(spark, "long-shards")
+    writers.write_response_shards(views.responses(spark, sf_dir), path, LONG_SHARD_ROWS)
+    return readers.combine_shards(readers.scan_response_shards(spark, path, partitioned=True, range_bytes=RANGE))
+
+
+@query("scan_eval_array", "SELECT text AS instruction, item_id FROM benchmark")
+def scan_eval_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of array files, read by several tasks each."""
+    path = scratch_path(spark, "eval-arrays")
+    records = views.load(spark, sf_dir, "benchmark").select(quotient(F.col("item_id"), 1000).alias("part"), F.struct(F.col("text").alias("instruction"), "item_id").alias("record"))
+    records.groupBy("part").agg(F.to_json(F.collect_list("record")).alias("value")).write.partitionBy("part").text(path)
+    return readers.scan_eval_set(spark, f"{path}/part=*", "instruction string, item_id long", one_array=True, range_bytes=RANGE // 20)
+
+
 @query("combine_shards", f"WITH {CAND} SELECT prompt_idx, sample_id, response FROM cand")
 def combine_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.combine_shards(_stored_shards(spark, sf_dir))

@@ -63,9 +63,16 @@ def _length_judge():
 )
 def regroup_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every two candidates of a prompt, in one order: k is fixed, so a row makes k(k-1)/2."""
+    return judges.regroup_judgements(_requests(spark, sf_dir), _length_judge, REQUEST_KEYS)
+
+
+REQUEST_KEYS = ("worker_id", "prompt_idx", "i", "j")
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(K) for j in range(i + 1, K)])
     known = candidates(spark, sf_dir).join(views.prompts(spark, sf_dir), "prompt_idx")
-    requests = known.select("prompt_idx", "prompt", "candidates", F.inline(two)).select(
+    return known.select("prompt_idx", "prompt", "candidates", F.inline(two)).select(
         (F.col("prompt_idx") % WORKERS).alias("worker_id"),
         "prompt_idx",
         "i",
@@ -74,7 +81,61 @@ def regroup_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get("candidates", F.col("i")).alias("first"),
         F.get("candidates", F.col("j")).alias("second"),
     )
-    return judges.regroup_judgements(requests, _length_judge, ("worker_id", "prompt_idx", "i", "j"))
+
+
+JUDGE_SEED = 42
+# Characters the judges below give to the response they see first.
+FIRST_BONUS = 40
+
+_SHOWN = f"""{CAND}, req AS (
+      SELECT a.prompt_idx % {WORKERS} AS worker_id, a.prompt_idx, a.sample_id AS i, b.sample_id AS j,
+        length(a.response) AS n, length(b.response) AS m,
+        substr(md5(concat_ws(':', '{JUDGE_SEED}', a.prompt_idx % {WORKERS}, a.prompt_idx, a.sample_id, b.sample_id)), 1, 1) < '8' AS swapped
+      FROM cand a JOIN cand b ON a.prompt_idx = b.prompt_idx JOIN pages ON page_id = a.prompt_idx
+      WHERE a.sample_id < b.sample_id),
+    shown AS (
+      SELECT *, CASE WHEN swapped THEN m ELSE n END + {FIRST_BONUS} AS first, CASE WHEN swapped THEN n ELSE m END AS second FROM req)"""
+
+
+def _partial_judge():
+    def judge(batch):
+        first, second = batch["first"].str.len() + FIRST_BONUS, batch["second"].str.len()
+        return [0 if a > b else 1 if a < b else -1 for a, b in zip(first, second)]
+
+    return judge
+
+
+def _soft_judge():
+    def judge(batch):
+        first, second = batch["first"].str.len() + FIRST_BONUS, batch["second"].str.len()
+        return first / (first + second)
+
+    return judge
+
+
+@query(
+    "judge_in_shuffled_order",
+    f"""WITH {_SHOWN}, judged AS (
+      SELECT *, CASE WHEN first > second THEN 0 WHEN first < second THEN 1 ELSE -1 END AS seen FROM shown),
+    ranked AS (SELECT *, CASE WHEN swapped AND seen >= 0 THEN 1 - seen ELSE seen END AS rank FROM judged)
+    SELECT worker_id, prompt_idx, i, j, swapped, rank,
+      CASE WHEN rank = 0 THEN 1.0::DOUBLE WHEN rank = 1 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS prob FROM ranked""",
+)
+def judge_in_shuffled_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A judge that favors the response it sees first, asked in shuffled order."""
+    return judges.regroup_judgements(_requests(spark, sf_dir), _partial_judge, REQUEST_KEYS, shuffle_seed=JUDGE_SEED)
+
+
+@query(
+    "judge_with_scores",
+    f"""WITH {_SHOWN}
+    SELECT worker_id, prompt_idx, i, j, swapped,
+      {s6("CASE WHEN swapped THEN 1 - first / (first + second) ELSE first / (first + second) END")} AS prob FROM shown""",
+)
+def judge_with_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a probability for each verdict."""
+    found = judges.regroup_judgements(_requests(spark, sf_dir), _soft_judge, REQUEST_KEYS, shuffle_seed=JUDGE_SEED, return_scores=True)
+    return found.withColumn("prob", r6("prob"))
 
 
 JUDGED = """judged AS (

@@ -10,7 +10,8 @@ from duelframe.catalog import query
 from duelframe.catalog.shared import r6, s6
 from duelframe.functions.columns import quotient
 from duelframe.plans import losses
-from duelframe.session import spread
+from duelframe.session import materialize, scratch_path, spread
+from duelframe.streaming import metrics
 
 BETA = 0.001
 REG_COEF = 0.1
@@ -261,6 +262,13 @@ def batch_metrics_unregularized(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOG_STEPS = 10
 
 
+def _metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every batch is one training step of the log."""
+    return losses.batch_metrics(_pairs(spark, sf_dir), _REWARD_BETA).select(
+        F.lit("run").alias("run"), F.lit("train").alias("split"), (F.col("batch_id") + 1).alias("step"), "key", "value"
+    )
+
+
 @query(
     "metric_log_mean",
     f"""WITH {LP}, {_REWARDS}, m AS ({_metrics_sql(_PLAIN_METRICS)})
@@ -268,12 +276,25 @@ _LOG_STEPS = 10
       key, {s6("avg(value)")} AS value, count(*) AS n_values FROM m GROUP BY ALL""",
 )
 def metric_log_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every batch is one training step of the log."""
-    log = losses.batch_metrics(_pairs(spark, sf_dir), _REWARD_BETA).select(
-        F.lit("run").alias("run"),
-        F.lit("train").alias("split"),
-        (F.col("batch_id") + 1).alias("step"),
-        "key",
-        "value",
-    )
+    log = _metric_log(spark, sf_dir)
     return losses.metric_log_mean(log, _LOG_STEPS).withColumn("value", r6("value"))
+
+
+@query(
+    "metric_log_stream",
+    f"""WITH {LP}, {_REWARDS}, m AS ({_metrics_sql(_PLAIN_METRICS)})
+    SELECT 'run' AS run, 'train' AS split, CAST(ceil((batch_id + 1) / {_LOG_STEPS}.0) AS BIGINT) * {_LOG_STEPS} AS step,
+      key, {s6("avg(value)")} AS value, count(*) AS n_values FROM m GROUP BY ALL""",
+)
+def metric_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written in two parts, cut between two log events; the second run goes on where the first one stopped."""
+    log = materialize(_metric_log(spark, sf_dir), "metric-log")
+    is_event = F.col("step") % _LOG_STEPS == 0
+    events = log.filter(is_event).select("run", "split", "step").distinct()
+    rows = log.unionByName(events.withColumns({"key": F.lit(None).cast("string"), "value": F.lit(None).cast("double")}))
+    folder = scratch_path(spark, "metric-stream")
+    for part in (F.col("step") <= 34, F.col("step") > 34):
+        rows.filter(part).write.mode("append").parquet(f"{folder}/log")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/log")
+        means = metrics.run_to_table(metrics.means_at_log_events(stream), folder)
+    return means.withColumn("value", r6("value"))

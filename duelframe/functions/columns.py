@@ -20,6 +20,16 @@ def checked(df: DataFrame, fits: Column, problem: Column | str) -> DataFrame:
     return df.filter(F.when(fits, F.lit(True)).otherwise(F.raise_error(text).cast("boolean")))
 
 
+def evaluated_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add or replace columns that later filters and projections read instead of evaluating them again.
+
+    Catalyst writes the expression of a projected column into every filter and projection that
+    reads it. A generator of one row stands in between: nothing is pushed below it or merged with it.
+    """
+    row = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select(*[name for name in df.columns if name not in columns], F.inline(F.array(row)))
+
+
 def named_key(problem: str, *keys: str) -> Column:
     """``problem`` with the row's key behind it; null keys are named too."""
     parts = [F.concat(F.lit(f"{key}="), F.coalesce(F.col(key).cast("string"), F.lit("null"))) for key in keys]

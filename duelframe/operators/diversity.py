@@ -2,42 +2,77 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duelframe.functions.columns import checked, named_key
+from duelframe.functions.columns import checked, evaluated_once, named_key
 from duelframe.operators.tokens import Encode, words
 
 # Fixed value: longest n-gram of the published score.
 MAX_ORDER = 4
 
-# Partitions per shuffle partition of the session.
-GROWTH = 2
+_MULTIPLIER, _MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
 
-def explode_ngrams(tokens: DataFrame, max_order: int = MAX_ORDER) -> DataFrame:
-    """One row ``(prompt_idx, sample_id, order, gram)`` per n-gram up to ``max_order``,
-    and one of order 0 per sample, so that samples without tokens are seen too.
+def _longer_grams(grams: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Ids of n-grams from those one shorter and the tokens behind them."""
+    ids = grams * _MULTIPLIER + tokens
+    ids ^= ids >> np.uint64(29)
+    ids *= _MIXER
+    return ids ^ (ids >> np.uint64(32))
 
-    Each order appends the next token to the stored n-grams one shorter, in one pass
-    over the array (a slice per position would copy the whole array every time).
+
+def _clipped_matches(prompt: np.ndarray, sample: np.ndarray, grams: np.ndarray, prompts: int, k: int) -> np.ndarray:
+    """Per prompt and sample: occurrences of its n-grams, each counted at most as often as another sample has it.
+
+    Occurrences are sorted into runs of one n-gram of one sample. Runs of one n-gram stand together,
+    so the largest count among the other samples is the largest of them, or the next one for the sample that has it.
     """
-    staged = tokens.withColumn("_g1", F.col("_tokens"))
-    for order in range(2, max_order + 1):
-        n = F.greatest(F.size("_tokens") - (order - 1), F.lit(0))
-        longer = F.zip_with(
-            F.slice(f"_g{order - 1}", F.lit(1), n),
-            F.slice("_tokens", F.lit(order), n),
-            lambda gram, token: F.concat(gram, F.lit("\u0001"), token),
-        )
-        staged = staged.withColumn(f"_g{order}", longer)
-    by_order = F.array(
-        F.array(F.lit("")), *[F.col(f"_g{order}") for order in range(1, max_order + 1)]
-    )
-    orders = staged.select("prompt_idx", "sample_id", F.posexplode(by_order).alias("order", "_grams"))
-    return orders.select("prompt_idx", "sample_id", "order", F.explode("_grams").alias("gram"))
+    order = np.lexsort((sample, grams, prompt))
+    prompt, sample, grams = prompt[order], sample[order], grams[order]
+    new_gram = np.ones(len(grams), dtype=bool)
+    new_gram[1:] = (grams[1:] != grams[:-1]) | (prompt[1:] != prompt[:-1])
+    new_run = new_gram.copy()
+    new_run[1:] |= sample[1:] != sample[:-1]
+    runs = np.flatnonzero(new_run)
+    counts = np.diff(np.append(runs, len(grams)))
+    heads = np.flatnonzero(new_gram[runs])  # first run of each n-gram
+    most = np.maximum.reduceat(counts, heads)
+    gram_of = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(runs))))
+    is_most = counts == most[gram_of]
+    alone_at_top = np.add.reduceat(is_most, heads) == 1
+    next_most = np.maximum.reduceat(np.where(is_most, 0, counts), heads)
+    others = np.where(is_most & alone_at_top[gram_of], next_most[gram_of], most[gram_of])
+    place = prompt[runs] * k + sample[runs]
+    return np.bincount(place, weights=np.minimum(counts, others), minlength=prompts * k).reshape(prompts, k)
+
+
+def _scores(lengths: np.ndarray, tokens: np.ndarray, max_order: int) -> np.ndarray:
+    """BLEU of each sample of each prompt; ``lengths`` is -1 where there is none, ``tokens`` come in their order."""
+    prompts, k = lengths.shape
+    sizes = np.maximum(lengths, 0).ravel()
+    place = np.repeat(np.arange(prompts * k), sizes)
+    last = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(tokens))  # tokens of the text from here on
+    logs, all_match = np.zeros((prompts, k)), np.ones((prompts, k), dtype=bool)
+    grams = tokens
+    for order in range(1, max_order + 1):
+        if order > 1:
+            grams = _longer_grams(grams[:-1], tokens[order - 1 :])
+        inside = last[: len(grams)] >= order
+        own = place[: len(grams)][inside]
+        matches = _clipped_matches(own // k, own % k, grams[inside], prompts, k) if len(own) else np.zeros((prompts, k))
+        all_match &= matches > 0
+        logs += np.log(np.maximum(matches, 1) / np.maximum(lengths - (order - 1), 1))
+    gaps = np.abs(lengths[:, :, None] - lengths[:, None, :]) * 2 + (lengths[:, None, :] > lengths[:, :, None])
+    missing = (lengths[:, None, :] < 0) | np.eye(k, dtype=bool)
+    nearest = np.where(missing, np.iinfo(np.int64).max, gaps).argmin(axis=2)  # the shorter one on ties
+    reference = np.take_along_axis(lengths, nearest, axis=1)
+    brevity = np.where(lengths > reference, 0.0, 1.0 - reference / np.maximum(lengths, 1))
+    return np.where(all_match & (lengths > 0), np.exp(brevity + logs / max_order), 0.0)
 
 
 def self_bleu(
@@ -45,85 +80,48 @@ def self_bleu(
 ) -> DataFrame:
     """BLEU of every sample against the other samples of its prompt: ``(prompt_idx, sample_id, bleu)``.
 
-    Texts are shuffled once, on the prompt; their n-grams, many times larger, are then
-    counted in place with k counters per ``(prompt, n-gram)``, and the best count among
-    the other samples is row-local. A prompt holds at most k texts. An order without any
-    match makes the score 0 (no smoothing). Prompts with a single sample have nothing
-    to compare with and score 0. A sample id outside ``0..k-1`` and a repeated sample stop
-    the job.
+    Texts become arrays of 64-bit token ids before the one shuffle, on the prompt, which puts
+    the samples of a prompt into k columns; a prompt holds at most k texts. Batches of prompts
+    then count n-grams as runs in sorted arrays of ids made from the ids of their tokens; no
+    n-gram is a row. An order without any match makes the score 0 (no smoothing). Prompts with
+    a single sample have nothing to compare with and score 0. A sample id outside ``0..k-1`` and
+    a repeated sample stop the job.
     """
-    # A fixed partition count, as adaptive coalescing would size tasks by the texts alone;
-    # several times the session's, as n-grams take many times the room of their text.
-    partitions = GROWTH * int(responses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = responses.repartition(partitions, "prompt_idx").select(
-        "prompt_idx", "sample_id", tokenize(F.col("response")).alias("_tokens")
-    )
-    counted = explode_ngrams(tokens, max_order).groupBy("prompt_idx", "order", "gram").agg(
-        *[F.count_if(F.col("sample_id") == i).alias(f"_n{i}") for i in range(k)],
-        F.count_if(F.col("sample_id").isNull() | ~F.col("sample_id").between(0, k - 1)).alias("_stray"),
-    )
-    totals = counted.groupBy("prompt_idx", "order").agg(
-        *[F.sum(_clipped(i, k)).alias(f"_clip{i}") for i in range(k)],
-        *[F.sum(f"_n{i}").alias(f"_all{i}") for i in range(k)],
-        F.sum("_stray").alias("_stray"),
-    )
-
-    def at(order: int, name: str) -> Column:
-        return F.max(F.when(F.col("order") == order, F.col(name)))
-
-    # A sample's order-0 row says it exists, its unigrams add up to its length.
-    per_prompt = totals.groupBy("prompt_idx").agg(
-        *[at(order, f"_clip{i}").alias(f"_clip{i}_{order}") for i in range(k) for order in range(1, max_order + 1)],
-        *[
-            F.when(at(0, f"_all{i}") > 0, F.coalesce(at(1, f"_all{i}"), F.lit(0))).alias(f"_len{i}")
-            for i in range(k)
-        ],
-        at(0, "_stray").alias("_stray"),
-        F.greatest(*[at(0, f"_all{i}") for i in range(k)], F.lit(0)).alias("_copies"),
-    )
-    usable = (F.col("_stray") == 0) & (F.col("_copies") <= 1)
-    per_prompt = checked(per_prompt, usable, named_key(f"samples must be 0 to {k - 1}, each once", "prompt_idx"))
-    samples = [
-        F.struct(F.lit(i).alias("sample_id"), F.col(f"_len{i}").alias("_len"), _bleu(i, k, max_order).alias("bleu"))
-        for i in range(k)
-    ]
-    scored = per_prompt.select("prompt_idx", F.inline(F.array(*samples)))
-    return scored.filter(F.col("_len").isNotNull()).drop("_len")
+    ids = F.coalesce(F.transform(tokenize(F.col("response")), lambda token: F.xxhash64(token)), F.array().cast("array<long>"))
+    tokens = evaluated_once(responses.select("prompt_idx", "sample_id", "response"), {"_ids": ids})
 
+    def of(i: int) -> Column:
+        return F.col("sample_id") == i
 
-def _others(i: int, k: int) -> list[int]:
-    return [j for j in range(k) if j != i]
-
-
-def _largest(columns: list[Column]) -> Column:
-    return columns[0] if len(columns) == 1 else F.greatest(*columns)
-
-
-def _clipped(i: int, k: int) -> Column:
-    if k < 2:
-        return F.lit(0)
-    return F.least(F.col(f"_n{i}"), _largest([F.col(f"_n{j}") for j in _others(i, k)]))
-
-
-def _closest_length(i: int, k: int) -> Column:
-    """Length among the other samples nearest to sample i's, the shorter one on ties."""
-    own = F.col(f"_len{i}")
-    options = F.filter(F.array(*[F.col(f"_len{j}") for j in _others(i, k)]), lambda n: n.isNotNull())
-    return F.array_min(F.transform(options, lambda n: F.struct(F.abs(n - own), n.alias("n"))))["n"]
-
-
-def _bleu(i: int, k: int, max_order: int) -> Column:
-    if k < 2:
-        return F.lit(0.0)
-    own = F.col(f"_len{i}")
-    matches = [F.coalesce(F.col(f"_clip{i}_{n}"), F.lit(0)) for n in range(1, max_order + 1)]
-    log_precision = reduce(
-        lambda a, b: a + b,
-        [F.log(m / F.greatest(own - (n - 1), F.lit(1))) for n, m in enumerate(matches, start=1)],
+    per_prompt = tokens.groupBy("prompt_idx").agg(
+        *[F.first(F.when(of(i), F.col("_ids")), ignorenulls=True).alias(f"_ids{i}") for i in range(k)],
+        F.greatest(*[F.count_if(of(i)) for i in range(k)], F.lit(0)).alias("_copies"),
+        F.count_if(F.col("sample_id").isNull() | ~F.col("sample_id").between(0, k - 1)).alias("_stray"),
     )
-    reference = _closest_length(i, k)
-    brevity = F.when(own > reference, 0.0).otherwise(F.lit(1.0) - reference / own)
-    return F.when(reduce(lambda a, b: a & b, [m > 0 for m in matches]), F.exp(brevity + log_precision / max_order)).otherwise(0.0)
+    usable = (F.col("_stray") == 0) & (F.col("_copies") <= 1)
+    per_prompt = checked(per_prompt, usable, named_key(f"samples must be 0 to {k - 1}, each once", "prompt_idx")).drop("_stray", "_copies")
+    prompt_type = responses.schema["prompt_idx"].dataType.simpleString()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(f"_ids{i}") for i in range(k)]
+            lengths = np.stack([np.asarray(c.value_lengths().fill_null(-1), dtype=np.int64) for c in columns], axis=1)
+            # Prompt by prompt and sample by sample, as the lengths are.
+            own = [c.flatten().to_numpy(zero_copy_only=False).view(np.uint64) for c in columns]
+            sizes = np.maximum(lengths, 0)
+            ends = np.cumsum(sizes.ravel()).reshape(sizes.shape)
+            mixed = np.empty(int(sizes.sum()), dtype=np.uint64)
+            for i, values in enumerate(own):
+                begins = np.repeat(ends[:, i] - np.cumsum(sizes[:, i]), sizes[:, i])
+                mixed[np.arange(len(values)) + begins] = values
+            found = _scores(lengths, mixed, max_order)
+            row, sample = np.nonzero(lengths >= 0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("prompt_idx").take(pa.array(row)), pa.array(sample, pa.int32()), pa.array(found[row, sample])],
+                names=["prompt_idx", "sample_id", "bleu"],
+            )
+
+    return per_prompt.mapInArrow(score, f"prompt_idx {prompt_type}, sample_id int, bleu double")
 
 
 def mean_self_bleu(per_sample: DataFrame) -> DataFrame:

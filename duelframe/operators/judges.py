@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelframe.functions.columns import quotient
+from duelframe.functions.columns import hash_order, quotient
 from duelframe.indexing import running_total_before
 from duelframe.session import materialize
 
@@ -42,20 +42,44 @@ def rank_to_prob(rank: Column) -> Column:
     return F.when(rank == 0, 1.0).when(rank == 1, 0.0).otherwise(0.5)
 
 
+def order_is_swapped(seed: int, keys: Sequence[str]) -> Column:
+    """Whether a request is shown with its two responses in opposite order: a repeatable coin toss."""
+    return F.substring(hash_order(seed, *keys), 1, 1) < "8"
+
+
 def regroup_judgements(
     requests: DataFrame,
     make_judge: Callable[[], Callable[[pd.DataFrame], Sequence[float]]],
     keys: Sequence[str] = ("worker_id", "prompt_idx"),
     inputs: Sequence[str] = ("prompt", "first", "second"),
+    shuffle_seed: int | None = None,
+    return_scores: bool = False,
 ) -> DataFrame:
     """Judge the requests of all workers; the key brings every verdict back to its sender.
 
-    Gives the keys, ``rank`` and ``prob``.
+    Gives the keys, ``rank`` and ``prob``, the win probability of the response that is first in
+    the request. A judge gives ranks, or with ``return_scores`` that probability for the response
+    it sees first; then there is no ``rank``. With a ``shuffle_seed`` the judge sees the last two
+    inputs of about every second request in opposite order, named by the column ``swapped``, and
+    its verdicts are turned round, so that a preference for a place cancels out.
     """
-    ranked = score_candidates(requests, make_judge, keys, inputs, "rank")
-    return ranked.withColumn("rank", F.col("rank").cast("int")).withColumn(
-        "prob", rank_to_prob(F.col("rank"))
-    )
+    told = [*keys]
+    if shuffle_seed is not None:
+        *_, first, second = inputs
+        told.append("swapped")
+        requests = requests.withColumn("swapped", order_is_swapped(shuffle_seed, keys)).withColumns(
+            {
+                first: F.when(F.col("swapped"), F.col(second)).otherwise(F.col(first)),
+                second: F.when(F.col("swapped"), F.col(first)).otherwise(F.col(second)),
+            }
+        )
+    judged = score_candidates(requests, make_judge, told, inputs, "_verdict")
+    swapped = F.col("swapped") if shuffle_seed is not None else F.lit(False)
+    verdict = F.col("_verdict")
+    if return_scores:
+        return judged.withColumn("prob", F.when(swapped, 1 - verdict).otherwise(verdict)).drop("_verdict")
+    rank = F.when(swapped & verdict.isin(0, 1), 1 - verdict).otherwise(verdict).cast("int")
+    return judged.withColumn("rank", rank).withColumn("prob", rank_to_prob(F.col("rank"))).drop("_verdict")
 
 
 def win_rate(judged: DataFrame, by: str = "generator") -> DataFrame:

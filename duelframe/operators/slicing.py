@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from duelframe.functions.columns import hash_order, quotient
@@ -58,45 +58,77 @@ def head_n(df: DataFrame, n: int, index_col: str = "prompt_idx") -> DataFrame:
     return df if n <= 0 else df.filter(F.col(index_col) < n)
 
 
-# Leading hexadecimal digits of a hash that name its range when places are counted.
+# Hexadecimal digits of a hash by which one pass narrows the range of the last sampled row.
 RANGE_DIGITS = 4
 
 
+def row_hash(df: DataFrame) -> Column:
+    """128 bits over all columns of a row, as hexadecimal digits."""
+    # Maps cannot be hashed; as text they can.
+    hashable = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
+    halves = [F.lpad(F.hex(F.xxhash64(F.lit(salt), *hashable)), 16, "0") for salt in (1, 2)]
+    return F.concat(*halves)
+
+
+def _ranges(hashes: DataFrame, prefix: str, digits: int) -> list[Row]:
+    """Rows, least and largest hash of every range below ``prefix``, named by ``digits`` more digits: at most ``16 ** digits``."""
+    leading = F.substring("_hash", 1, len(prefix) + digits)
+    inside = hashes.filter(F.startswith(F.col("_hash"), F.lit(prefix))) if prefix else hashes
+    counts = inside.groupBy(leading.alias("_range")).agg(F.count(F.lit(1)).alias("_n"), F.min("_hash").alias("_least"), F.max("_hash").alias("_most"))
+    return sorted(counts.collect(), key=lambda row: row["_range"])
+
+
+def _last_place(hashes: DataFrame, n: int, digits: int, ranges: list[Row]) -> tuple[str, int]:
+    """A prefix and a number: the ``n`` least hashes are those below the prefix and that many that begin with it.
+
+    The number is 0 where all that begin with the prefix are meant. Every pass over the column
+    ``_hash`` counts the range found before by its next digits; ``ranges`` are the first counts.
+    """
+    needed = n
+    while True:
+        for found in ranges:
+            if needed <= found["_n"]:
+                break
+            needed -= found["_n"]
+        if needed == found["_n"]:
+            return found["_range"], 0
+        if found["_least"] == found["_most"]:
+            return found["_least"], needed
+        ranges = _ranges(hashes, found["_range"], digits)
+
+
 def sample_n(
     df: DataFrame, n: int, keys: Sequence[str], seed: int = SHUFFLE_SEED, strict: bool = True, range_digits: int = RANGE_DIGITS
 ) -> DataFrame:
     """Exactly ``n`` rows without replacement, the same ones for the same seed.
 
-    The rows with the ``n`` least hashes of ``keys``. Rows are counted per hash range, so
-    the hash at place ``n`` is looked for in one range only, and the sample is a filter on
-    the hash: nothing is joined, sorted as a whole or sent to the driver but one count per
-    range. Null keys hash like any other. Of rows that share the last hash, as repeated
-    keys do, as many are taken as are needed. ``strict`` fails on a table with fewer than
-    ``n`` rows.
+    The rows with the ``n`` least hashes of ``keys``; of rows that share the last hash, as
+    repeated keys do, those with the least hashes of the whole row. Rows that are equal altogether
+    stand for each other. The last row is found by counting: the range of hashes that holds it is
+    narrowed digit by digit, mostly in one pass or two, and the sample is then a filter on the
+    hash. Nothing is joined, sorted or sent to the driver but the counts of one level. Null
+    keys hash like any other. ``strict`` fails on a table with fewer than ``n`` rows.
     """
     hashed = df.select(hash_order(seed, *keys).alias("_hash"))
-    leading = F.substring("_hash", 1, range_digits)
-    counts = sorted((row["_range"], row["_n"]) for row in hashed.groupBy(leading.alias("_range")).agg(F.count(F.lit(1)).alias("_n")).collect())
-    total = sum(count for _, count in counts)
+    ranges = _ranges(hashed, "", range_digits)
+    total = sum(row["_n"] for row in ranges)
     if strict and total < n:
         raise ValueError(f"cannot sample {n} rows from a smaller table")
     if n >= total:
         return df
     if n <= 0:
         return df.limit(0)
-    before = 0
-    for cut_range, count in counts:
-        if before + count >= n:
-            break
-        before += count
-    inside = hashed.filter(leading == cut_range)
-    last = inside.orderBy("_hash").limit(n - before).agg(F.max("_hash")).first()[0]
-    below, equal = inside.agg(F.count_if(F.col("_hash") < last), F.count_if(F.col("_hash") == last)).first()
     own = hash_order(seed, *keys)
-    needed = n - before - below
-    if needed == equal:
-        return df.filter(own <= last)
-    return df.filter(own < last).unionByName(df.filter(own == last).limit(needed))
+    last, needed = _last_place(hashed, n, range_digits, ranges)
+    if not needed:
+        return df.filter(F.substring(own, 1, len(last)) <= last)
+    alike, content = df.filter(own == last), row_hash(df)
+    contents = alike.select(content.alias("_hash"))
+    last_row, copies = _last_place(contents, needed, range_digits, _ranges(contents, "", range_digits))
+    below = df.filter(own < last)
+    if not copies:
+        return below.unionByName(alike.filter(F.substring(content, 1, len(last_row)) <= last_row))
+    return below.unionByName(alike.filter(content < last_row)).unionByName(alike.filter(content == last_row).limit(copies))
 
 
 def random_rows(df: DataFrame, k: int, keys: Sequence[str], seed: int = SHUFFLE_SEED) -> DataFrame:

@@ -9,12 +9,11 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duelframe.functions.columns import checked, drop_first, quotient, take_first, take_last
+from duelframe.functions.columns import checked, drop_first, evaluated_once, quotient, take_first, take_last
 from duelframe.session import materialize
 
 # Label of positions that carry no loss, and the length a tokenizer
@@ -170,21 +169,22 @@ def split_pairs(df: DataFrame, encode: Encode = word_ids) -> DataFrame:
     """Encode ``prompt``, ``chosen``, ``rejected`` texts and cut the two joint encodings.
 
     Adds ``prompt_ids`` (the prompt encoded alone) and, per side, ``{side}_prompt_ids``
-    and ``{side}_answer_ids``.
+    and ``{side}_answer_ids``. Each text is encoded once, whatever reads the ids later.
     """
-    encoded = df.withColumns(
+    encoded = evaluated_once(
+        df,
         {
-            "prompt_ids": encode(F.col("prompt")),
+            "_prompt": encode(F.col("prompt")),
             "_chosen": encode(F.concat("prompt", "chosen")),
             "_rejected": encode(F.concat("prompt", "rejected")),
-        }
+        },
     )
-    parts = {}
+    parts = {"prompt_ids": F.col("_prompt")}
     for side in ("chosen", "rejected"):
-        head, answer = split_prompt_answer(F.col("prompt_ids"), F.col(f"_{side}"))
+        head, answer = split_prompt_answer(F.col("_prompt"), F.col(f"_{side}"))
         parts[f"{side}_prompt_ids"] = head
         parts[f"{side}_answer_ids"] = answer
-    return encoded.withColumns(parts).drop("_chosen", "_rejected")
+    return encoded.withColumns(parts).drop("_prompt", "_chosen", "_rejected")
 
 
 def inconsistent_prompts(split: DataFrame, key: str = "prompt_idx") -> DataFrame:
@@ -204,7 +204,7 @@ def frame_pairs(split: DataFrame, bos: int, eos: int) -> DataFrame:
     for side in ("chosen", "rejected"):
         framed[f"{side}_prompt_ids"] = add_bos(F.col(f"{side}_prompt_ids"), bos)
         framed[f"{side}_answer_ids"] = add_eos(F.col(f"{side}_answer_ids"), eos)
-    return split.withColumns(framed)
+    return evaluated_once(split, framed)
 
 
 def truncate_pairs(framed: DataFrame, limits: Limits) -> DataFrame:
@@ -247,9 +247,8 @@ def tokenize_pairs(
     }
     for side in ("chosen", "rejected"):
         head, answer = F.col(f"{side}_prompt_ids"), F.col(f"{side}_answer_ids")
-        whole = F.concat(head, answer)
-        columns[f"{side}_input_ids"] = whole
-        columns[f"{side}_attention_mask"] = ones(whole)
+        columns[f"{side}_input_ids"] = F.concat(head, answer)
+        columns[f"{side}_attention_mask"] = F.array_repeat(F.lit(1), F.size(head) + F.size(answer))
         columns[f"{side}_labels"] = mask_labels(head, answer)
     return cut.withColumns(columns).drop(
         "prompt_ids",
@@ -313,31 +312,24 @@ def pack_sequences(
 ) -> DataFrame:
     """Join all sequences end to end in id order and cut the stream every ``max_seq_length``.
 
-    One range shuffle brings the sequences into order; they are written once, each with the
-    tokens before it in its partition. Partition starts come from a table with one row per
-    partition, so a sequence knows its place without a join back. It hands out one slice per
-    chunk it touches, and a chunk gathers at most ``max_seq_length`` tokens. The last chunk
-    may be shorter. Ids are of any sortable type; null ids come first, and rows that share
-    an id follow each other in the order of their tokens. Gives ``(chunk_id, input_ids)``.
+    The sequences are written once, as they come. Only a narrow row of each, its order, length and
+    place in that table, is brought into order by range; lengths are summed inside the ranges,
+    whose starts come from a table with one row per range. So a sequence learns its place in the stream
+    by one join. It hands out one slice per chunk it touches, and a chunk gathers at most
+    ``max_seq_length`` tokens. The last chunk may be shorter. Ids are of any sortable type;
+    null ids come first, and rows that share an id follow each other in the order of a hash of
+    their tokens. Gives ``(chunk_id, input_ids)``.
     """
-    spark = df.sparkSession
     ids = F.col(ids_col) if eos is None else add_eos(F.col(ids_col), eos)
-    order = (F.col("_id").asc_nulls_first(), F.xxhash64("_ids"))
-    ordered = (
-        df.select(F.col(id_col).alias("_id"), ids.alias("_ids"))
-        .filter(F.size("_ids") > 0)
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .select(F.spark_partition_id().alias("_part"), F.size("_ids").cast("long").alias("_n"), "_ids")
+    written = evaluated_once(df.select(F.col(id_col).alias("_id"), F.col(ids_col)), {"_ids": ids})
+    stored = materialize(
+        written.filter(F.size("_ids") > 0).select(
+            "_id", F.xxhash64("_ids").alias("_hash"), F.size("_ids").cast("long").alias("_n"), F.monotonically_increasing_id().alias("_row"), "_ids"
+        ),
+        "sequences",
     )
-    stored = materialize(ordered.mapInArrow(_running_length, T.StructType([*ordered.schema.fields, T.StructField("_before", T.LongType())])), "sequences")
-    totals = stored.groupBy("_part").agg(F.sum("_n").alias("_n")).orderBy("_part").collect()
-    starts, total = [], 0
-    for row in totals:  # one row per shuffle partition
-        starts.append((row["_part"], total))
-        total += row["_n"]
-    begins = F.broadcast(spark.createDataFrame(starts, "_part int, _part_start long"))
-    placed = stored.join(begins, "_part").withColumn("_start", F.col("_part_start") + F.col("_before"))
+    starts = stream_starts(stored.select("_id", "_hash", "_n", "_row"))
+    placed = stored.select("_row", "_n", "_ids").join(starts, "_row")
     start, end = F.col("_start"), F.col("_start") + F.col("_n") - 1
 
     def piece(chunk: Column) -> Column:
@@ -357,11 +349,24 @@ def pack_sequences(
     )
 
 
-def _running_length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add the tokens that stand before each row in its partition."""
-    total = 0
-    for batch in batches:
-        lengths = batch.column("_n").to_numpy()
-        before = total + lengths.cumsum() - lengths
-        total += int(lengths.sum())
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before)], names=[*batch.schema.names, "_before"])
+def stream_starts(lengths: DataFrame) -> DataFrame:
+    """``_row`` and ``_start``, the sum of ``_n`` over all rows before in the order of ``_id`` and ``_hash``.
+
+    ``_row`` tells rows apart that are equal otherwise. The sorted rows are written once, so that
+    ranges stay the same whatever is computed again.
+    """
+    order = (F.col("_id").asc_nulls_first(), F.col("_hash"), F.col("_row"))
+    ranged = materialize(
+        lengths.repartitionByRange(*order).sortWithinPartitions(*order).select(
+            F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_place"), "_n", "_row"
+        ),
+        "lengths",
+    )
+    begins, total = [], 0
+    for row in ranged.groupBy("_part").agg(F.sum("_n").alias("_n")).orderBy("_part").collect():
+        begins.append((row["_part"], total))  # one row per range, so their number is fixed by the session settings
+        total += row["_n"]
+    begins = lengths.sparkSession.createDataFrame(begins, "_part int, _begin long")
+    before = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    return ranged.withColumn("_inside", inside).join(F.broadcast(begins), "_part").select("_row", (F.col("_begin") + F.col("_inside")).alias("_start"))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from duelframe.functions.columns import checked, named_key
+from duelframe.functions.columns import checked, evaluated_once, named_key
 from duelframe.indexing import index_rows
 from duelframe.schema import require_columns
 from duelframe.session import materialize, small_side
+from duelframe.sources.json_arrays import RANGE_BYTES, array_elements
 
 # Fixed value: name of a shard file, holding the shard and the sample number.
 SHARD_FILE = r"responses_(\d+)_(\d+)\.json$"
@@ -19,62 +21,77 @@ COMBINED_FILE = r"responses_(\d+)\.json$"
 
 
 def scan_prompts(df: DataFrame, order_cols: Sequence[str] | None = None) -> DataFrame:
-    """``(prompt_idx, prompt)``; positions come from ``order_cols`` when there are none."""
-    require_columns(df, "prompt")
-    if "prompt_idx" not in df.columns:
-        if not order_cols:
-            raise ValueError("a prompt table without prompt_idx needs order_cols")
-        df = index_rows(df, list(order_cols), "prompt_idx")
-    return df.select("prompt_idx", "prompt")
-
+    """``(prompt_idx, prompt)``; positions come from ``order_cols`` when there are none.
 
-def scan_response_shards(spark: SparkSession, path: str, partitioned: bool = False) -> DataFrame:
+    ``order_cols`` must identify a row. Only they are sorted, by range, and written with their positions;
+    prompts get theirs by a join on them and are neither sorted nor written.
+    """
+    require_columns(df, "prompt")
+    if "prompt_idx" in df.columns:
+        return df.select("prompt_idx", "prompt")
+    if not order_cols:
+        raise ValueError("a prompt table without prompt_idx needs order_cols")
+    keys = [f"_key{i}" for i in range(len(order_cols))]
+    named = {key: F.col(column) for key, column in zip(keys, order_cols)}
+    places = index_rows(df.select(*[column.alias(key) for key, column in named.items()]), keys, "prompt_idx")
+    same = [F.col(f"_own{key}").eqNullSafe(F.col(key)) for key in keys]
+    prompts = df.select("prompt", *[column.alias(f"_own{key}") for key, column in named.items()])
+    return prompts.join(places, reduce(lambda a, b: a & b, same)).select("prompt_idx", "prompt")
+
+
+def scan_response_shards(spark: SparkSession, path: str, partitioned: bool = False, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Rows ``(shard, sample_id, pos, response)`` from files of JSON string arrays.
 
     Reads files named ``responses_{shard}_{sample}.json``, or with ``partitioned`` the
-    folders ``write_response_shards`` makes. A file is one shard of one sample and is
-    read by one task; the writer's shard length bounds it. A file that is not a whole JSON
-    array of strings stops the job.
+    folders ``write_response_shards`` makes. A file is one shard of one sample. Files up to
+    ``range_bytes`` are read by one task each, larger ones by a task for every range
+    (``json_arrays``). A file that is not a whole JSON array of strings stops the job.
     """
-    if partitioned:
-        files = spark.read.text(path, wholetext=True).select("value", "shard", "sample_id")
-    else:
-        name = F.col("_metadata.file_path")
-        files = (
-            spark.read.option("pathGlobFilter", "responses_*_*.json")
-            .text(path, wholetext=True)
-            .select(
-                "value",
-                F.regexp_extract(name, SHARD_FILE, 1).cast("int").alias("shard"),
-                F.regexp_extract(name, SHARD_FILE, 2).cast("int").alias("sample_id"),
-            )
-        )
-    return _array_rows(files, "shard", "sample_id")
-
-
-def _array_rows(files: DataFrame, *keys: str) -> DataFrame:
-    parsed = files.select(
-        *[F.col(key).cast("int").alias(key) for key in keys],
-        F.from_json("value", "array<string>", {"mode": "FAILFAST"}).alias("_responses"),
-    )
-    whole = F.col("_responses").isNotNull() & ~F.exists("_responses", lambda text: text.isNull())
-    parsed = checked(parsed, whole, named_key("response file is not a JSON array of strings", *keys))
-    return parsed.select(*keys, F.posexplode("_responses").alias("pos", "response"))
 
+    def keys(file: Column) -> list[Column]:
+        if partitioned:
+            return [F.col(key).cast("int").alias(key) for key in ("shard", "sample_id")]
+        return [F.regexp_extract(file, SHARD_FILE, i).cast("int").alias(key) for i, key in ((1, "shard"), (2, "sample_id"))]
+
+    pattern = None if partitioned else "responses_*_*.json"
+    rows = _array_rows(spark, path, pattern, keys, ("shard", "sample_id"), range_bytes)
+    return rows.select("shard", "sample_id", F.col("pos").cast("int").alias("pos"), "response")
 
-def scan_combined_responses(spark: SparkSession, path: str) -> DataFrame:
+
+def _array_rows(
+    spark: SparkSession, path: str, pattern: str | None, keys: Callable[[Column], list[Column]], names: Sequence[str], range_bytes: int
+) -> DataFrame:
+    """``names``, ``pos`` and ``response`` of all files; ``keys`` makes the names from a file's address.
+
+    Files for which a name is null are passed over.
+    """
+    reader = spark.read if pattern is None else spark.read.option("pathGlobFilter", pattern)
+    whole = reader.text(path, wholetext=True).filter(F.col("_metadata.file_size") <= range_bytes)
+    texts = whole.select("value", *keys(F.col("_metadata.file_path"))).dropna(subset=list(names))
+    parsed = evaluated_once(texts, {"_responses": F.from_json("value", "array<string>", {"mode": "FAILFAST"})})
+    sound = F.col("_responses").isNotNull() & ~F.exists("_responses", lambda text: text.isNull())
+    parsed = checked(parsed, sound, named_key("response file is not a JSON array of strings", *names))
+    rows = parsed.select(*names, F.posexplode("_responses").alias("pos", "response")).withColumn("pos", F.col("pos").cast("long"))
+    files = reader.format("binaryFile").load(path).filter(F.col("length") > range_bytes)
+    large = files.select("path", "length", *keys(F.col("path"))).dropna(subset=list(names))
+    if not large.limit(1).count():
+        return rows
+    return rows.unionByName(array_elements(large, list(names), True, range_bytes).withColumnRenamed("value", "response"))
+
+
+def scan_combined_responses(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``(prompt_idx, sample_id, response)`` from files ``responses_{sample}.json``.
 
-    Such a file holds the responses of one sample for all prompts, in prompt order, and is
-    read by one task; beyond a few hundred megabytes keep the shards.
+    Such a file holds the responses of one sample for all prompts, in prompt order. Files
+    beyond ``range_bytes`` are read in ranges.
     """
-    files = (
-        spark.read.option("pathGlobFilter", "responses_*.json")
-        .text(path, wholetext=True)
-        .select("value", F.regexp_extract(F.col("_metadata.file_path"), COMBINED_FILE, 1).alias("sample_id"))
-        .filter("sample_id <> ''")
-    )
-    return _array_rows(files, "sample_id").select(F.col("pos").cast("long").alias("prompt_idx"), "sample_id", "response")
+
+    def keys(file: Column) -> list[Column]:
+        sample = F.regexp_extract(file, COMBINED_FILE, 1)
+        return [F.when(sample != "", sample).cast("int").alias("sample_id")]
+
+    rows = _array_rows(spark, path, "responses_*.json", keys, ("sample_id",), range_bytes)
+    return rows.select(F.col("pos").alias("prompt_idx"), "sample_id", "response")
 
 
 def parse_shard_ids(text: str) -> list[int]:
@@ -176,11 +193,18 @@ def read_split(spark: SparkSession, folder: str, split: str = "train") -> DataFr
     return whole
 
 
-def scan_eval_set(spark: SparkSession, path: str, schema: str, one_array: bool = False) -> DataFrame:
+def scan_eval_set(spark: SparkSession, path: str, schema: str, one_array: bool = False, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Instruction records from JSON: one record per line, or one array per file.
 
-    Lines are split over tasks; an array file is read whole by one task. A malformed record
-    and one without an instruction stop the job.
+    Lines are split over tasks; so are array files beyond ``range_bytes``, by ranges. A malformed
+    record and one without an instruction stop the job.
     """
     records = spark.read.schema(schema).option("multiLine", one_array).option("mode", "FAILFAST").json(path)
+    if one_array:
+        names = records.columns
+        large = spark.read.format("binaryFile").load(path).filter(F.col("length") > range_bytes).select("path", "length")
+        if large.limit(1).count():
+            elements = array_elements(large, [], False, range_bytes)
+            parsed = evaluated_once(elements, {"_record": F.from_json("value", schema, {"mode": "FAILFAST"})})
+            records = records.filter(F.col("_metadata.file_size") <= range_bytes).select(*names).unionByName(parsed.select("_record.*"))
     return checked(require_columns(records, "instruction"), F.col("instruction").isNotNull(), "evaluation record without an instruction")

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pandas as pd
@@ -102,3 +103,49 @@ def test_self_bleu_refuses_stray_and_repeated_samples(spark, rows):
     table = spark.createDataFrame(rows, "prompt_idx long, sample_id int, response string")
     with pytest.raises(PySparkException, match="samples must be 0 to 1"):
         diversity.self_bleu(table, 2).count()
+
+
+def test_self_bleu_of_many_prompts_has_no_ngram_rows(spark):
+    rng = random.Random(3)
+    texts = {p: {s: " ".join(rng.choice("abcdef") for _ in range(rng.randrange(0, 30))) for s in range(5) if rng.random() < 0.9} for p in range(60)}
+    rows = [(p, s, t) for p, samples in texts.items() for s, t in samples.items()] + [(1000, 2, None), (1000, 3, "a b c d")]
+    table = spark.createDataFrame(rows, "prompt_idx long, sample_id int, response string").repartition(5)
+    scored = diversity.self_bleu(table, 5)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "explode" not in plan
+    got = {(r.prompt_idx, r.sample_id): r.bleu for r in scored.collect()}
+    assert len(got) == len(rows) and got[1000, 2] == got[1000, 3] == 0.0
+    for p, samples in texts.items():
+        for s, text in samples.items():
+            others = [t.split() for i, t in samples.items() if i != s]
+            assert got[p, s] == pytest.approx(_bleu(text.split(), others) if others else 0.0), (p, s)
+
+
+def _requests(spark, n=400):
+    rows = [(i % 4, i, "p", "x" * (i % 7), "y" * (i % 5)) for i in range(n)]
+    return spark.createDataFrame(rows, "worker_id int, prompt_idx long, prompt string, first string, second string")
+
+
+def test_shuffled_order_cancels_a_preference_for_a_place(spark):
+    first_wins = lambda: lambda batch: [0] * len(batch)
+    plain = judges.regroup_judgements(_requests(spark), first_wins)
+    assert {(r["rank"], r.prob) for r in plain.collect()} == {(0, 1.0)} and "swapped" not in plain.columns
+    asked = judges.regroup_judgements(_requests(spark), first_wins, shuffle_seed=7)
+    found = asked.collect()
+    assert {(r.swapped, r["rank"], r.prob) for r in found} == {(False, 0, 1.0), (True, 1, 0.0)}
+    assert 150 < sum(r.swapped for r in found) < 250
+    again = judges.regroup_judgements(_requests(spark).repartition(9), first_wins, shuffle_seed=7)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, found))
+    assert asked.filter("swapped").count() == sum(r.swapped for r in found)
+
+
+def test_verdicts_are_turned_back_with_ranks_and_with_scores(spark):
+    longer = lambda: lambda batch: [(a < b) - (a == b) for a, b in zip(batch["first"].str.len(), batch["second"].str.len())]
+    plain = {r.prompt_idx: (r["rank"], r.prob) for r in judges.regroup_judgements(_requests(spark), longer).collect()}
+    turned = {r.prompt_idx: (r["rank"], r.prob) for r in judges.regroup_judgements(_requests(spark), longer, shuffle_seed=1).collect()}
+    assert plain == turned and {rank for rank, _ in plain.values()} == {-1, 0, 1}
+    share = lambda: lambda batch: (1 + batch["first"].str.len()) / (2 + batch["first"].str.len() + batch["second"].str.len())
+    soft = judges.regroup_judgements(_requests(spark), share, return_scores=True)
+    assert "rank" not in soft.columns
+    mixed = {r.prompt_idx: r.prob for r in judges.regroup_judgements(_requests(spark), share, shuffle_seed=1, return_scores=True).collect()}
+    assert mixed == pytest.approx({r.prompt_idx: r.prob for r in soft.collect()})

@@ -149,3 +149,24 @@ def test_running_total_over_many_buckets(spark):
     for row in rows:
         assert row.before == total
         total += row.v
+
+
+def test_a_sample_of_repeated_keys_is_the_same_under_any_partitioning(spark):
+    rows = [(1, i, f"t{i}", {"m": i}, [i]) for i in range(1000)] + [(2, i, None, None, None) for i in range(50)]
+    table = spark.createDataFrame(rows, "k long, i long, t string, m map<string,int>, a array<int>")
+    picked = [sorted(r.i for r in slicing.sample_n(table.repartition(n), 500, ["k"]).collect()) for n in (1, 3, 11)]
+    assert len(picked[0]) == 500 and picked[0] == picked[1] == picked[2]
+    # One digit a pass finds the same rows as four.
+    slow = sorted(r.i for r in slicing.sample_n(table.repartition(4, "i"), 500, ["k"], range_digits=1).collect())
+    assert slow == picked[0]
+    copies = spark.createDataFrame([(1, "same")] * 40 + [(1, "other")] * 5, "k long, t string")
+    for n in (1, 20, 41, 44, 45):
+        found = slicing.sample_n(copies.repartition(3), n, ["k"])
+        assert found.count() == n
+        assert found.groupBy("t").count().count() == (1 if n <= 5 else found.select("t").distinct().count())
+
+
+def test_a_sample_is_a_filter_after_few_passes(spark):
+    table = _rows(spark, 5000)
+    plan = slicing.sample_n(table, 700, ["row_idx"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Sort" not in plan and "Limit" not in plan

@@ -1,12 +1,15 @@
 import json
 
+import pyarrow as pa
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from duelframe.session import materialize, shared_folder
-from duelframe.sources import readers, writers
+from duelframe.sources import json_arrays, readers, writers
 
 
 def _write_shards(folder, shards):
@@ -161,3 +164,78 @@ def test_shared_folder_comes_from_the_session(spark, tmp_path, monkeypatch):
         conf = Conf()
 
     assert shared_folder(Cluster()) == str(tmp_path)
+
+
+_STRINGS = st.text(st.sampled_from('a"\\,[]{} é\n😀'), max_size=12)
+
+
+def _by_ranges(path, range_bytes):
+    """Elements of a file as its ranges read them one after the other."""
+    size = path.stat().st_size
+    rows = [{"path": str(path), "begin": b, "until": min(b + range_bytes, size)} for b in range(0, size, range_bytes)]
+    changes = next(json_arrays._changes(iter([pa.RecordBatch.from_pylist(rows)]))).to_pylist()
+    found, quotes, depth = [], 0, 0
+    for row in changes:
+        before = len(found)
+        inside = quotes % 2
+        for raw, cuts in json_arrays._elements(row["path"], row["begin"], row["until"], inside, depth):
+            values = json.loads(b"[" + raw + b"]")
+            assert not values or len(values) == len(cuts) + 1
+            found += values
+        at_top = dict(row[f"commas{inside}"]).get(1 - depth, 0) + (row["begin"] == 0)
+        assert len(found) - before in (at_top, 0)
+        quotes, depth = quotes + row["quotes"], depth + row[f"deeper{inside}"]
+    assert depth == 0 and quotes % 2 == 0
+    return found
+
+
+@settings(max_examples=150, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(_STRINGS, max_size=12), st.booleans(), st.booleans(), st.sampled_from([1, 2, 3, 7, 20, 1000]), st.sampled_from([1, 2, 5, 64]))
+def test_ranges_read_every_element_once(tmp_path, monkeypatch, texts, records, ascii_only, range_bytes, piece):
+    monkeypatch.setattr(json_arrays, "PIECE_BYTES", piece)
+    values = [{"a": t, "b": [t, [1, {"c": t}]]} for t in texts] if records else texts
+    (tmp_path / "array").write_text(json.dumps(values, ensure_ascii=ascii_only, indent=1 if len(texts) % 2 else None), encoding="utf-8")
+    assert _by_ranges(tmp_path / "array", range_bytes) == values
+
+
+def test_large_array_files_are_read_by_several_tasks(spark, tmp_path):
+    texts = {(s, j): [f's{s} "j{j}" \\ é {i}\n' * (i % 5) for i in range(300)] for s in range(2) for j in range(2)}
+    _write_shards(tmp_path, texts | {(2, j): ["short"] for j in range(2)})
+    whole = readers.scan_response_shards(spark, str(tmp_path))
+    ranged = readers.scan_response_shards(spark, str(tmp_path), range_bytes=1500)
+    assert whole.schema.simpleString() == ranged.schema.simpleString()
+    assert sorted(map(tuple, ranged.collect())) == sorted(map(tuple, whole.collect()))
+    spread = ranged.filter("shard = 0 AND sample_id = 0").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert spread > 3
+    long = tmp_path / "combined"
+    long.mkdir()
+    (long / "responses_1.json").write_text(json.dumps(texts[0, 0]))
+    rows = readers.scan_combined_responses(spark, str(long), range_bytes=700).orderBy("prompt_idx").collect()
+    assert [tuple(r) for r in rows] == [(i, 1, t) for i, t in enumerate(texts[0, 0])]
+
+
+def test_large_record_arrays(spark, tmp_path):
+    records = [{"instruction": f"[{i}], \"x\"", "output": "é" * (i % 40), "generator": "g"} for i in range(200)]
+    (tmp_path / "a.json").write_text(json.dumps(records, indent=2))
+    (tmp_path / "b.json").write_text(json.dumps(records[:1]))
+    schema = "instruction string, output string, generator string"
+    found = readers.scan_eval_set(spark, str(tmp_path), schema, one_array=True, range_bytes=1000)
+    assert sorted(r.instruction for r in found.collect()) == sorted(r["instruction"] for r in records + records[:1])
+
+
+@pytest.mark.parametrize("content", ['["%s", "b', '{"%s": 1}', '["%s", null]', '["%s"] "x"', '["%s"]]', '"%s"', '["%s",, "a"]', '["%s" "a"]'])
+def test_a_broken_large_file_stops_the_job(spark, tmp_path, content):
+    (tmp_path / "responses_3_1.json").write_text(content % ("long " * 200))
+    with pytest.raises((PySparkException, Py4JError)):
+        readers.scan_response_shards(spark, str(tmp_path), range_bytes=300).collect()
+
+
+def test_positions_are_found_without_writing_the_prompts(spark, tmp_path):
+    rows = [(i % 3 if i else None, i, f"text of {i}") for i in range(40)]
+    table = spark.createDataFrame(rows, "lang int, id long, prompt string").repartition(4)
+    found = readers.scan_prompts(table, ["lang", "id"])
+    expected = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [tuple(r) for r in found.orderBy("prompt_idx").collect()] == [(i, r[2]) for i, r in enumerate(expected)]
+    written = found._jdf.queryExecution().optimizedPlan().toString()
+    scans = [line for line in written.splitlines() if "Relation" in line]
+    assert scans and not any("prompt#" in line for line in scans)

@@ -1,7 +1,10 @@
 import datetime as dt
 
+import pytest
+from pyspark.errors import StreamingQueryException
+
 from duelframe.plans.losses import metric_log_mean
-from duelframe.streaming.metrics import run_to_table, windowed_means
+from duelframe.streaming.metrics import means_at_log_events, run_to_table, windowed_means
 
 SCHEMA = "ts timestamp, key string, value double"
 
@@ -42,3 +45,34 @@ def test_batch_means_cover_every_window(spark):
     table = spark.createDataFrame(rows, "run string, split string, step long, key string, value double")
     got = {(r.split, r.log_window): r.value for r in metric_log_mean(table, 2).collect()}
     assert got == {(s, w): v for s in ("train", "eval") for w, v in ((1, 1.5), (2, 3.5), (3, 5.0))}
+
+
+LOG = "run string, split string, step long, key string, value double"
+
+
+def _log_rows(steps, every):
+    rows = [(run, split, i, key, float(i * len(key))) for run in "ab" for split in ("train", "eval") for i in steps for key in ("loss", "reg/x")]
+    return rows + [(run, "train", i, None, None) for run in "ab" for i in steps if i % every == 0]
+
+
+def _append_and_run(spark, folder, rows, files=1):
+    table = spark.createDataFrame(rows, LOG)
+    table.repartition(files).write.mode("append").parquet(f"{folder}/log")
+    stream = spark.readStream.schema(LOG).parquet(f"{folder}/log")
+    return sorted(map(tuple, run_to_table(means_at_log_events(stream), str(folder)).collect()))
+
+
+def test_log_events_give_means_and_clear_them_across_restarts(spark, tmp_path):
+    batch = spark.createDataFrame([r for r in _log_rows(range(1, 13), 4) if r[3]], LOG).filter("split = 'train'")
+    expected = {(r.run, r.split, 4 * r.log_window, r.key, r.value, r.n_values) for r in metric_log_mean(batch, 4).collect()}
+    _append_and_run(spark, tmp_path, _log_rows(range(1, 6), 4), files=3)
+    between = _append_and_run(spark, tmp_path, _log_rows(range(6, 8), 4))
+    assert {r[2] for r in between} == {4}  # steps 5 to 7 wait in the state
+    found = _append_and_run(spark, tmp_path, _log_rows(range(8, 15), 4), files=2)
+    assert len(found) == len(expected) and set(found) == expected  # nothing twice, and nothing of a split that is not logged
+
+
+def test_a_step_behind_its_log_event_stops_the_stream(spark, tmp_path):
+    _append_and_run(spark, tmp_path, _log_rows(range(1, 5), 4))
+    with pytest.raises(StreamingQueryException, match="comes after the log event"):
+        _append_and_run(spark, tmp_path, [("a", "train", 4, "loss", 1.0)])

@@ -200,4 +200,24 @@ def test_packing_takes_any_sortable_id(spark, ids):
             if key is None and other is not None or None not in (key, other) and key < other:
                 assert places[own[0]] < places[first[0]]
     plan = tokens.pack_sequences(df, "ids", "id", 4)._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert "SinglePartition" not in plan and "Arrow" not in plan and "Python" not in plan
+
+
+def test_texts_are_encoded_once_with_the_check_in_place(spark):
+    pairs = spark.createDataFrame([(0, "a b", " c d", " e")], "prompt_idx long, prompt string, chosen string, rejected string")
+    rows = tokens.tokenize_pairs(pairs, 1, 2)
+    for table in (rows, rows.select("chosen_labels"), rows.filter("size(chosen_labels) > 3")):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("md5(") <= 3 and "raise_error" in plan
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 3
+
+
+def test_packed_starts_are_sums_before_in_order(spark):
+    rng = np.random.default_rng(1)
+    rows = [(None if i % 9 == 0 else int(rng.integers(0, 30)), int(rng.integers(-5, 5)), int(rng.integers(1, 9)), i) for i in range(300)]
+    table = spark.createDataFrame(rows, "_id long, _hash long, _n long, _row long").repartition(6)
+    found = {r._row: r._start for r in tokens.stream_starts(table).collect()}
+    total = 0
+    for _, _, n, row in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[3])):
+        assert found[row] == total
+        total += n
