@@ -15,11 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelframe.llm.bytewise import blocks, text_buffer
 from duelframe.llm.names import unused
+from duelframe.session import materialize
 
 WIDTH = 6
 FILTERS = 8
@@ -27,12 +28,16 @@ CHUNK = 256
 STEP = 192
 # Labelled documents the network is trained on, at most.
 SAMPLE_ROWS = 2500
+# Bytes of their texts together, at most; a text of more than a 64th of it is left out of training.
+SAMPLE_BYTES = 64 << 20
 # Texts shown in training, repeats included: a small sample is shown more often.
 SHOWN = 16_000
 THRESHOLD = 0.7
 # Weight of a good document in training, so that one of few bytes is not lost for want of evidence.
 GOOD_WEIGHT = 2.0
 _SCORE_BLOCK = 1 << 19
+# Chunks handled at a time, of long documents and in training.
+PIECE_CHUNKS = 512
 
 
 @dataclass
@@ -69,7 +74,29 @@ class Network:
         logits = np.clip(features @ self.weights + self.bias, -30, 30)
         return 1 / (1 + np.exp(-logits)), features
 
+    def score_long(self, data: np.ndarray) -> float:
+        """Score of one long document, some chunks at a time: maxima and sums are carried on."""
+        count = 1 + max(0, -(-(len(data) - CHUNK) // STEP))
+        total, most = np.zeros(FILTERS), np.full(FILTERS, -np.inf)
+        for first in range(0, count, PIECE_CHUNKS):
+            chunks = min(PIECE_CHUNKS, count - first)
+            low = first * STEP
+            high = min(len(data), low + (chunks - 1) * STEP + CHUNK)
+            padded = np.zeros(high - low + WIDTH, dtype=np.uint8)
+            own = data[low : high + WIDTH]
+            padded[: len(own)] = own
+            begins = np.arange(chunks) * STEP
+            spots = np.stack([begins, np.minimum(begins + CHUNK, high - low)], axis=1).ravel()
+            peaks = np.maximum.reduceat(self.responses(padded), spots)[::2]
+            active = np.maximum(peaks.astype(np.float64) + self.offset, 0)
+            total += active.sum(axis=0)
+            most = np.maximum(most, active.max(axis=0))
+        logit = np.clip(np.concatenate([total / count, most]) @ self.weights + self.bias, -30, 30)
+        return float(1 / (1 + np.exp(-logit)))
+
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        if len(offsets) == 2 and len(data) > _SCORE_BLOCK:
+            return np.array([self.score_long(data)])
         padded, begins, ends, firsts = _layout(data, offsets)
         spots = np.stack([begins, ends], axis=1).ravel()
         values = self.responses(padded)
@@ -127,13 +154,17 @@ def _gradients(values: list[np.ndarray], texts: list[bytes], target: np.ndarray)
     network.filters, network.offset, network.weights, network.bias = filters, offset, weights, float(bias[0])
     data = np.frombuffer(b"".join(texts), np.uint8)
     padded, begins, ends, firsts = _layout(data, np.cumsum([0, *map(len, texts)]))
-    n = len(padded) - WIDTH + 1
-    response = sum(filters[j][padded[j : j + n]] for j in range(WIDTH))
-    # Places of each chunk; a short last chunk repeats its last place.
-    places = np.minimum(begins[:, None] + np.arange(CHUNK), ends[:, None] - 1)
-    spread = response[places]
-    at = spread.argmax(axis=1)
-    peaks = np.take_along_axis(spread, at[:, None, :], axis=1)[:, 0]
+    peaks, chosen = np.empty((len(begins), FILTERS)), np.empty((len(begins), FILTERS), dtype=np.int64)
+    for first in range(0, len(begins), PIECE_CHUNKS):
+        part = slice(first, first + PIECE_CHUNKS)
+        low, high = int(begins[part][0]), int(ends[part].max())
+        response = sum(filters[j][padded[low + j : high + j]] for j in range(WIDTH))
+        # Places of each chunk; a short last chunk repeats its last place.
+        places = np.minimum(begins[part, None] + np.arange(CHUNK), ends[part, None] - 1)
+        spread = response[places - low]
+        at = spread.argmax(axis=1)
+        peaks[part] = np.take_along_axis(spread, at[:, None, :], axis=1)[:, 0]
+        chosen[part] = np.take_along_axis(places, at, axis=1)
     probability, features = network.combine(peaks, firsts)
     error = (probability - target) * np.where(target == 1, GOOD_WEIGHT, 1.0) / len(target)
     to_features = error[:, None] * weights
@@ -146,7 +177,6 @@ def _gradients(values: list[np.ndarray], texts: list[bytes], target: np.ndarray)
     to_active += np.where(greatest, to_features[owner, FILTERS:] / ties[owner], 0)
     to_peaks = to_active * (peaks + offset > 0)
     to_filters = np.zeros_like(filters)
-    chosen = np.take_along_axis(places, at, axis=1)
     which = np.broadcast_to(np.arange(FILTERS), chosen.shape)
     for j in range(WIDTH):
         np.add.at(to_filters[j], (padded[chosen + j], which), to_peaks)
@@ -158,8 +188,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Network:
-    """Train on at most ``sample_rows`` labelled documents that are not held out.
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Network:
+    """Train on at most ``sample_rows`` labelled documents that are not held out, of ``sample_bytes`` together.
 
     The sample is chosen by a hash of the id, from labels alone; only its texts are read
     into the driver, of an id with several rows the least. Rows without a label, an id or a document are left out.
@@ -168,7 +198,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> N
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    rows = texts.join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
+    sample = materialize(texts.join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")), "labelled-texts")
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # as many rows as the sample has
+    length = F.octet_length("text")
+    small = sample.filter(length <= sample_bytes // 64)
+    within = small.select("doc_id", F.sum(length).over(before).alias("_bytes")).filter(F.col("_bytes") <= sample_bytes)
+    rows = sample.join(F.broadcast(within), "doc_id", "left_semi").collect()
     rows = sorted((row["doc_id"], bytes(row["text"]), row["quality"]) for row in rows)
     return train([text for _, text, _ in rows], [int(quality) for _, _, quality in rows])
 
@@ -198,7 +233,12 @@ def score_documents(docs: DataFrame, network: Network, keep: tuple[str, ...] = (
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every document."""
+    """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every document.
+
+    Null and empty texts get the score of no bytes; long ones are scored whole. A null id is not held out;
+    rows that share an id each get their row, equal texts equal scores. Without labels every score is
+    0.5, without documents there are no rows.
+    """
     scored = score_documents(docs, fit(docs, labels))
     return scored.select(
         "doc_id",
