@@ -1,8 +1,8 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
 A block is a stretch of consecutive words; blocks overlap by half, so that every stretch
-as long as the longest template lies whole in some block. A block meets a template when
-it contains at least the template's share of its distinct words. The join orders
+as long as a template lies whole in some block. Templates of about one length are joined with
+blocks of their own. A block meets a template when it contains at least the template's share of its distinct words. The join orders
 words by how often they occur in all documents. If a block holds ``need`` of a template's
 ``t`` words, it must hold one of the template's ``t - need + 1`` rarest (prefix filter); it
 must have ``need`` words at all (length filter); and the words left behind the first
@@ -52,6 +52,63 @@ LICENSES = (
     Template("mit", "released under the mit license", 0.8),
     Template("mpl", "this source code form is subject to the terms of the mozilla public license", 0.8),
     Template("unlicense", "this is free and unencumbered software released into the public domain", 0.8),
+    # Passages from the bodies, for texts without the opening.
+    Template(
+        "apache",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied",
+        0.8,
+    ),
+    Template(
+        "bsd",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+        "in the documentation and or other materials provided with the distribution",
+        0.8,
+    ),
+    Template(
+        "gpl",
+        "you should have received a copy of the gnu general public license along with this program if not see",
+        0.8,
+    ),
+    Template(
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license "
+        "as published by the free software foundation",
+        0.8,
+    ),
+    Template(
+        "isc",
+        "the software is provided as is and the author disclaims all warranties with regard to this software "
+        "including all implied warranties of merchantability and fitness",
+        0.8,
+    ),
+    Template(
+        "lgpl",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license",
+        0.8,
+    ),
+    Template(
+        "mit",
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute "
+        "sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so",
+        0.8,
+    ),
+    Template(
+        "mit",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        0.8,
+    ),
+    Template(
+        "mpl",
+        "if a copy of the mpl was not distributed with this file you can obtain one at",
+        0.8,
+    ),
+    Template(
+        "unlicense",
+        "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary "
+        "for any purpose commercial or non commercial and by any means",
+        0.8,
+    ),
 )
 
 _PLACES = "array<struct<label: string, start: bigint, words: bigint, share: double, phrase: boolean>>"
@@ -112,8 +169,16 @@ def word_frequencies(docs: DataFrame, templates: tuple[Template, ...], text_col:
     return {word: found.get(i, 0) for i, word in enumerate(words)}
 
 
+def length_classes(templates: tuple[Template, ...]) -> list[tuple[Template, ...]]:
+    """Templates whose numbers of words lie between the same powers of two."""
+    classes: dict[int, list[Template]] = defaultdict(list)
+    for template in templates:
+        classes[(len(plain_words(template.text)) - 1).bit_length()].append(template)
+    return [tuple(found) for _, found in sorted(classes.items())]
+
+
 class TemplateIndex:
-    """Prefixes of all templates under the frequency order, and the check of a block."""
+    """Prefixes of templates of about one length under the frequency order, and the check of a block."""
 
     def __init__(self, templates: tuple[Template, ...], frequencies: dict[bytes, int]):
         self.templates = [(template, plain_words(template.text)) for template in templates]
@@ -131,6 +196,18 @@ class TemplateIndex:
         self.prefixes = [prefixes[word] for word in self.keys]
         self.finder = WordFinder(self.keys)
 
+    def candidates(self, hashes: np.ndarray, firsts: np.ndarray) -> dict[int, dict[int, set[int]]]:
+        """Per document the blocks that hold a prefix word, by their first word, and the keys found in them."""
+        at, keys = self.finder.places(hashes)
+        owners = np.searchsorted(firsts, at, side="right") - 1
+        found: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+        for owner, place, key in zip(owners.tolist(), (at - firsts[owners]).tolist(), keys.tolist()):
+            block = place // self.step * self.step
+            found[owner][block].add(key)
+            if block:
+                found[owner][block - self.step].add(key)
+        return found
+
     def search(self, words: list[bytes], begins: dict[int, set[int]]) -> list[tuple[str, int, int, float, bool]]:
         """Places in one document; ``begins`` maps a block's first word to the keys found in it."""
         found = set()
@@ -143,7 +220,8 @@ class TemplateIndex:
             for key in keys:
                 if self.keys[key] in inside:
                     for t, i in self.prefixes[key]:
-                        first[t] = min(first.get(t, (i, 0)), (i, position[self.keys[key]]))
+                        here = (i, position[self.keys[key]])
+                        first[t] = min(first.get(t, here), here)
             for t, (i, j) in first.items():
                 need, ordered = self.need[t], self.ordered[t]
                 if len(inside) < need or min(len(ordered) - i, len(known) - j) < need:
@@ -173,14 +251,13 @@ def scan_licenses(
     A null or blank text has no words and no place. Repeated documents each get their row;
     other columns are not looked at. An empty table gives an empty result.
     """
-    index = TemplateIndex(templates, word_frequencies(docs, templates, text_col))
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    frequencies = word_frequencies(docs, templates, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast([TemplateIndex(found, frequencies) for found in length_classes(templates)])
     kept = list(dict.fromkeys(keep))
     source = docs.select(*[F.col(name).alias(f"_keep{i}") for i, name in enumerate(kept)], F.col(text_col).cast("string").alias("_text"))
     schema = source.drop("_text").withColumn("n_words", F.lit(0).cast("long")).withColumn("places", F.expr(f"CAST(array() AS {_PLACES})")).schema
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         for batch in batches:
             counts: list[int] = []
             places: list[list] = []
@@ -189,22 +266,14 @@ def scan_licenses(
                 part = LOWER[data[offsets[first] : offsets[last]]]
                 starts, ends, firsts = word_spans(part, offsets[first : last + 1] - offsets[first], PLAIN_WORDS)
                 counts += np.diff(firsts).tolist()
-                at, keys = index.finder.places(word_hashes(part, starts, ends))
-                owners = np.searchsorted(firsts, at, side="right") - 1
-                begins: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-                for owner, place, key in zip(owners.tolist(), (at - firsts[owners]).tolist(), keys.tolist()):
-                    block = place // index.step * index.step
-                    begins[owner][block].add(key)
-                    if block:
-                        begins[owner][block - index.step].add(key)
-                raw = part.tobytes()
-                for owner in range(last - first):
-                    if owner not in begins:
-                        places.append([])
-                        continue
-                    low, high = int(firsts[owner]), int(firsts[owner + 1])
-                    words = [raw[a:b] for a, b in zip(starts[low:high], ends[low:high])]
-                    places.append(index.search(words, begins[owner]))
+                hashes, raw = word_hashes(part, starts, ends), part.tobytes()
+                found: list[list] = [[] for _ in range(last - first)]
+                for index in shared.value:
+                    for owner, begins in index.candidates(hashes, firsts).items():
+                        low, high = int(firsts[owner]), int(firsts[owner + 1])
+                        words = [raw[a:b] for a, b in zip(starts[low:high].tolist(), ends[low:high].tolist())]
+                        found[owner] += index.search(words, begins)
+                places += [sorted(row, key=lambda place: (place[1], place[0])) for row in found]
             names = ("label", "start", "words", "share", "phrase")
             rows = pa.array([[dict(zip(names, place)) for place in row] for row in places], _PLACES_ARROW)
             fresh = {"n_words": pa.array(counts, pa.int64()), "places": rows}
@@ -215,7 +284,11 @@ def scan_licenses(
 
 
 def license_digest(docs: DataFrame) -> DataFrame:
-    """Per document: words, phrase places, their labels, all labels, and the best share as ``score``."""
+    """Per document: words, phrase places, their labels, all labels, and the best share as ``score``.
+
+    Null and blank texts have no words, no place, empty labels and a score of 0. Every row gives a row,
+    also one without an id or with another's; an empty table gives none.
+    """
     found = scan_licenses(docs)
     phrases = F.filter("places", lambda place: place["phrase"])
     label = lambda rows: F.array_join(F.array_sort(F.array_distinct(F.transform(rows, lambda place: place["label"]))), ",")

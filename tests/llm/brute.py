@@ -60,13 +60,14 @@ def tokens(docs, ranks, pattern):
 def licenses(docs, templates):
     import math
 
-    longest = max(len(plain_words(t.text)) for t in templates)
+    sizes = [len(plain_words(t.text)) for t in templates]
     out = []
     for doc, text in docs:
         words = plain_words(text)
         places, shares, labels = [], [], set()
-        for t in templates:
+        for t, size in zip(templates, sizes):
             sequence = plain_words(t.text)
+            longest = max(n for n in sizes if (n - 1).bit_length() == (size - 1).bit_length())
             if t.phrase:
                 for i in range(len(words) - len(sequence) + 1):
                     if words[i : i + len(sequence)] == sequence:
