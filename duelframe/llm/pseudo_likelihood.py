@@ -9,9 +9,9 @@ wide as the vocabulary. A word in a bucket has the bucket's probability times th
 share of the bucket, from the exact counts of all words; these stay a table, and documents
 ask it batch by batch (``exchange``). Words that were never counted have a share as well.
 
-Training covers all documents. In each round every task trains its own copy over its share,
+Training covers all documents. In each round tasks train copies of their own over their shares,
 starting from the common parameters, and the copies are averaged, weighted by their words,
-parameter by parameter in an aggregation. The rounds take disjoint shares of the documents.
+slice by slice. The rounds take disjoint shares of the documents.
 """
 
 from __future__ import annotations
@@ -38,6 +38,10 @@ HASHES = 2.0**64
 OFFSETS = (-2, -1, 1, 2)
 HIDDEN = 16
 ROUNDS = 2
+# Words a copy of the network is trained on, for each of its parameters.
+WORDS_PER_PARAMETER = 8
+# Bytes of all copies of a slice of the parameters.
+SLICE_BYTES = 4 << 20
 RATE = 0.01
 # Words of a training step: small at first, so that a small share also makes many steps.
 FIRST_STEP = 1_024
@@ -295,11 +299,20 @@ def rare_words(counts: DataFrame, vocabulary: Vocabulary) -> RareWords:
     return RareWords(counts, words, kinds)
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", rounds: int = ROUNDS) -> Parameters:
-    """Common parameters after ``rounds`` rounds, each over its own share of all documents."""
+def train(docs: DataFrame, vocabulary: Vocabulary, words: int, text_col: str = "text", rounds: int = ROUNDS) -> Parameters:
+    """Common parameters after ``rounds`` rounds, each over its own share of all documents.
+
+    A task trains a copy and hands it on as slices of packed numbers. There are as many copies as ``words``, the
+    number of all, allows at ``WORDS_PER_PARAMETER`` for each, so what is moved follows the corpus.
+    Slices are averaged in tasks of their own and come to the driver packed.
+    """
     parameters = Parameters.initial(side=vocabulary.side)
     context = docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    size = len(parameters.flat())
+    copies = max(1, words // (rounds * WORDS_PER_PARAMETER * size))
+    # All copies of a slice meet in one task.
+    length = max(256, min(size, SLICE_BYTES // (4 * copies)))
     for number in range(rounds):
         shared = context.broadcast((vocabulary, parameters))
 
@@ -312,19 +325,28 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", round
                     trainer.feed(ids, _around(ids, firsts))
             trainer.finish()
             if trainer.seen:
-                flat = trainer.p.flat().astype(np.float64)
-                weights = pa.array(np.full(len(flat), float(trainer.seen)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat), weights], names=["at", "value", "words"])
+                flat = trainer.p.flat().astype("<f4")
+                parts = [flat[at : at + length].tobytes() for at in range(0, size, length)]
+                columns = [pa.array(np.arange(len(parts))), pa.array(parts, pa.binary()), pa.array(np.full(len(parts), trainer.seen))]
+                yield pa.RecordBatch.from_arrays(columns, names=["slice", "part", "words"])
 
         share = texts.filter(F.pmod(F.xxhash64("_text"), F.lit(rounds)) == number)
-        copies = share.mapInArrow(fit, "at long, value double, words double")
-        mean = copies.groupBy("at").agg((F.sum(F.col("value") * F.col("words")) / F.sum("words")).alias("value"))
-        rows = mean.toPandas().sort_values("at")
-        if len(rows):
-            parameters = parameters.replaced(rows["value"].to_numpy())
+        trained = share.coalesce(copies).mapInArrow(fit, "slice long, part binary, words long")
+        rows = trained.groupBy("slice").applyInArrow(_mean_slice, "slice long, part binary").collect()
+        if rows:
+            mean = b"".join(bytes(row["part"]) for row in sorted(rows, key=lambda row: row["slice"]))
+            parameters = parameters.replaced(np.frombuffer(mean, "<f4"))
     return parameters
 
 
+def _mean_slice(table: pa.Table) -> pa.Table:
+    """Mean of the copies of a slice, weighted by the words each has seen; in an order of their own, as rows come in any."""
+    copies = sorted(zip(table.column("words").to_pylist(), table.column("part").to_pylist()))
+    total = sum(words for words, _ in copies)
+    mean = sum(np.frombuffer(part, "<f4").astype(np.float64) * (words / total) for words, part in copies)
+    return pa.table([table.column("slice").slice(0, 1), pa.array([mean.astype("<f4").tobytes()], pa.binary())], names=["slice", "part"])
+
+
 def score_documents(
     docs: DataFrame, vocabulary: Vocabulary, parameters: Parameters, rare: RareWords, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text"
 ) -> DataFrame:
@@ -400,7 +422,8 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """
     counts = materialize(count_words(docs), "word-counts")
     vocabulary = frequent_words(counts)
-    scored = score_documents(docs, vocabulary, train(docs, vocabulary), rare_words(counts, vocabulary))
+    words = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    scored = score_documents(docs, vocabulary, train(docs, vocabulary, words), rare_words(counts, vocabulary))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return scored.select(
         "doc_id",
