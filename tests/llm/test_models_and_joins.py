@@ -5,9 +5,11 @@ import random
 import resource
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
-from duelframe.llm import jaccard_join, license_scan, pseudo_likelihood, quality
+from duelframe.llm import jaccard_join, license_scan, pseudo_likelihood, quality, suffix_dedup
 from tests.llm import brute
 from tests.llm.test_operators import frame, hard_texts, rows, table
 
@@ -103,8 +105,6 @@ def test_pseudo_likelihood_equals_a_plain_pass(spark):
 
 
 def test_copies_follow_the_words_and_their_mean_is_weighted(spark):
-    import pyarrow as pa
-
     parts = [(1, [1.0, 2.0]), (3, [5.0, 6.0])]
     rows_ = pa.table({"slice": [4, 4], "part": [np.array(v, "<f4").tobytes() for _, v in parts], "words": [w for w, _ in parts]})
     mean = pseudo_likelihood._mean_slice(rows_)
@@ -204,3 +204,45 @@ def test_open_entries_and_edges_follow_the_nodes(spark):
         sets.unpersist()
     (few, few_links, nodes), (many, many_links, more) = sizes
     assert many <= 7 * few and few_links <= 2 * nodes and many_links <= 2 * more
+
+
+def test_passages_with_edits_are_refined_exactly(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "deal", lambda docs, total, i, t, deal=suffix_dedup.deal: deal(docs, total, i, t, 1 << 14))
+    monkeypatch.setattr(suffix_dedup, "shard_count", lambda total: 7)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
+    passages = [" ".join(word() for _ in range(n)) for n in (60, 75, 90, 140, 400)] + ["ab" * 300, "x" * 900]
+    pairs = []
+    for i in range(120):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            passage = list(rng.choice(passages))
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                passage[rng.randrange(len(passage))] = rng.choice("abcxyz")
+            cut = rng.randrange(0, 60)
+            parts += ["".join(passage)[cut:], " ".join(word() for _ in range(rng.randint(0, 30)))]
+        pairs.append((i, " ".join(parts)))
+    found = suffix_dedup.dedup_digest(frame(spark, pairs))
+    expected = brute.suffix_dedup(pairs)
+    assert rows(found, *found.columns) == sorted(expected, key=repr) and sum(row[2] > 0 for row in expected) > 40
+
+
+def test_shards_of_suffixes_are_even():
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text").slice(0, 3000)
+    batch = pa.table({"_text": texts.cast(pa.binary()), "_id": list(range(len(texts)))})
+    for shards in (16, 32):
+        found = suffix_dedup._Stretches(batch, shards)
+        sizes = np.bincount(found.shard, minlength=shards)
+        assert sizes.max() <= 2 * sizes.mean()
+        asked = suffix_dedup._Suffixes(found, np.full(len(found.gram), suffix_dedup.DIFFERS, np.uint8), shards)
+        sizes = np.bincount(asked.shard, minlength=shards)
+        assert sizes.max() <= 2 * sizes.mean()
+
+
+def test_buckets_are_numbered_in_sorted_order_without_single_ones():
+    keys = [np.array([5, 1, 5, 9, 1, 7], np.uint64), np.array([2, 4, 2, 0, 4, 7], np.uint64)]
+    assert suffix_dedup._numbered(keys, np.array([1, 1, 1, 1, 1, 2])).tolist() == [2, 1, 2, 0, 1, 3]
+    begins = np.array([3, 4, 5, 90, 91, 400])
+    rows_ = suffix_dedup._pair_rows(2, np.arange(6, dtype=np.uint64), np.zeros(6, np.uint64), begins, 3, 8)
+    kind, batch, *note = rows_[-1]
+    assert (kind, batch) == (suffix_dedup._NOTE, 8) and suffix_dedup._read_note(b"".join(note))[0].tolist() == begins.tolist()
