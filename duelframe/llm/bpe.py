@@ -192,7 +192,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...]
 
 
 def token_digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Per document: ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and whether the round trip holds."""
+    """Per document: ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``.
+
+    Null and empty texts have no tokens and the hashes of no bytes. Every row gives a row.
+    """
     encoded = encode(docs, ranks_path, pattern)
     return encoded.select(
         "doc_id",

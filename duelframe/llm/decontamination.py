@@ -188,7 +188,12 @@ def find_occurrences(
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
-    """Digest per document: ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``."""
+    """Digest per document: ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``.
+
+    Null and blank texts have no words and are never contaminated; items without an id or without words match
+    nothing. Every row gives a row. The benchmark goes out in slices, but an item longer than a
+    slice is not divided.
+    """
     found = find_occurrences(docs, benchmark, **options)
     # Occurrences are sorted by start: each adds the words beyond the furthest end so far.
     hit = F.aggregate(

@@ -152,7 +152,10 @@ def _listed(spans: Column) -> Column:
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """Counts by kind, the hash of the base spans and all spans, one row per document."""
+    """Counts by kind, the hash of the base spans and all spans, one row per document.
+
+    Null and empty texts have no spans. Rows without an id, or with another's, get rows of their own.
+    """
     found = find_spans(docs.select("doc_id", "text"), out="found")
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("found", lambda s: s["kind"].isin(*KINDS[:4]))

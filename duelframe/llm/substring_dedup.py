@@ -212,4 +212,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def dedup_digest(docs: DataFrame) -> DataFrame:
+    """``remove_repeats`` with the hash of the kept words in their place; hard rows as there."""
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
