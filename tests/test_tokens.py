@@ -221,3 +221,11 @@ def test_packed_starts_are_sums_before_in_order(spark):
     for _, _, n, row in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[3])):
         assert found[row] == total
         total += n
+
+
+def test_a_callers_tokenizer_below_the_barrier(spark):
+    encode = tokens.tokenizer_encode(lambda: lambda texts: [[len(w) for w in text.split()] for text in texts])
+    pairs = spark.createDataFrame([(0, "ab cde ", "f gh", "ijkl"), (1, "x ", "y", "zz z")], "prompt_idx long, prompt string, chosen string, rejected string")
+    rows = {r.prompt_idx: r for r in tokens.tokenize_pairs(pairs, 1, 2, encode=encode).collect()}
+    assert rows[0].chosen_input_ids == [1, 2, 3, 1, 2, 2] and rows[0].chosen_labels == [-100] * 3 + [1, 2, 2]
+    assert rows[1].rejected_input_ids == [1, 1, 2, 1, 2] and rows[1].prompt_input_ids == [1, 1]
