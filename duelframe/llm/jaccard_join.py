@@ -234,20 +234,25 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     ends = F.greatest("a", "b").alias("node"), F.least("a", "b").alias("label")
     stars = materialize(edges.filter("a != b").select(*ends).distinct(), "edges")
-    state = None
-    for _ in range(rounds):
+    state = _checksum(stars)
+    for _ in range(rounds if state[0] else 0):
         both = stars.unionByName(stars.select(F.col("label").alias("node"), F.col("node").alias("label")))
         near = both.groupBy("node").agg(F.min("label").alias("_near")).select(F.col("node").alias("_node"), F.least("node", "_near").alias("_near"))
         large = both.join(near, both["node"] == near["_node"]).filter("label > node").select(F.col("label").alias("node"), F.col("_near").alias("label")).distinct()
         low = large.groupBy("node").agg(F.min("label").alias("_low")).withColumnRenamed("node", "_node")
         handed = F.array(F.struct("node", F.col("_low").alias("label")), F.struct(F.col("label").alias("node"), F.col("_low").alias("label")))
         stars = materialize(large.join(low, large["node"] == low["_node"]).select(F.inline(handed)).filter("node != label").distinct(), "stars")
-        fresh = tuple(stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).first())
-        if fresh == state:
-            labels = stars.select(F.col("label").alias("node"), "label").distinct()
-            return materialize(stars.unionByName(labels), "labels")
-        state = fresh
-    raise RuntimeError(f"components are not settled after {rounds} rounds")
+        before, state = state, _checksum(stars)
+        if before == state:
+            break
+    else:
+        if state[0]:
+            raise RuntimeError(f"components are not settled after {rounds} rounds")
+    return stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct())
+
+
+def _checksum(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).first())
 
 
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -379,6 +384,8 @@ def find_links(sets: DataFrame) -> DataFrame:
 
 def _search_open(opened: DataFrame, held: DataFrame) -> DataFrame:
     """Links among the candidates of open entries, group by group of labels that share entries."""
+    if not opened.limit(1).count():
+        return opened.select(F.col("node").alias("a"), F.col("node").alias("b"))
     groups_of = components(opened.filter("label != least").select(F.col("label").alias("a"), F.col("least").alias("b")).distinct())
     nodes = opened.groupBy("node", "label").agg(F.collect_list("entry").alias("entries"))  # entries of one set
     grouped = nodes.join(groups_of.select(F.col("node").alias("label"), F.col("label").alias("group")), "label")
