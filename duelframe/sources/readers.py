@@ -23,8 +23,9 @@ COMBINED_FILE = r"responses_(\d+)\.json$"
 def scan_prompts(df: DataFrame, order_cols: Sequence[str] | None = None) -> DataFrame:
     """``(prompt_idx, prompt)``; positions come from ``order_cols`` when there are none.
 
-    ``order_cols`` must identify a row. Only they are sorted, by range, and written with their positions;
-    prompts get theirs by a join on them and are neither sorted nor written.
+    ``order_cols`` must identify a row; two rows that agree in them stop the job. Only these columns are
+    sorted, by range, and written with their positions; prompts get theirs by a join on them and
+    are neither sorted nor written.
     """
     require_columns(df, "prompt")
     if "prompt_idx" in df.columns:
@@ -34,6 +35,8 @@ def scan_prompts(df: DataFrame, order_cols: Sequence[str] | None = None) -> Data
     keys = [f"_key{i}" for i in range(len(order_cols))]
     named = {key: F.col(column) for key, column in zip(keys, order_cols)}
     places = index_rows(df.select(*[column.alias(key) for key, column in named.items()]), keys, "prompt_idx")
+    counted = places.groupBy(*keys).agg(F.min("prompt_idx").alias("prompt_idx"), F.count(F.lit(1)).alias("_rows"))
+    places = checked(counted, F.col("_rows") == 1, named_key("order_cols do not identify a row", *keys)).drop("_rows")
     same = [F.col(f"_own{key}").eqNullSafe(F.col(key)) for key in keys]
     prompts = df.select("prompt", *[column.alias(f"_own{key}") for key, column in named.items()])
     return prompts.join(places, reduce(lambda a, b: a & b, same)).select("prompt_idx", "prompt")

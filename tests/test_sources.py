@@ -239,3 +239,5 @@ def test_positions_are_found_without_writing_the_prompts(spark, tmp_path):
     written = found._jdf.queryExecution().optimizedPlan().toString()
     scans = [line for line in written.splitlines() if "Relation" in line]
     assert scans and not any("prompt#" in line for line in scans)
+    with pytest.raises((PySparkException, Py4JError), match="do not identify a row"):
+        readers.scan_prompts(table, ["lang"]).collect()
