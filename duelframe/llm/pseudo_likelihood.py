@@ -82,14 +82,29 @@ class Parameters:
         return Parameters(*[p.reshape(a.shape) for p, a in zip(parts, self.arrays())])
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return logits
+# Logits are shifted by a bound of them all, and by each row's largest where the bound is so far up that exponentials could vanish.
+_FAR = 60.0
+
+
+def _bounds(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """What no logit exceeds, as hidden units lie between -1 and 1."""
+    return (np.abs(weights).sum(axis=-2) + np.abs(bias)).max(axis=-1)
+
+
+def _softmax(active: np.ndarray, weights: np.ndarray, bias: np.ndarray, bound: float, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials of the shifted logits, their sums, and the logarithm of each target's share of them."""
+    logits = active @ weights
+    logits += bias - bound
+    if bound > _FAR:
+        logits -= logits.max(axis=1, keepdims=True)
+    own = logits[np.arange(len(target)), target]
+    np.exp(logits, out=logits)
+    sums = logits @ np.ones(logits.shape[1], logits.dtype)
+    return logits, sums, own - np.log(sums)
 
 
 class _Pass:
-    """Forward pass over words and their contexts; keeps what the gradients need."""
+    """Forward pass over words and their contexts; keeps what the gradients need, once."""
 
     def __init__(self, p: Parameters, target: np.ndarray, around: np.ndarray):
         self.target, self.around, self.side = target, around, len(p.class_bias)
@@ -101,25 +116,25 @@ class _Pass:
         self.order = np.argsort(self.of_class, kind="stable")
         cuts = np.searchsorted(self.of_class[self.order], np.arange(self.side + 1))
         self.parts = [(c, self.order[a:b]) for c, a, b in zip(range(self.side), cuts[:-1], cuts[1:]) if b > a]
-        self.class_log = _log_softmax(self.active @ p.classes + p.class_bias)
-        rows = np.arange(len(target))
-        self.log = self.class_log[rows, self.of_class]
-        self.word_log = []
+        *self.class_parts, self.log = _softmax(self.active, p.classes, p.class_bias, _bounds(p.classes, p.class_bias), self.of_class)
+        bounds, self.word_parts = _bounds(p.words, p.word_bias), []
         for c, rows in self.parts:
-            own = _log_softmax(self.active[rows] @ p.words[c] + p.word_bias[c])
-            self.word_log.append(own)
-            self.log[rows] += own[np.arange(len(rows)), target[rows] % self.side]
+            active, place = self.active[rows], target[rows] % self.side
+            exponentials, sums, log = _softmax(active, p.words[c], p.word_bias[c], bounds[c], place)
+            self.word_parts.append((active, place, exponentials, sums))
+            self.log[rows] += log
 
     def gradients(self, p: Parameters) -> Parameters:
         n = np.float32(len(self.target))
-        wrong = np.exp(self.class_log)
+        wrong, sums = self.class_parts
+        wrong /= sums[:, None]
         wrong[np.arange(len(self.target)), self.of_class] -= 1
         to_active = wrong @ p.classes.T
         words, word_bias = np.zeros_like(p.words), np.zeros_like(p.word_bias)
-        for (c, rows), own in zip(self.parts, self.word_log):
-            off = np.exp(own)
-            off[np.arange(len(rows)), self.target[rows] % self.side] -= 1
-            words[c] = self.active[rows].T @ off / n
+        for (c, rows), (active, place, off, sums) in zip(self.parts, self.word_parts):
+            off /= sums[:, None]
+            off[np.arange(len(rows)), place] -= 1
+            words[c] = active.T @ off / n
             word_bias[c] = off.sum(axis=0) / n
             to_active[rows] += off @ p.words[c].T
         to_hidden = to_active * (1 - self.active**2) / n
