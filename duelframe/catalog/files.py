@@ -55,7 +55,7 @@ def scan_shard_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longer shards, the files of which are read by several tasks each."""
     path = scratch_path(spark, "long-shards")
     writers.write_response_shards(views.responses(spark, sf_dir), path, LONG_SHARD_ROWS)
-    return readers.combine_shards(readers.scan_response_shards(spark, path, partitioned=True, range_bytes=RANGE))
+    return readers.combine_shards(readers.scan_response_shards(spark, path, partitioned=True, range_bytes=RANGE), short_end=True)
 
 
 @query("scan_eval_array", "SELECT text AS instruction, item_id FROM benchmark")
@@ -69,7 +69,7 @@ def scan_eval_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("combine_shards", f"WITH {CAND} SELECT prompt_idx, sample_id, response FROM cand")
 def combine_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.combine_shards(_stored_shards(spark, sf_dir))
+    return readers.combine_shards(_stored_shards(spark, sf_dir), short_end=True)
 
 
 @query("scan_scores", f"WITH {CAND} SELECT prompt_idx, sample_id, {s6('score')} AS score FROM cand")
@@ -159,7 +159,8 @@ def write_prob_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     writers.write_prob_matrix(matrices, path)
     stored = spark.read.schema("prompt_idx long, probability array<array<double>>").json(path)
     rows = stored.select("prompt_idx", F.posexplode("probability").alias("i", "_row"))
-    return rows.select("prompt_idx", "i", F.posexplode("_row").alias("j", "prob")).withColumn("prob", r6("prob"))
+    cells = rows.select("prompt_idx", "i", F.posexplode("_row").alias("j", "prob")).filter(F.col("prob").isNotNull())
+    return cells.withColumn("prob", r6("prob"))
 
 
 @query(

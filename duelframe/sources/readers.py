@@ -112,13 +112,14 @@ def _shard_position(order: Sequence[int] | None) -> Column:
     )
 
 
-def combine_shards(shards: DataFrame, order: Sequence[int] | None = None) -> DataFrame:
+def combine_shards(shards: DataFrame, order: Sequence[int] | None = None, short_end: bool = False) -> DataFrame:
     """``(prompt_idx, sample_id, response)`` with the shards of a sample laid end to end.
 
     Offsets come from a table with one row per file, so the responses are neither
     shuffled nor rewritten. Every sample must have the same shards (those of ``order``,
     else 0, 1, 2, ... without a gap) with as many responses in each; anything else would
-    give responses another prompt and is an error.
+    give responses another prompt and is an error. With ``short_end`` a sample may lack responses
+    of the last prompts: its last shard may be shorter or missing, as nothing is laid behind it.
     """
     placed = shards.withColumn("shard_pos", _shard_position(order).cast("long"))
     before = (
@@ -129,7 +130,7 @@ def combine_shards(shards: DataFrame, order: Sequence[int] | None = None) -> Dat
     sizes = materialize(
         placed.groupBy("sample_id", "shard_pos").agg(F.count(F.lit(1)).alias("_rows"), F.max("pos").alias("_last")), "sizes"
     )
-    _require_full_grid(sizes, None if order is None else len(order))
+    _require_full_grid(sizes, None if order is None else len(order), short_end)
     offsets = small_side(
         sizes.select(
             "sample_id",
@@ -143,19 +144,20 @@ def combine_shards(shards: DataFrame, order: Sequence[int] | None = None) -> Dat
     )
 
 
-def _require_full_grid(sizes: DataFrame, n_shards: int | None) -> None:
-    """Raise unless every sample has every shard, of one length over the samples."""
+def _require_full_grid(sizes: DataFrame, n_shards: int | None, short_end: bool) -> None:
+    """Raise unless every sample has every shard, of one length over the samples; ``short_end`` excepts the last one."""
     samples = sizes.select("sample_id").distinct().count()
     shards = sizes.groupBy("shard_pos").agg(
         F.count(F.lit(1)).alias("_samples"), F.min("_rows").alias("_least"), F.max("_rows").alias("_most"), F.max("_last").alias("_last")
     )
-    odd = shards.filter(
-        (F.col("_samples") != samples) | (F.col("_least") != F.col("_most")) | (F.col("_last") + 1 != F.col("_most"))
-    )
+    count, last = shards.agg(F.count(F.lit(1)), F.max("shard_pos")).first()
+    differs = (F.col("_samples") != samples) | (F.col("_least") != F.col("_most"))
+    if short_end:
+        differs &= F.col("shard_pos") != F.lit(last)
+    odd = shards.filter(differs | (F.col("_last") + 1 != F.col("_most")))
     found = odd.orderBy("shard_pos").limit(5).collect()
     if found:
         raise ValueError("shards that differ between samples: " + ", ".join(f"place {row['shard_pos']}" for row in found))
-    count, last = shards.agg(F.count(F.lit(1)), F.max("shard_pos")).first()
     expected = n_shards if n_shards is not None else (last or 0) + (last is not None)
     if count != expected:
         raise ValueError(f"{expected} shards expected for every sample, {count} found")

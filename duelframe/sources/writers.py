@@ -6,22 +6,29 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.functions.columns import quotient
+from duelframe.functions.columns import checked, named_key, quotient
 from duelframe.operators.slicing import SHUFFLE_SEED, TEST_ROWS, sample_n
 
 
 def write_response_shards(responses: DataFrame, path: str, frac_len: int) -> None:
-    """One JSON array of responses per (shard, sample), each at most ``frac_len`` long."""
+    """One JSON array of responses per (shard, sample), each at most ``frac_len`` long.
+
+    A place in the array is all that is left of a prompt's number, so a sample that lacks a response
+    before the end of its shard, or has one twice, stops the job.
+    """
     placed = responses.withColumn("shard", quotient(F.col("prompt_idx"), frac_len))
     in_order = F.transform(
         F.array_sort(F.collect_list(F.struct("prompt_idx", "response"))), lambda r: r["response"]
     )
-    (
-        placed.groupBy("shard", "sample_id")
-        .agg(F.to_json(in_order).alias("value"))
-        .write.partitionBy("shard", "sample_id")
-        .text(path)
+    per_prompt = F.collect_set("prompt_idx")
+    shards = placed.groupBy("shard", "sample_id").agg(
+        F.to_json(in_order).alias("value"),
+        (F.size(per_prompt) == F.count(F.lit(1))).alias("_once"),
+        (F.max("prompt_idx") - F.col("shard") * frac_len + 1 == F.count(F.lit(1))).alias("_dense"),
     )
+    problem = named_key("responses of a shard are repeated or have gaps", "shard", "sample_id")
+    whole = checked(shards, F.col("_once") & F.col("_dense"), problem).select("shard", "sample_id", "value")
+    whole.write.partitionBy("shard", "sample_id").text(path)
 
 
 def write_pairs(
