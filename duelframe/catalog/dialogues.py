@@ -177,9 +177,10 @@ def prune_and_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stack_candidates", f"WITH {CAND} SELECT prompt_idx, sample_id, response FROM cand")
 def stack_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates(spark, sf_dir).select(
+    stacked = candidates(spark, sf_dir).select(
         "prompt_idx", F.posexplode("candidates").alias("sample_id", "response")
     )
+    return stacked.filter(F.col("response").isNotNull())
 
 
 _STRIP = "trim({0}, ' ' || chr(9) || chr(10) || chr(13))"

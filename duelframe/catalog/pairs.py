@@ -45,7 +45,7 @@ def pairwise_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def win_prob_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     matrix = score_table(spark, sf_dir).select(
         "prompt_idx", F.posexplode(candidates.win_prob_matrix(F.col("scores"))).alias("i", "_row")
-    )
+    ).filter(F.get("_row", F.col("i")).isNotNull())
     return matrix.select(
         "prompt_idx", "i", *[r6(F.get("_row", F.lit(j))).alias(f"against_{j}") for j in range(K)]
     )
@@ -54,10 +54,11 @@ def win_prob_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("mean_win_rate", f"WITH {PROB} SELECT prompt_idx, i AS sample_id, {s6('win')} AS win_rate FROM win")
 def mean_win_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = F.col("scores")
-    rates = F.transform(scores, lambda own: candidates.mean_win_rate(own, scores))
+    rates = F.transform(scores, lambda own: F.when(own.isNotNull(), candidates.mean_win_rate(own, scores)))
     return (
         score_table(spark, sf_dir)
         .select("prompt_idx", F.posexplode(rates).alias("sample_id", "win_rate"))
+        .filter(F.col("win_rate").isNotNull())
         .withColumn("win_rate", r6("win_rate"))
     )
 

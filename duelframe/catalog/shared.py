@@ -46,7 +46,8 @@ def messages_long(df: DataFrame, dialogue: str, *keys: str) -> DataFrame:
 
 
 def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_arrays(views.scores(spark, sf_dir), K)
+    """Scores of all prompts; the last one has fewer than K where K doesn't divide the documents."""
+    return score_arrays(views.scores(spark, sf_dir), K, partial=True)
 
 
 def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,12 +56,12 @@ def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offline_round(
-        views.prompts(spark, sf_dir), views.responses(spark, sf_dir), views.scores(spark, sf_dir), K
+        views.prompts(spark, sf_dir), views.responses(spark, sf_dir), views.scores(spark, sf_dir), K, partial=True
     )
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stack_candidates(views.responses(spark, sf_dir), K)
+    return stack_candidates(views.responses(spark, sf_dir), K, partial=True)
 
 
 def formatted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,8 +82,8 @@ def drop_last(items: Column) -> Column:
 
 
 def array_total(items: Column) -> Column:
-    """Left-to-right sum of an array of doubles."""
-    return F.aggregate(items, F.lit(0.0), lambda total, x: total + x)
+    """Left-to-right sum of an array of doubles without its nulls."""
+    return F.aggregate(items, F.lit(0.0), lambda total, x: total + F.coalesce(x, F.lit(0.0)))
 
 
 def hash_order(seed: int, *keys: str) -> Column:

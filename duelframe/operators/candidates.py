@@ -37,44 +37,51 @@ def _unexpected(k: int) -> Column:
     return F.count_if(~F.col("sample_id").between(0, k - 1) | F.col("sample_id").isNull())
 
 
-def stack_candidates(responses: DataFrame, k: int) -> DataFrame:
+def _once_each(slots: list[str], k: int, partial: bool) -> Column:
+    """Whether the rows of a prompt fill one slot each, and all ``k`` of them unless ``partial``."""
+    filled = sum((F.col(slot).isNotNull().cast("int") for slot in slots), F.lit(0))
+    whole = (F.col("_rows") == filled) & (F.col("_unexpected") == 0)
+    return whole if partial else whole & (F.col("_rows") == k)
+
+
+def _needed(what: str, k: int, partial: bool) -> str:
+    return f"prompt needs at most {k} {what}" if partial else f"prompt needs exactly {k} {what}"
+
+
+def stack_candidates(responses: DataFrame, k: int, partial: bool = False) -> DataFrame:
     """``(prompt_idx, candidates)`` with the k responses in sample order.
 
     Texts aggregate by sorting. Shuffling them first sorts them once; a partial step
     before the shuffle would sort them a second time and combine nothing, as a sample
     has one response. A prompt without exactly one response for each of the ``k`` samples
-    stops the job.
+    stops the job; with ``partial`` it may lack samples, whose places are null.
     """
     slots = [_slot("response", i).alias(f"_c{i}") for i in range(k)]
     gathered = responses.repartition("prompt_idx").groupBy("prompt_idx").agg(
         *slots, F.count(F.lit(1)).alias("_rows"), _unexpected(k).alias("_unexpected")
     )
-    usable = (F.col("_rows") == k) & (F.col("_unexpected") == 0)
-    for i in range(k):
-        usable &= F.col(f"_c{i}").isNotNull()
-    problem = named_key(f"prompt needs exactly {k} responses, one for each sample, none missing", "prompt_idx")
-    return checked(gathered, usable, problem).select(
-        "prompt_idx", F.array(*[f"_c{i}" for i in range(k)]).alias("candidates")
-    )
+    names = [f"_c{i}" for i in range(k)]
+    problem = named_key(f"{_needed('responses', k, partial)}, one for each sample, none missing", "prompt_idx")
+    return checked(gathered, _once_each(names, k, partial), problem).select("prompt_idx", F.array(*names).alias("candidates"))
 
 
-def score_arrays(scores: DataFrame, k: int) -> DataFrame:
+def score_arrays(scores: DataFrame, k: int, partial: bool = False) -> DataFrame:
     """``(prompt_idx, scores)`` with the k scores in sample order.
 
     A prompt without exactly one usable score per sample stops the job: the table
-    was joined or generated wrongly and any index into it would be shifted.
+    was joined or generated wrongly and any index into it would be shifted. With ``partial``
+    a prompt may lack samples; their places are null, so indexes stay those of the samples.
     """
     slots = [_slot("score", i).alias(f"_s{i}") for i in range(k)]
     gathered = scores.groupBy("prompt_idx").agg(
         *slots, F.count(F.lit(1)).alias("_rows"), _unexpected(k).alias("_unexpected")
     )
-    usable = (F.col("_rows") == k) & (F.col("_unexpected") == 0)
-    for i in range(k):
-        usable &= F.col(f"_s{i}").isNotNull() & ~F.isnan(f"_s{i}")
-    problem = named_key(f"prompt needs exactly {k} scores, none missing or NaN", "prompt_idx")
-    return checked(gathered, usable, problem).select(
-        "prompt_idx", F.array(*[f"_s{i}" for i in range(k)]).alias("scores")
-    )
+    names = [f"_s{i}" for i in range(k)]
+    usable = _once_each(names, k, partial)
+    for name in names:
+        usable &= ~F.isnan(name)
+    problem = named_key(f"{_needed('scores', k, partial)}, none missing or NaN", "prompt_idx")
+    return checked(gathered, usable, problem).select("prompt_idx", F.array(*names).alias("scores"))
 
 
 def coverage_check(prompts: DataFrame, scores: DataFrame, k: int) -> DataFrame:
@@ -120,7 +127,7 @@ def win_row(own: Column, scores: Column) -> Column:
 
 
 def mean_win_rate(own: Column, scores: Column) -> Column:
-    """Row mean of the matrix, the 0.5 against itself included."""
+    """Row mean of the matrix, the 0.5 against itself included; null places add nothing to the sum over all k."""
     return array_total(win_row(own, scores)) / F.size(scores)
 
 
@@ -138,12 +145,12 @@ def candidate_pairs(score_table: DataFrame) -> DataFrame:
     """All ordered pairs (i, j) of a prompt's k candidates, the diagonal included.
 
     Built inside the row from the k-wide score array: k is a fixed parameter and no
-    shuffle happens. Gives ``(prompt_idx, i, j, prob)``.
+    shuffle happens. Samples a prompt lacks have no pairs. Gives ``(prompt_idx, i, j, prob)``.
     """
     rows = score_table.select(
         "prompt_idx", F.posexplode(win_prob_matrix(F.col("scores"))).alias("i", "_row")
     )
-    return rows.select("prompt_idx", "i", F.posexplode("_row").alias("j", "prob"))
+    return rows.select("prompt_idx", "i", F.posexplode("_row").alias("j", "prob")).filter(F.col("prob").isNotNull())
 
 
 def pair_statistics(score_table: DataFrame, compat: bool = False) -> DataFrame:

@@ -82,14 +82,15 @@ def build_messages(prompt: Column, response: Column) -> Column:
 
 
 def generated_table(prompts: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """Prompt with one dialogue column ``generate_i`` per candidate."""
+    """Prompt with one dialogue column ``generate_i`` per candidate, null where it has none."""
     joined = candidates.join(prompts, "prompt_idx")
+    place = [F.get("candidates", F.lit(i)) for i in range(k)]
     return joined.select(
         "prompt_idx",
         "prompt",
         *[
-            build_messages(F.col("prompt"), F.get("candidates", F.lit(i))).alias(f"generate_{i}")
-            for i in range(k)
+            F.when(response.isNotNull(), build_messages(F.col("prompt"), response)).alias(f"generate_{i}")
+            for i, response in enumerate(place)
         ],
     )
 

@@ -9,12 +9,13 @@ from duelframe.operators.chat import format_pairs, prune_and_rename
 from duelframe.operators.tokens import Encode, Limits, tokenize_pairs, word_ids
 
 
-def offline_round(prompts: DataFrame, responses: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+def offline_round(prompts: DataFrame, responses: DataFrame, scores: DataFrame, k: int, partial: bool = False) -> DataFrame:
     """Prompts, sampled responses and their scores to preference pairs.
 
-    Scores are reduced to one narrow row per prompt before they meet the texts.
+    Scores are reduced to one narrow row per prompt before they meet the texts. With ``partial``
+    a prompt may lack samples.
     """
-    return build_pairs(prompts, responses, pair_statistics(score_arrays(scores, k)))
+    return build_pairs(prompts, responses, pair_statistics(score_arrays(scores, k, partial)))
 
 
 def training_rows(
