@@ -15,6 +15,9 @@ from duelframe.operators.tokens import Encode, words
 # Fixed value: longest n-gram of the published score.
 MAX_ORDER = 4
 
+# Tokens counted at a time: sorting them needs some hundred bytes for each.
+SLICE_TOKENS = 1 << 18
+
 _MULTIPLIER, _MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -75,15 +78,26 @@ def _scores(lengths: np.ndarray, tokens: np.ndarray, max_order: int) -> np.ndarr
     return np.where(all_match & (lengths > 0), np.exp(brevity + logs / max_order), 0.0)
 
 
+def _slices(batch: pa.RecordBatch, names: list[str], size: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive prompts with about ``size`` tokens together; a longer prompt is a slice of its own."""
+    tokens = sum(np.asarray(batch.column(name).value_lengths().fill_null(0), dtype=np.int64) for name in names)
+    ends, first = np.cumsum(tokens), 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        last = max(int(np.searchsorted(ends, before + size, side="right")), first + 1)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def self_bleu(
     responses: DataFrame, k: int, tokenize: Encode = words, max_order: int = MAX_ORDER
 ) -> DataFrame:
     """BLEU of every sample against the other samples of its prompt: ``(prompt_idx, sample_id, bleu)``.
 
     Texts become arrays of 64-bit token ids before the one shuffle, on the prompt, which puts
-    the samples of a prompt into k columns; a prompt holds at most k texts. Batches of prompts
-    then count n-grams as runs in sorted arrays of ids made from the ids of their tokens; no
-    n-gram is a row. An order without any match makes the score 0 (no smoothing). Prompts with
+    the samples of a prompt into k columns; a prompt holds at most k texts. Slices of batches, of
+    ``SLICE_TOKENS`` tokens whatever the size of a batch, then count n-grams as runs in sorted arrays
+    of ids made from the ids of their tokens; no n-gram is a row. An order without any match makes the score 0 (no smoothing). Prompts with
     a single sample have nothing to compare with and score 0. A sample id outside ``0..k-1`` and
     a repeated sample stop the job.
     """
@@ -103,8 +117,9 @@ def self_bleu(
     prompt_type = responses.schema["prompt_idx"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(f"_ids{i}") for i in range(k)]
+        names = [f"_ids{i}" for i in range(k)]
+        for part in (part for batch in batches for part in _slices(batch, names, SLICE_TOKENS)):
+            columns = [part.column(name) for name in names]
             lengths = np.stack([np.asarray(c.value_lengths().fill_null(-1), dtype=np.int64) for c in columns], axis=1)
             # Prompt by prompt and sample by sample, as the lengths are.
             own = [c.flatten().to_numpy(zero_copy_only=False).view(np.uint64) for c in columns]
@@ -117,7 +132,7 @@ def self_bleu(
             found = _scores(lengths, mixed, max_order)
             row, sample = np.nonzero(lengths >= 0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("prompt_idx").take(pa.array(row)), pa.array(sample, pa.int32()), pa.array(found[row, sample])],
+                [part.column("prompt_idx").take(pa.array(row)), pa.array(sample, pa.int32()), pa.array(found[row, sample])],
                 names=["prompt_idx", "sample_id", "bleu"],
             )
 
