@@ -17,17 +17,13 @@ def write_response_shards(responses: DataFrame, path: str, frac_len: int) -> Non
     before the end of its shard, or has one twice, stops the job.
     """
     placed = responses.withColumn("shard", quotient(F.col("prompt_idx"), frac_len))
-    in_order = F.transform(
-        F.array_sort(F.collect_list(F.struct("prompt_idx", "response"))), lambda r: r["response"]
-    )
-    per_prompt = F.collect_set("prompt_idx")
-    shards = placed.groupBy("shard", "sample_id").agg(
-        F.to_json(in_order).alias("value"),
-        (F.size(per_prompt) == F.count(F.lit(1))).alias("_once"),
-        (F.max("prompt_idx") - F.col("shard") * frac_len + 1 == F.count(F.lit(1))).alias("_dense"),
-    )
+    in_order = F.sort_array(F.collect_list(F.struct("prompt_idx", "response")))
+    shards = placed.groupBy("shard", "sample_id").agg(in_order.alias("_rows"))
+    in_place = F.transform("_rows", lambda row, i: row["prompt_idx"] - F.col("shard") * frac_len == i)
     problem = named_key("responses of a shard are repeated or have gaps", "shard", "sample_id")
-    whole = checked(shards, F.col("_once") & F.col("_dense"), problem).select("shard", "sample_id", "value")
+    whole = checked(shards, F.forall(in_place, lambda fits: fits), problem).select(
+        "shard", "sample_id", F.to_json(F.transform("_rows", lambda row: row["response"])).alias("value")
+    )
     whole.write.partitionBy("shard", "sample_id").text(path)
 
 
