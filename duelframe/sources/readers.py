@@ -18,6 +18,8 @@ from duelframe.sources.json_arrays import RANGE_BYTES, array_elements
 # Fixed value: name of a shard file, holding the shard and the sample number.
 SHARD_FILE = r"responses_(\d+)_(\d+)\.json$"
 COMBINED_FILE = r"responses_(\d+)\.json$"
+# Fixed value: names of files that Spark's text reader unpacks.
+PACKED_FILE = r"\.(gz|bz2|deflate|lz4|snappy|zst)$"
 
 
 def scan_prompts(df: DataFrame, order_cols: Sequence[str] | None = None) -> DataFrame:
@@ -66,17 +68,22 @@ def _array_rows(
 ) -> DataFrame:
     """``names``, ``pos`` and ``response`` of all files; ``keys`` makes the names from a file's address.
 
-    Files for which a name is null are passed over.
+    Files for which a name is null are passed over. The folder is listed once; only packed files take a
+    second listing, by the text reader.
     """
     reader = spark.read if pattern is None else spark.read.option("pathGlobFilter", pattern)
-    whole = reader.text(path, wholetext=True).filter(F.col("_metadata.file_size") <= range_bytes)
-    texts = whole.select("value", *keys(F.col("_metadata.file_path"))).dropna(subset=list(names))
-    parsed = evaluated_once(texts, {"_responses": F.from_json("value", "array<string>", {"mode": "FAILFAST"})})
+    address, length = F.col("_metadata.file_path"), F.col("_metadata.file_size")
+    packed = F.col("_metadata.file_name").rlike(PACKED_FILE)
+    files = reader.format("binaryFile").load(path)
+    texts = files.filter((length <= range_bytes) & ~packed).select(F.col("content").cast("string").alias("value"), *keys(address))
+    if files.filter((length <= range_bytes) & packed).limit(1).count():
+        unpacked = reader.text(path, wholetext=True).filter((length <= range_bytes) & packed)
+        texts = texts.unionByName(unpacked.select("value", *keys(address)))
+    parsed = evaluated_once(texts.dropna(subset=list(names)), {"_responses": F.from_json("value", "array<string>", {"mode": "FAILFAST"})})
     sound = F.col("_responses").isNotNull() & ~F.exists("_responses", lambda text: text.isNull())
     parsed = checked(parsed, sound, named_key("response file is not a JSON array of strings", *names))
     rows = parsed.select(*names, F.posexplode("_responses").alias("pos", "response")).withColumn("pos", F.col("pos").cast("long"))
-    files = reader.format("binaryFile").load(path).filter(F.col("length") > range_bytes)
-    large = files.select("path", "length", *keys(F.col("path"))).dropna(subset=list(names))
+    large = files.filter(length > range_bytes).select("path", "length", *keys(F.col("path"))).dropna(subset=list(names))
     if not large.limit(1).count():
         return rows
     return rows.unionByName(array_elements(large, list(names), True, range_bytes).withColumnRenamed("value", "response"))
