@@ -27,6 +27,10 @@ from duelframe.session import materialize
 RANGE_BYTES = 64 << 20
 #: Bytes read at a time.
 PIECE_BYTES = 1 << 20
+#: Bytes read at a time by a range shorter than this, which mostly ends in its first piece.
+LEAST_PIECE_BYTES = 64 << 10
+#: Bytes of a task; shorter ranges share one.
+TASK_BYTES = 8 << 20
 
 _QUOTE, _BACKSLASH, _COMMA = 0x22, 0x5C, 0x2C
 _STEP = np.zeros(256, dtype=np.int8)
@@ -123,7 +127,7 @@ def _ranges(files: DataFrame, keys: list[str], range_bytes: int) -> DataFrame:
     begins = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long")))
     cut = files.filter("length > 0").select("path", begins.alias("begin"), "length")
     ranges = materialize(cut.select("path", "begin", F.least(F.col("begin") + range_bytes, "length").alias("until")), "ranges")
-    count = max(1, ranges.count())
+    count = _task_count(*ranges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("until") - F.col("begin")), F.lit(0))).first(), files.sparkSession.sparkContext.defaultParallelism)
     changes = materialize(ranges.repartition(count).mapInArrow(_changes, _CHANGES), "range-changes")
     # One row for each range of a file.
     before = Window.partitionBy("path").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
@@ -147,6 +151,11 @@ def _ranges(files: DataFrame, keys: list[str], range_bytes: int) -> DataFrame:
     return materialize(named.select(*keys, "path", "begin", "until", "inside", "depth", "first"), "range-states").repartition(count)
 
 
+def _task_count(ranges: int, total: int, slots: int) -> int:
+    """Tasks for the ranges: one each if they are long, else as many as their bytes fill, but enough for all slots."""
+    return max(1, min(ranges, max(-(-total // TASK_BYTES), 2 * slots)))
+
+
 def _array_begin(raw: bytes, path: str) -> int:
     lead = len(raw) - len(raw.lstrip(_BLANK))
     if raw[lead : lead + 1] != b"[":
@@ -154,11 +163,13 @@ def _array_begin(raw: bytes, path: str) -> int:
     return lead
 
 
-def _delimiters(file: pa.NativeFile, path: str, begin: int, inside: int, depth: int) -> Iterator[tuple[int, bytes, list[int], int]]:
+def _delimiters(file: pa.NativeFile, path: str, begin: int, until: int, inside: int, depth: int) -> Iterator[tuple[int, bytes, list[int], int]]:
     """Pieces from ``begin`` on: place, bytes, the array's own bracket and commas, and its end or -1."""
     lexer, quotes = _Lexer(_escapes_before(file, begin)), inside
-    for at in range(begin, file.size(), PIECE_BYTES):
-        raw = file.read_at(PIECE_BYTES, at)
+    # Blanks may stand before the array, so its beginning is looked for in a whole piece.
+    step_bytes = min(PIECE_BYTES, max(until - begin, LEAST_PIECE_BYTES)) if begin else PIECE_BYTES
+    for at in range(begin, file.size(), step_bytes):
+        raw = file.read_at(step_bytes, at)
         data = np.frombuffer(raw, np.uint8)
         found, marks, before = lexer.piece(raw)
         marks = marks[(quotes + before) % 2 == 0]
@@ -189,7 +200,7 @@ def _elements(path: str, begin: int, until: int, inside: int, depth: int) -> Ite
             _require_blank(file, path, begin, until)
             return
         held, cuts, begun = bytearray(), [], False
-        for at, raw, places, end in _delimiters(file, path, begin, inside, depth):
+        for at, raw, places, end in _delimiters(file, path, begin, until, inside, depth):
             if 0 <= end and at + end < until:
                 _require_blank(file, path, at + end + 1, until)
             start = 0
@@ -221,7 +232,7 @@ def array_elements(files: DataFrame, keys: list[str], texts: bool, range_bytes:
     """``keys``, ``pos`` and ``value`` of every element of the array files ``(path, length, *keys)``.
 
     With ``texts`` every element must be a JSON string and ``value`` is its text; else it is the
-    element's JSON. Ranges are spread over tasks one by one. A file that is not one whole
+    element's JSON. Ranges are spread over tasks, short ones several to a task. A file that is not one whole
     JSON array stops the job. Files are opened by their address, so their store must be one
     that pyarrow reads (local or mounted folders, HDFS, object stores).
     """

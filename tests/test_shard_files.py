@@ -3,7 +3,7 @@
 import gzip
 import json
 
-from duelframe.sources import readers
+from duelframe.sources import json_arrays, readers
 
 
 def test_files_are_listed_by_one_reader(spark, tmp_path, monkeypatch):
@@ -25,3 +25,23 @@ def test_packed_files_are_still_read(spark, tmp_path):
         (folder / name).write_bytes(gzip.compress(data) if name.endswith("gz") else data)
     found = readers.scan_response_shards(spark, str(tmp_path), partitioned=True)
     assert sorted(map(tuple, found.collect())) == [(2, j, i, f"{j}{i}") for j in range(2) for i in range(3)]
+
+
+def test_short_ranges_share_tasks(spark, tmp_path):
+    responses = [f'{i} "ü" [,] \\ {"x" * (i % 300)}' for i in range(3000)]
+    (tmp_path / "responses_0_0.json").write_text(json.dumps(responses), encoding="utf-8")
+    found = readers.scan_response_shards(spark, str(tmp_path), range_bytes=1000)
+    assert found.rdd.getNumPartitions() < 100  # of some 500 ranges
+    assert [tuple(r) for r in found.orderBy("pos").collect()] == [(0, 0, i, text) for i, text in enumerate(responses)]
+
+
+def test_short_range_reads_little_beyond_itself(tmp_path, monkeypatch):
+    path = tmp_path / "file.json"
+    path.write_text(json.dumps([f"{i}" * 50 for i in range(20_000)]))
+    begin = path.read_bytes().index(b'", "', 500_000) + 1
+    read, lexed = [], json_arrays._Lexer.piece
+    monkeypatch.setattr(json_arrays._Lexer, "piece", lambda self, raw: read.append(len(raw)) or lexed(self, raw))
+    found = [text for raw, _ in json_arrays._elements(str(path), begin, begin + 1000, 0, 1) for text in json.loads(b"[" + raw + b"]")]
+    first = int(found[0][: len(found[0]) // 50])
+    assert 1 < len(found) < 10 and found == [f"{first + i}" * 50 for i in range(len(found))]
+    assert sum(read) < 100_000
