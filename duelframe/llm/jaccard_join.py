@@ -23,16 +23,20 @@ into blocks, and every two blocks meet in a task of their own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duelframe.functions.columns import quotient
+from duelframe.indexing import index_rows
 from duelframe.llm.bytewise import BLANK_WORDS, LOWER, blocks, mix, run_hashes, text_buffer, word_hashes, word_spans
 from duelframe.llm.exchange import answer, ask, ask_again, by_shard, corpus_bytes, deal, finish, shard_count, shard_of
 from duelframe.llm.names import unused
-from duelframe.session import materialize
+from duelframe.session import materialize, small_side
 
 SHINGLE_WORDS = 5
 # The threshold as a fraction of whole numbers: 75 / 100.
@@ -208,21 +212,26 @@ def index_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     total = corpus_bytes(docs, text_col)
     texts = deal(docs, total, id_col, text_col)
     shards = shard_count(total)
-    owners = answer(ask(texts, lambda table: _Sets(table).question(shards)), _owners, "<u8")
+    # Answers are written, so that the questions of one pass are gone before the next; texts are dealt again in each.
+    owners = materialize(answer(ask(texts, lambda table: _Sets(table).question(shards)), _owners, "<u8"), "owners", release=True)
 
     def shingles(table: pa.Table, known: dict[int, bytes]) -> list[tuple]:
         sets = _Sets(table)
         return _Tokens(sets, sets.owned(known), shards).question()
 
-    classes = answer(ask_again(texts, owners, shingles), _classes, "<u4")
+    classes = materialize(answer(ask_again(texts, owners, shingles), _classes, "<u4"), "classes", release=True)
     return finish(texts, owners.unionByName(classes), lambda table, known: _indexed(table, known, shards), _SETS)
 
 
 # Nodes of a block of a large group of open candidates, and bytes of shingles in a task of small ones.
 BLOCK_NODES = 2000
 PACK_BYTES = 8 << 20
-# Rounds in which every node is compared with one other before the remaining candidates are searched.
-CONTRACTIONS = 2
+# Slices of the index. Each gives a round in which every node is compared with one other, before the rest is searched.
+SLICES = 4
+# A round that finds fewer links than one in so many of those before is the last of them.
+FEW = 10
+# Bytes of sets sent to tasks at once, unless a quarter of all sets is more.
+ROUND_BYTES = 256 << 20
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -233,7 +242,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     end as one edge from each node to its label.
     """
     ends = F.greatest("a", "b").alias("node"), F.least("a", "b").alias("label")
-    stars = materialize(edges.filter("a != b").select(*ends).distinct(), "edges")
+    stars = materialize(edges.filter("a != b").select(*ends).distinct(), "edges", release=True)
     state = _checksum(stars)
     for _ in range(rounds if state[0] else 0):
         both = stars.unionByName(stars.select(F.col("label").alias("node"), F.col("node").alias("label")))
@@ -241,7 +250,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(near, both["node"] == near["_node"]).filter("label > node").select(F.col("label").alias("node"), F.col("_near").alias("label")).distinct()
         low = large.groupBy("node").agg(F.min("label").alias("_low")).withColumnRenamed("node", "_node")
         handed = F.array(F.struct("node", F.col("_low").alias("label")), F.struct(F.col("label").alias("node"), F.col("_low").alias("label")))
-        stars = materialize(large.join(low, large["node"] == low["_node"]).select(F.inline(handed)).filter("node != label").distinct(), "stars")
+        stars = materialize(large.join(low, large["node"] == low["_node"]).select(F.inline(handed)).filter("node != label").distinct(), "stars", release=True)
         before, state = state, _checksum(stars)
         if before == state:
             break
@@ -268,14 +277,19 @@ def _linked(common: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarra
     return SHARE[1] * common >= SHARE[0] * (one + other - common)
 
 
+def _near(one: Column, other: Column) -> Column:
+    """Whether sets of these sizes can be linked."""
+    return SHARE[1] * F.least(one, other) >= SHARE[0] * F.greatest(one, other)
+
+
 def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` of nodes whose sets are linked."""
 
     def side(name: str) -> DataFrame:
-        return held.select(F.col("node").alias(name), F.col("n_shingles").alias(f"_n{name}"), F.col("shared").alias(f"_s{name}"))
+        named = held.select(F.col("node").alias(name), F.col("n_shingles").alias(f"_n{name}"), F.col("shared").alias(f"_s{name}"))
+        return named.join(pairs.select(name), name, "left_semi")
 
-    near = SHARE[1] * F.least("_na", "_nb") >= SHARE[0] * F.greatest("_na", "_nb")
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").filter(near)
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").filter(_near(F.col("_na"), F.col("_nb")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,8 +308,14 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _search(node: np.ndarray, label: np.ndarray, size: np.ndarray, sets: list[np.ndarray], entries: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between nodes that share an entry and are not connected by labels or links found before."""
+def _search(
+    node: np.ndarray, label: np.ndarray, size: np.ndarray, block: np.ndarray, sets: list[np.ndarray], entries: list[np.ndarray]
+) -> list[tuple[int, int]]:
+    """Links between nodes that share an entry and are not connected by labels or links found before.
+
+    Of two blocks, only nodes of different ones are compared; within a block they are in another task.
+    """
+    two = block.min() != block.max()
     lengths = np.array([len(s) for s in sets], dtype=np.int64)
     _, tokens = np.unique(np.concatenate(sets), return_inverse=True)
     begins = np.cumsum(lengths) - lengths
@@ -311,6 +331,7 @@ def _search(node: np.ndarray, label: np.ndarray, size: np.ndarray, sets: list[np
     for x in range(len(node)):
         among = np.unique(np.concatenate([holders[bounds[e] : bounds[e + 1]] for e in own_entries[x]]))
         among = among[(among > x) & (label[among] != label[x])]
+        among = among[block[among] != block[x]] if two else among
         among = among[SHARE[1] * np.minimum(size[among], size[x]) >= SHARE[0] * np.maximum(size[among], size[x])]
         if not len(among):
             continue
@@ -329,81 +350,164 @@ def _search(node: np.ndarray, label: np.ndarray, size: np.ndarray, sets: list[np
 
 
 def _search_task(table: pa.Table) -> pa.Table:
-    node, group, label, size = (table.column(c).to_numpy() for c in ("node", "group", "label", "n_shingles"))
-    shared, entries = table.column("shared").to_pylist(), table.column("entries").combine_chunks()
+    """Links of a task from rows with the set of a node and rows with its entries, group and label."""
+    is_set = pc.is_valid(table.column("shared"))
+    sets, table = table.filter(is_set), table.filter(pc.invert(is_set))
+    shared = dict(zip(sets.column("node").to_pylist(), sets.column("shared").combine_chunks()))
+    node, group, label, size, block = (table.column(c).to_numpy() for c in ("node", "group", "label", "n_shingles", "block"))
+    entries = table.column("entries").combine_chunks()
     links: list[tuple[int, int]] = []
     order = np.lexsort((node, group))
-    order = order[np.concatenate([[True], (np.diff(node[order]) != 0) | (np.diff(group[order]) != 0)])]
     for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
         if len(part) > 1:
             own = [entries[int(i)].values.to_numpy() for i in part]
-            links += _search(node[part], label[part], size[part], [np.frombuffer(shared[i], np.uint64) for i in part], own)
+            links += _search(node[part], label[part], size[part], block[part], [np.frombuffer(shared[i].as_buffer(), np.uint64) for i in node[part].tolist()], own)
     columns = list(zip(*links)) if links else [(), ()]
     return pa.table([pa.array(c, pa.int64()) for c in columns], schema=_LINKS)
 
 
+def _slice(sets: DataFrame, number: int) -> DataFrame:
+    """``(entry, node, n_shingles)`` of one slice of the index."""
+    rows = sets.filter("entries IS NOT NULL").select("node", "n_shingles", F.explode("entries").alias("entry"))
+    return rows.filter(F.pmod(F.xxhash64("entry"), F.lit(SLICES)) == number)
+
+
 def _open_entries(held_by: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``(entry, node, label)`` of entries whose nodes are not all connected yet, with the least ``(label, node)`` of the entry."""
+    """Rows ``(entry, node, n_shingles)`` of entries whose nodes are not all connected yet, with their label and the least of ``(label, node, n_shingles)`` as ``pivot``.
+
+    In order of size, an entry is cut where the next set is too large to be linked with the one before it;
+    each ``part`` is then an entry of its own. Without ``n_shingles`` nothing is cut.
+    """
+    if "n_shingles" not in held_by.columns:
+        held_by = held_by.withColumn("n_shingles", F.lit(1))
     if labels is None:
-        rows = held_by.select("entry", "node", F.col("node").alias("label"))
+        rows = held_by.withColumn("label", F.col("node"))
     else:
         known = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
-        rows = held_by.join(known, held_by["node"] == known["_node"], "left").select("entry", "node", F.coalesce("_label", "node").alias("label"))
-    ends = rows.groupBy(F.col("entry").alias("_entry")).agg(
-        F.min("label").alias("least"), F.max("label").alias("_most"), F.min(F.struct("label", "node")).alias("_first")
-    )
-    ends = ends.filter("least < _most").select("_entry", "least", F.col("_first.node").alias("pivot"))
-    return rows.join(ends, rows["entry"] == ends["_entry"]).select("entry", "node", "label", "least", "pivot")
+        joined = held_by.join(known, held_by["node"] == known["_node"], "left")
+        rows = joined.select("entry", "node", "n_shingles", F.coalesce("_label", "node").alias("label"))
+    by_size = Window.partitionBy("entry").orderBy("n_shingles", "node")
+    cut = F.coalesce((~_near(F.lag("n_shingles").over(by_size), F.col("n_shingles"))).cast("int"), F.lit(0))
+    parts = rows.withColumn("_cut", cut).withColumn("part", F.sum("_cut").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("entry", "part")
+    ends = {"pivot": F.min(F.struct("label", "node", "n_shingles")).over(whole), "_most": F.max("label").over(whole)}
+    return parts.withColumns(ends).filter("pivot.label < _most").drop("_cut", "_most")
+
+
+def _proposed(opened: DataFrame) -> DataFrame:
+    """For each node ``a`` the pivot ``b`` that it meets in the most entries, of those it is not connected with."""
+    met = opened.filter((F.col("label") != F.col("pivot.label")) & _near(F.col("n_shingles"), F.col("pivot.n_shingles")))
+    met = met.groupBy("node", "n_shingles", "pivot").agg(F.count(F.lit(1)).alias("_met"))
+    best = met.groupBy("node", "n_shingles").agg(F.max(F.struct("_met", "pivot")).alias("_best"))
+    return best.select(F.col("node").alias("a"), F.col("_best.pivot.node").alias("b"), (8 * (F.col("n_shingles") + F.col("_best.pivot.n_shingles"))).alias("_bytes"))
+
+
+def _rounds(sent: int, total: int) -> int:
+    """Rounds in which so many bytes are sent, of sets that have ``total`` together."""
+    return max(1, -(-sent // max(ROUND_BYTES, total // 4)))
+
+
+def _verified_in_rounds(pairs: DataFrame, held: DataFrame, total: int) -> DataFrame:
+    rounds = _rounds(pairs.agg(F.coalesce(F.sum("_bytes"), F.lit(0))).first()[0], total)
+    found = []
+    for number in range(rounds):
+        own = pairs.filter(F.pmod(F.xxhash64("b"), F.lit(rounds)) == number).select("a", "b")
+        found.append(materialize(verified(small_side(own, "pairs"), held), "links", release=True))
+    return _union(found)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def find_links(sets: DataFrame) -> DataFrame:
     """Links ``(a, b)`` between nodes of ``index_sets`` that connect what all links connect.
 
-    A few rounds compare every node with one other at most: the least node of the entries it
-    shares, as connected so far. Near copies are connected by then, and entries all of
-    whose nodes are connected are done with. Candidates of the entries still open are compared one
-    by one, unless they are connected meanwhile.
+    A few rounds, at most one for each slice of the index, compare every node with one other at most: of the
+    least nodes of its entries, as connected so far, the one that is least in most. Near copies are
+    connected by then, and entries all of whose nodes are connected are done with. Candidates of the
+    entries still open are compared one by one, unless they are connected meanwhile.
     """
     held = sets.filter("shared IS NOT NULL").select("node", "n_shingles", "shared")
-    opened = _open_entries(sets.filter("entries IS NOT NULL").select("node", F.explode("entries").alias("entry")), None)
-    opened = materialize(opened, "open-entries")
-    links, labels = None, None
-    for _ in range(CONTRACTIONS):
-        if not opened.limit(1).count():
+    total = held.agg(F.coalesce(F.sum(F.octet_length("shared")), F.lit(0))).first()[0]
+    links: list[DataFrame] = []
+    labels, linked = None, 0
+    for number in range(SLICES):
+        proposed = materialize(_proposed(_open_entries(_slice(sets, number), labels)), "proposed", release=True)
+        found = _verified_in_rounds(proposed, held, total)
+        count = found.count()
+        if not count:
             break
-        proposed = opened.filter("label != least").groupBy("node").agg(F.min(F.struct("least", "pivot")).alias("_to"))
-        found = materialize(verified(proposed.select(F.col("node").alias("a"), F.col("_to.pivot").alias("b")), held), "links")
-        links = found if links is None else links.unionByName(found)
-        if not found.limit(1).count():
+        links.append(found)
+        labels = components(_union(links))
+        if count < linked // FEW:
             break
-        labels = components(links)
-        opened = materialize(_open_entries(opened.select("entry", "node"), labels), "open-entries")
-    rest = _search_open(opened, held)
-    return rest if links is None else links.unionByName(rest)
+        linked += count
+    opened = [
+        materialize(
+            _open_entries(_slice(sets, number), labels).select("entry", "part", "node", "n_shingles", "label", F.col("pivot.label").alias("least")), "open-entries", release=True
+        )
+        for number in range(SLICES)
+    ]
+    return _union([*links, _search_open(_union(opened), held, total)])
+
 
+def _search_open(opened: DataFrame, held: DataFrame, total: int) -> DataFrame:
+    """Links among the candidates of open entries, group by group of labels that share entries.
 
-def _search_open(opened: DataFrame, held: DataFrame) -> DataFrame:
-    """Links among the candidates of open entries, group by group of labels that share entries."""
+    The nodes of a large group are cut into blocks in order of size, and two blocks meet if they have
+    sets near enough in size. What is sent to such tasks at once is bounded, so there may be several rounds.
+    """
     if not opened.limit(1).count():
         return opened.select(F.col("node").alias("a"), F.col("node").alias("b"))
     groups_of = components(opened.filter("label != least").select(F.col("label").alias("a"), F.col("least").alias("b")).distinct())
-    nodes = opened.groupBy("node", "label").agg(F.collect_list("entry").alias("entries"))  # entries of one set
+    # Parts of an entry are held by other nodes, so each gets a name of its own.
+    name = F.when(F.col("part") == 0, F.col("entry")).otherwise(F.xxhash64("entry", "part"))
+    nodes = opened.groupBy("node", "label", "n_shingles").agg(F.collect_list(name).alias("entries"))  # entries of one set
     grouped = nodes.join(groups_of.select(F.col("node").alias("label"), F.col("label").alias("group")), "label")
-    placed = materialize(grouped.join(held, "node"), "candidates")
-    sizes = placed.groupBy(F.col("group").alias("_group")).agg(F.count(F.lit(1)).alias("_nodes"))
-    total = placed.agg(F.coalesce(F.sum(F.octet_length("shared")), F.lit(0))).first()[0]
-    packs = max(1, -(-total // PACK_BYTES))
-    counted = placed.join(sizes, placed["group"] == sizes["_group"]).withColumn("_count", F.ceil(F.col("_nodes") / BLOCK_NODES).cast("int"))
-    block = F.pmod(F.xxhash64("node"), F.col("_count")).cast("int")
-    # A block of a large group meets every block, itself included, in a task named by the two in order.
-    tasks = F.when(F.col("_count") == 1, F.array(F.struct(F.pmod(F.xxhash64("group"), F.lit(packs)).alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.col("_count") - 1),
-            lambda other: F.struct(F.col("group").alias("task"), F.least(block, other).alias("i"), F.greatest(block, other).alias("j")),
-        )
-    )
-    rows = counted.withColumn("_task", F.explode(tasks)).select("_task.task", "_task.i", "_task.j", "group", "node", "label", "n_shingles", "shared", "entries")
-    return rows.groupBy("task", "i", "j").applyInArrow(_search_task, "a long, b long")
+    placed = materialize(grouped, "candidates", release=True)
+    size = 8 * (F.col("n_shingles") + F.size("entries"))
+    order = index_rows(placed.select("group", "n_shingles", "node", size.cast("long").alias("_bytes")), ["group", "n_shingles", "node"], "_place")
+    firsts = order.groupBy(F.col("group").alias("_group")).agg(F.min("_place").alias("_first"))
+    block = quotient(F.col("_place") - F.col("_first"), BLOCK_NODES)
+    order = materialize(order.join(firsts, order["group"] == firsts["_group"]).select("group", "node", "n_shingles", "_bytes", block.alias("block")), "blocks", release=True)
+    pairs = _block_pairs(order)
+    rounds = _rounds(pairs.agg(F.sum("_bytes")).first()[0], total)
+    packs = max(1, -(-order.agg(F.sum("_bytes")).first()[0] // PACK_BYTES))
+    ends = F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))).alias("_block")
+    places = order.select(F.col("node").alias("_node"), F.col("group").alias("_group"), "block")
+    found = []
+    for number in range(rounds):
+        own = pairs.filter(F.pmod(F.xxhash64("group", "i", "j"), F.lit(rounds)) == number)
+        # Groups of one block share tasks.
+        task = F.when(F.col("_alone"), F.pmod(F.xxhash64("group"), F.lit(packs))).otherwise(F.col("group")).alias("task")
+        met = own.select(F.col("group").alias("_of"), task, F.when(F.col("_alone"), -1).otherwise(F.col("i")).alias("i"), F.when(F.col("_alone"), -1).otherwise(F.col("j")).alias("j"), ends)
+        sent = places.join(met, (places["_group"] == met["_of"]) & (places["block"] == met["_block"])).select("_node", "task", "i", "j", "block")
+        sent = small_side(sent, "sent")
+        # A node's set and its entries come to a task as two rows.
+        rows = placed.join(sent, F.col("node") == F.col("_node")).withColumn("shared", F.lit(None).cast("binary"))
+        own_sets = held.join(sent, F.col("node") == F.col("_node")).withColumn("entries", F.lit(None).cast("array<long>"))
+        for column in ("group", "label"):
+            own_sets = own_sets.withColumn(column, F.lit(None).cast("long"))
+        columns = ["task", "i", "j", "group", "node", "label", "n_shingles", "block", "shared", "entries"]
+        rows = rows.select(*columns).unionByName(own_sets.select(*columns))
+        found.append(materialize(rows.groupBy("task", "i", "j").applyInArrow(_search_task, "a long, b long"), "links", release=True))
+    return _union(found)
+
+
+def _block_pairs(order: DataFrame) -> DataFrame:
+    """``(group, i, j)`` of blocks that have sets near enough in size, ``_bytes`` of both, and whether there is no other block."""
+    blocks = order.groupBy("group", "block").agg(F.min("n_shingles").alias("_least"), F.max("n_shingles").alias("_most"), F.sum("_bytes").alias("_bytes"))
+    blocks = materialize(blocks, "block-sizes", release=True)
+    counts = blocks.groupBy(F.col("group").alias("_counted")).agg((F.count(F.lit(1)) == 1).alias("_alone"))
+    one = blocks.select("group", F.col("block").alias("i"), F.col("_most").alias("_to"), F.col("_bytes").alias("_own"))
+    other = blocks.select(F.col("group").alias("_group"), F.col("block").alias("j"), F.col("_least").alias("_from"), F.col("_bytes").alias("_others"))
+    met = one.join(other, (F.col("group") == F.col("_group")) & (F.col("i") <= F.col("j")))
+    # In order of size, the nearest sets are the largest of one block and the least of the next.
+    met = met.filter((F.col("i") == F.col("j")) | (SHARE[1] * F.col("_to") >= SHARE[0] * F.col("_from")))
+    named = met.join(counts, F.col("group") == F.col("_counted"))
+    total = F.when(F.col("i") == F.col("j"), F.col("_own")).otherwise(F.col("_own") + F.col("_others"))
+    return materialize(named.select("group", "i", "j", "_alone", total.alias("_bytes")), "block-pairs", release=True)
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -414,8 +518,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     have no shingle and no link. Rows that share an id are documents of their own; a null
     id takes part, but is never the least of others. Every row gives a row.
     """
-    sets = materialize(index_sets(docs, id_col, text_col), "shingle-sets")
-    nodes = components(materialize(find_links(sets), "links"))
+    sets = materialize(index_sets(docs, id_col, text_col), "shingle-sets", release=True)
+    nodes = components(find_links(sets))
     alone = sets.filter("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     held = sets.filter("node IS NOT NULL").select("doc_id", "n_shingles", F.col("node").alias("_node"))
     placed = held.join(nodes, held["_node"] == nodes["node"], "left").select("doc_id", "n_shingles", F.coalesce("label", "_node").alias("_component"))

@@ -353,6 +353,60 @@ def test_jaccard_hard_rows(spark, hard, monkeypatch):
     assert jaccard_join.link_documents(frame(spark, [])).count() == 0
 
 
+def _copies_with_a_common_passage(rng, families, copies):
+    """Near copies; every family shares a passage with all others, and one family in three has copies below the threshold."""
+    words = [f"w{i}" for i in range(20_000)]
+    passage = [rng.choice(words) for _ in range(30)]
+    pairs = []
+    for family in range(families):
+        base = [rng.choice(words) for _ in range(rng.randint(50, 120))] + passage
+        for _ in range(copies):
+            copy = list(base)
+            for at in rng.sample(range(len(base) - 30), 5 if family % 3 == 0 else 1):
+                copy[at] = rng.choice(words)
+            pairs.append((len(pairs), " ".join(copy)))
+    return pairs
+
+
+def test_jaccard_families_with_a_common_passage_are_connected_first(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_NODES", 7)
+    monkeypatch.setattr(jaccard_join, "_rounds", lambda sent, total: max(1, -(-sent // 200_000)), raising=False)
+    searched, write = [], jaccard_join.materialize
+
+    def counted(df, label, **options):
+        out = write(df, label, **options)
+        if label == "candidates":
+            searched.append(out.select("node").distinct().count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    pairs = _copies_with_a_common_passage(random.Random(5), 24, 6)
+    found = jaccard_join.link_documents(frame(spark, pairs))
+    assert rows(found, *found.columns) == ordered(brute.jaccard_components(pairs))
+    assert sum(searched) < len(pairs) * 3 // 4
+
+
+def test_jaccard_blocks_meet_where_sizes_are_near(spark):
+    order = spark.createDataFrame([(7, i, size, 8 * size, i // 2) for i, size in enumerate([10, 11, 12, 13, 14, 15, 30, 31, 80, 90])] + [(9, 100, 5, 40, 0)], "`group` long, node long, n_shingles long, _bytes long, block long")
+    found = {(r["group"], r["i"], r["j"]): (r["_alone"], r["_bytes"]) for r in jaccard_join._block_pairs(order).collect()}
+    assert set(found) == {(7, i, i) for i in range(5)} | {(7, 0, 1), (7, 0, 2), (7, 1, 2), (9, 0, 0)}
+    assert found[7, 0, 1] == (False, 8 * 46) and found[9, 0, 0] == (True, 40)
+
+
+def test_jaccard_steps_leave_no_shuffle_files(spark):
+    def stored():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        found = [files.apply(i) for i in range(files.size())]
+        return {f.getPath(): f.length() for f in found if f.getName().startswith("shuffle_") and f.exists()}
+
+    rng = random.Random(3)
+    pairs = [(i, " ".join(str(rng.randrange(10**9)) for _ in range(300))) for i in range(200)]
+    before = stored()
+    jaccard_join.link_documents(frame(spark, pairs))
+    left = sum(size for path, size in stored().items() if path not in before)
+    assert left < sum(len(text) for _, text in pairs) // 10
+
+
 # 10
 
 
