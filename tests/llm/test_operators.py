@@ -2,6 +2,7 @@
 
 import random
 import statistics
+import time
 import zlib
 
 import public_tokenizers
@@ -9,6 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from duelframe import session
 from duelframe.llm import (
     bpe, decontamination, fingerprints, jaccard_join, license_scan, pii, pseudo_likelihood, quality, queries, substring_dedup, suffix_dedup,
 )
@@ -354,12 +356,12 @@ def test_jaccard_hard_rows(spark, hard, monkeypatch):
 
 
 def _copies_with_a_common_passage(rng, families, copies):
-    """Near copies; every family shares a passage with all others, and one family in three has copies below the threshold."""
+    """Near copies; four families share a passage, and one family in three has copies below the threshold."""
     words = [f"w{i}" for i in range(20_000)]
-    passage = [rng.choice(words) for _ in range(30)]
+    passages = [[rng.choice(words) for _ in range(30)] for _ in range(families)]
     pairs = []
     for family in range(families):
-        base = [rng.choice(words) for _ in range(rng.randint(50, 120))] + passage
+        base = [rng.choice(words) for _ in range(rng.randint(50, 120))] + passages[family // 4]
         for _ in range(copies):
             copy = list(base)
             for at in rng.sample(range(len(base) - 30), 5 if family % 3 == 0 else 1):
@@ -371,19 +373,19 @@ def _copies_with_a_common_passage(rng, families, copies):
 def test_jaccard_families_with_a_common_passage_are_connected_first(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_NODES", 7)
     monkeypatch.setattr(jaccard_join, "_rounds", lambda sent, total: max(1, -(-sent // 200_000)), raising=False)
-    searched, write = [], jaccard_join.materialize
+    apart, write = [], jaccard_join.materialize
 
     def counted(df, label, **options):
         out = write(df, label, **options)
         if label == "candidates":
-            searched.append(out.select("node").distinct().count())
+            apart.append(out.select("label").distinct().count())
         return out
 
     monkeypatch.setattr(jaccard_join, "materialize", counted)
     pairs = _copies_with_a_common_passage(random.Random(5), 24, 6)
     found = jaccard_join.link_documents(frame(spark, pairs))
     assert rows(found, *found.columns) == ordered(brute.jaccard_components(pairs))
-    assert sum(searched) < len(pairs) * 3 // 4
+    assert sum(apart) < len(pairs) // 2
 
 
 def test_jaccard_blocks_meet_where_sizes_are_near(spark):
@@ -393,18 +395,19 @@ def test_jaccard_blocks_meet_where_sizes_are_near(spark):
     assert found[7, 0, 1] == (False, 8 * 46) and found[9, 0, 0] == (True, 40)
 
 
-def test_jaccard_steps_leave_no_shuffle_files(spark):
+def test_shuffle_files_of_a_released_step_go(spark):
     def stored():
         files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
-        found = [files.apply(i) for i in range(files.size())]
-        return {f.getPath(): f.length() for f in found if f.getName().startswith("shuffle_") and f.exists()}
-
-    rng = random.Random(3)
-    pairs = [(i, " ".join(str(rng.randrange(10**9)) for _ in range(300))) for i in range(200)]
-    before = stored()
-    jaccard_join.link_documents(frame(spark, pairs))
-    left = sum(size for path, size in stored().items() if path not in before)
-    assert left < sum(len(text) for _, text in pairs) // 10
+        return {files.apply(i).getPath() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before, setting = stored(), spark.conf.get(session._CLEANUP)
+    wide = spark.range(10_000).repartition(3, "id")
+    written = session.materialize(wide, "released", release=True)
+    until = time.monotonic() + 20  # files go in the background
+    while stored() - before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not stored() - before and spark.conf.get(session._CLEANUP) == setting
+    assert written.count() == 10_000
 
 
 # 10
